@@ -85,7 +85,7 @@ def _overlap(block: Column) -> Column:
     return F.greatest(b - a, F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, block_words: int = 256, shard_words: int = 1 << 20, least_blocks: int = 64, seed: int = 5) -> DataFrame:
+def mix(docs: DataFrame, block_words: int = 256, shard_words: int = 1 << 20, least_blocks: int = 512, seed: int = 5) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, passes) for each of
     docs(doc_id, text, source): taken counts the words of the document in the mix, repeats
     included, and passes has one array of [from, to) word ranges for each time it is passed."""

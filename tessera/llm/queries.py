@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import kdshard, lz, mixing, quality, secret_crf
+from tessera.llm import kdshard, lz, minhash, mixing, quality, secret_crf
 from tessera.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", said), ",").alias("spans"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -35,5 +39,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op5_mixing, op8_sharding, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_minhash_near_dedup, op5_mixing, op8_sharding, op9_fingerprints, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
