@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import kdshard, lz, minhash, mixing, quality, secret_crf
+from tessera.llm import kdshard, lz, minhash, mixing, quality, secret_crf, substring
 from tessera.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -39,5 +44,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_minhash_near_dedup, op5_mixing, op8_sharding, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op8_sharding, op9_fingerprints, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
