@@ -1,7 +1,55 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
+1. quality rules drop the documents they reject;
+2. near-dedup keeps one document of each group (word shingles of 5, similarity 0.8);
+3. secret scans replace every secret in the texts by a mark;
+4. mixing passes documents, or blocks of them, so that the sources meet their weights;
+5. SentencePiece encodes what is left.
+All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tessera.llm import minhash, mixing, pieces, quality, secret_crf
+from tessera.llm.common import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_crf.redact(docs, secret_crf.train(docs))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode(docs, keep=("doc_id", "lang", "source", "n_chars"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
+
+#: The verdicts of stage 1 (exact tests), the CRF of stage 3 and the BPE of stage 5 are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

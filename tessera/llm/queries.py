@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import kdshard, lz, minhash, mixing, quality, secret_crf, substring
+from tessera.llm import kdshard, license, lz, minhash, mixing, pieces, quality, secret_crf, substring, urlfilter
 from tessera.llm.common import table
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages")).drop("host_words")
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = secret_crf.find_secrets(docs, secret_crf.train(docs))
@@ -18,6 +22,15 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(F.array_join(F.transform(base, said), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", said), ",").alias("spans"))
 
 
+def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: source / language / hundreds of doc_id / doc_id."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.floor(F.col("doc_id") / 100).cast("string"), F.lit("none")), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    found = license.scan_licenses(docs.select(path.alias("path"), "text"))
+    doc_id = F.expr("try_cast(substring_index(path, '/', -1) as bigint)")
+    return found.select(doc_id.alias("doc_id"), "path", "own_license", F.round("own_score", 6).alias("own_score"), "is_license_file", "license", "from_directory")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -31,6 +44,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", "n_ids", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdshard.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -44,5 +62,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op8_sharding, op9_fingerprints, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_license_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op7_sentencepiece, op8_sharding, op9_fingerprints, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
