@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut, shared_dir
+
+__all__ = ["SPACES", "WORD", "cut", "lookup", "masked", "n_words", "shared_dir", "table", "unmasked"]
+
 #: The six ASCII white-space characters that separate words. bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
 #: Java pattern of a word.
@@ -20,23 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def masked(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns renamed by place, so that none can clash with working columns, and
+    the new name of each."""
+    names = {n: f"_c{i}" for i, n in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: the lineage ends there,
-    so losing an executor never recomputes what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unmasked(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*(F.col(new).alias(old) for old, new in names.items()))
 
 
 def lookup(df: DataFrame, most_rows: int = 10_000) -> DataFrame:

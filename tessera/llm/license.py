@@ -45,9 +45,9 @@ _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
 def terms(text: str) -> list[str]:
-    """Words and word pairs, lower-cased."""
+    """Word pairs, lower-cased; of a single word, the word."""
     words = _WORD.findall(text.lower())
-    return words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words
 
 
 def evidence(text: str | None) -> list[str]:

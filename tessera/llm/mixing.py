@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lookup, n_words
+from tessera.llm.common import cut, lookup, masked, n_words, unmasked
 
 #: A Mersenne prime above any number of blocks of a shard, so it has no common factor with it.
 PRIME = (1 << 31) - 1
@@ -128,20 +128,20 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each pass over a document, whose
     text is what that pass takes. Rows that share doc_id, source and size are told apart by
     their rank, so that every row gets the ranges of one of them."""
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    size = n_words(F.col("text"))
-    twin = lambda: Window.partitionBy("_id", "_source", "_size").orderBy("_order")
-    left = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_source": F.col("source").cast("string"), "_size": size, "_order": F.xxhash64("text")}).withColumn("_twin", F.row_number().over(twin()))
-    taken = mix(docs, **options).filter(F.size("passes") > 0)
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "passes", F.to_json("passes").alias("_order")).withColumn("_twin", F.row_number().over(twin())).withColumnsRenamed({n: f"{n}2" for n in ("_id", "_source", "_size", "_twin")})
-    on = F.col("_id").eqNullSafe(F.col("_id2")) & F.col("_source").eqNullSafe(F.col("_source2")) & (F.col("_size") == F.col("_size2")) & (F.col("_twin") == F.col("_twin2"))
-    joined = left.drop("_order").join(taken.drop("_order"), on).select(*names, F.explode("passes").alias("_ranges"))
+    plain, names = masked(docs)
+    text, columns = names["text"], list(names.values())
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
+    twin = Window.partitionBy("doc_id", "source", "size").orderBy("order")
+    left = plain.withColumns({"doc_id": F.col(names["doc_id"]).cast("long"), "source": F.col(names["source"]).cast("string"), "size": n_words(F.col(text)), "order": F.xxhash64(text)}).withColumn("twin", F.row_number().over(twin))
+    taken = mix(docs, **options).filter(F.size("passes") > 0).withColumn("order", F.to_json("passes")).withColumn("twin", F.row_number().over(twin))
+    taken = taken.select("passes", *(F.col(n).alias(f"_{n}") for n in ("doc_id", "source", "size", "twin")))
+    on = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") == F.col("_size")) & (F.col("twin") == F.col("_twin"))
+    joined = left.join(taken, on).select(*columns, F.explode("passes").alias("ranges"))
 
     def run(batches):
         for b in batches:
-            texts = [selected_text(t, r) for t, r in zip(b.column("text").to_pylist(), b.column("_ranges").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else b.column(n) for n in names], names)
+            texts = [selected_text(t, r) for t, r in zip(b.column(text).to_pylist(), b.column("ranges").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text else b.column(n) for n in columns], columns)
 
-    out = joined.mapInArrow(run, fields)
+    out = unmasked(joined.mapInArrow(run, fields), names)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

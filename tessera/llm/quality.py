@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, cut, lookup
+from tessera.llm.common import SPACES, cut, lookup, masked, unmasked
 
 WINDOW = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -82,10 +82,10 @@ def text_metrics(texts: list[str | None]) -> list[list[int]]:
     return out
 
 
-def _adder(keep: list[str]):
+def _adder(keep: list[str], text: str):
     def add(batches):
         for b in batches:
-            columns = text_metrics(b.column("text").to_pylist())
+            columns = text_metrics(b.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(c, pa.int64()) for c in columns], [*keep, *METRICS])
 
     return add
@@ -101,9 +101,9 @@ def _scores() -> dict:
     }
 
 
-def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
-    return docs.mapInArrow(_adder(keep), ", ".join([*fields, *(f"{m} long" for m in METRICS)]))
+    return docs.mapInArrow(_adder(keep, text), ", ".join([*fields, *(f"{m} long" for m in METRICS)]))
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -174,4 +174,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: flo
     """The rows of docs that quality_rules keeps, with their columns. Texts are measured where
     they are read, once for the cutoffs and once for the filter, and never shuffled."""
     cutoffs = fit_cutoffs(cut(measure(docs)), labels, risk, delta)
-    return judge(_measured(docs, docs.columns), cutoffs).filter("kept").select(*docs.columns)
+    plain, names = masked(docs)
+    measured = _measured(plain, plain.columns, names["text"]).withColumn("lang", F.col(names["lang"]).cast("string"))
+    return unmasked(judge(measured, cutoffs).filter("kept"), names)
