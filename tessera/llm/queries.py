@@ -63,4 +63,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_license_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op7_sentencepiece, op8_sharding, op9_fingerprints, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_minhash_near_dedup": f"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(x="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS id, doc_id AS m FROM documents UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.id),
+c AS (SELECT id, min(m) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id""",
+    "op6_substring_dedup": f"""
+WITH w AS MATERIALIZED (SELECT doc_id, {_WORDS.format(x="coalesce(text, '')")} AS ws FROM documents),
+v AS MATERIALIZED (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 12), ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS MATERIALIZED (SELECT g, min(doc_id) AS first FROM v GROUP BY g),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM v JOIN f USING (g) WHERE v.doc_id > f.first),
+u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w),
+k AS (SELECT u.doc_id, count(x.at) AS gone, string_agg(word, ' ' ORDER BY u.at) FILTER (x.at IS NULL) AS kept FROM u LEFT JOIN x ON x.doc_id = u.doc_id AND x.at = u.at GROUP BY u.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
