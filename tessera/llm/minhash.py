@@ -11,8 +11,10 @@
 3. Each list links its members to its hub, the member with the most collisions in all. These
    links are counted on the signatures and confirmed on the full shingle sets. That joins
    families of copies of any size with a linear number of pairs.
-4. Lists whose members are still in different components are compared block by block, all pairs
-   of different components, so no link between components is lost. Survivors are confirmed too.
+4. Lists whose members are still in different components are compared block by block: every
+   member outside a list's largest component meets all members of other components, so no link
+   between components is lost. A pair is counted on longer signatures (``FINE`` coordinates of
+   one byte), in one list only, the first that it shares, and survivors are confirmed too.
 
 Defined results: null or blank text has no shingles, stays alone and is kept; a null doc_id
 belongs to the component of its equal sets, if they have an id, and is then not kept; rows with
@@ -22,19 +24,21 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, masked, unmasked
 from tessera.llm.graph import components
 
-COORDINATES = 64
-_PIECE = 4096
+COORDINATES, FINE = 64, 512
+_PIECE = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class WordHashes(dict):
@@ -67,21 +71,29 @@ def shingle_set(text: str | None, shingle: int, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(x + np.uint64(width)))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+def least_hashes(shingles: np.ndarray, coordinates: int) -> np.ndarray:
+    out = np.full(coordinates, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(shingles), _PIECE):
-        np.minimum(out, (shingles[at : at + _PIECE, None] * _MULTIPLIERS).min(0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+        np.minimum(out, (shingles[at : at + _PIECE, None] * _MULTIPLIERS[:coordinates]).min(0), out=out)
+    return out
+
+
+def signature(shingles: np.ndarray) -> np.ndarray:
+    return (least_hashes(shingles, COORDINATES) >> np.uint64(32)).astype(np.uint32)
+
+
+def fine_signature(shingles: np.ndarray) -> np.ndarray:
+    return (_mixed(least_hashes(shingles, FINE)) >> np.uint64(56)).astype(np.uint8)
 
 
-def collision_threshold(percent: int, miss: float = 1e-6) -> int:
-    """The most collisions t with P(binomial(COORDINATES, percent / 100) < t) <= miss."""
-    p, t, below, term = percent / 100, 0, 0.0, (1 - percent / 100) ** COORDINATES
-    while below + term <= miss:
-        below += term
-        t += 1
-        term *= (COORDINATES - t + 1) / t * p / (1 - p)
-    return t
+def collision_threshold(percent: int, coordinates: int = COORDINATES, miss: float = 1e-6) -> int:
+    """The most collisions t with P(binomial(coordinates, percent / 100) < t) <= miss."""
+    p, below = percent / 100, 0.0
+    for t in range(coordinates + 1):
+        below += math.exp(math.lgamma(coordinates + 1) - math.lgamma(t + 1) - math.lgamma(coordinates - t + 1) + t * math.log(p) + (coordinates - t) * math.log1p(-p)) if 0 < p < 1 else float(t == coordinates)
+        if below > miss:
+            return t
+    return coordinates
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -117,66 +129,122 @@ def _fit(n_a, n_b, percent: int):
     return np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent
 
 
-def _prefix_lists(classes: DataFrame, threshold: int) -> DataFrame:
-    """(rep, central, key): the lists that each class stays in, and its collisions in all."""
+def _prefixes(classes: DataFrame, threshold: int) -> DataFrame:
+    """(rep, central, keys): the lists that each class stays in, and its collisions in all."""
     posted = classes.select("rep", "sig").mapInArrow(_post, "key long, rep long")
     often = posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = posted.join(often, "key").groupBy("rep").agg(F.collect_list(F.struct("often", "key")).alias("pairs"), F.sum("often").alias("central")).filter(F.size("pairs") >= threshold)
-    return shared.select("rep", "central", F.explode(F.slice(F.array_sort("pairs"), F.lit(1), F.size("pairs") - threshold + 1)).alias("pair")).select("rep", "central", F.col("pair.key").alias("key"))
+    prefix = F.slice(F.array_sort("pairs"), F.lit(1), F.size("pairs") - threshold + 1)
+    return shared.select("rep", "central", F.array_sort(F.transform(prefix, lambda x: x["key"])).alias("keys"))
+
+
+def _fine(texts: DataFrame, shingle: int) -> DataFrame:
+    """(rep, n, fine), one row per rep."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingle_set(t, shingle, hashes) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fine_signature(x).tobytes() for x in sets], pa.binary())], ["rep", "n", "fine"])
 
+    return texts.mapInArrow(run, "rep long, n long, fine binary").dropDuplicates(["rep"])
 
-def _count(pairs: DataFrame, classes: DataFrame, threshold: int, percent: int) -> DataFrame:
+
+def _bytes_rows(values: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint8).reshape(-1, FINE)
+
+
+def _count(pairs: DataFrame, fine: DataFrame, threshold: int, percent: int) -> DataFrame:
     """The pairs(a, b) with enough collisions whose set sizes allow the similarity."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                ok = (_sig_rows(b.column("sig_a")) == _sig_rows(b.column("sig_b"))).sum(1) >= threshold
+                same = _bytes_rows(b.column("fine_a").to_pylist()) == _bytes_rows(b.column("fine_b").to_pylist())
+                ok = np.count_nonzero(same, axis=1) >= threshold
                 ok &= _fit(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    side = lambda x: fine.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _compare_blocks(lists: DataFrame, classes: DataFrame, threshold: int, percent: int, block: int = 128) -> DataFrame:
-    """Pairs of different components of each list (key, rep, component, often): blocks of a list
-    meet two by two, a pair of blocks at a time."""
-    blocks = F.ceil(F.col("often") / block).cast("int")
-    rows = lists.withColumn("own", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "rep", "component")
-    rows = rows.join(classes.select("rep", "n", "sig"), "rep")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+class _Members:
+    """Rows of a block as columns."""
+
+    def __init__(self, rows: list[tuple]):
+        self.rep, self.component, self.n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2))
+        self.minor = np.array([r[3] for r in rows], bool)
+        self.fine = _bytes_rows([r[4] for r in rows])
+        self.keys = [r[5] for r in rows]
+
 
-    def pairs_of(held: list[tuple]) -> list[tuple[int, int]]:
-        own = np.array([h[0] for h in held])
-        reps, comps, sizes = (np.array([h[i] for h in held], np.int64) for i in (1, 2, 3))
-        sigs = np.frombuffer(b"".join(h[4] for h in held), np.uint32).reshape(-1, COORDINATES)
-        first = np.flatnonzero(own == own.min())
-        second = np.flatnonzero(own == own.max())
-        ok = (comps[first, None] != comps[second]) & _fit(sizes[first, None], sizes[second], percent)
+def _new_pairs(key: int, own: _Members, other: _Members, visiting: bool, threshold: int, percent: int) -> list[tuple[int, int]]:
+    """Candidate pairs of different components, own x other, whose first common list is key.
+    Two members that both visit other blocks meet in each other's; the block of the lesser rep
+    counts."""
+    out = []
+    for at in range(0, len(other.rep), 64):
+        part = slice(at, at + 64)
+        ok = (own.component[:, None] != other.component[part]) & _fit(own.n[:, None], other.n[part], percent)
+        ok &= (own.rep[:, None] < other.rep[part]) | (visiting & ~own.minor[:, None])
         i, j = np.nonzero(ok)
-        out = []
-        for at in range(0, len(i), 1 << 14):
-            x, y = first[i[at : at + (1 << 14)]], second[j[at : at + (1 << 14)]]
-            hit = (sigs[x] == sigs[y]).sum(1) >= threshold
-            out += [(min(a, b), max(a, b)) for a, b in zip(reps[x[hit]].tolist(), reps[y[hit]].tolist(), strict=True)]
-        return out
+        j += at
+        for k in range(0, len(i), 8192):
+            x, y = i[k : k + 8192], j[k : k + 8192]
+            hit = np.count_nonzero(own.fine[x] == other.fine[y], axis=1) >= threshold
+            for a, b in zip(x[hit].tolist(), y[hit].tolist(), strict=True):
+                if min(set(own.keys[a]).intersection(other.keys[b])) == key:
+                    out.append((min(own.rep[a], other.rep[b]), max(own.rep[a], other.rep[b])))
+    return out
+
+
+def _compare_blocks(lists: DataFrame, members: DataFrame, threshold: int, percent: int, block: int = 512) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from lists(key, rep, component). Each
+    list is dealt into blocks; members outside its largest component (minor) visit all blocks.
+    A block's own rows are held, its visitors stream by."""
+    sizes = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    rows = lists.join(tops, "key").withColumn("minor", F.col("component") != F.col("top.component")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    to = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    rows = rows.select("key", "rep", "component", "minor", "own", F.explode(to).alias("block")).withColumn("visits", F.col("own") != F.col("block")).join(members, "rep")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ("rep", "component", "n", "minor", "fine", "keys")
+
+    def batch(found):
+        return pa.RecordBatch.from_arrays([pa.array([int(f[k]) for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def run(batches):
-        at, held = None, []
-        for b in batches:
-            found = set()
-            for key, p, q, *row in zip(*(b.column(c).to_pylist() for c in ("key", "p", "q", "own", "rep", "component", "n", "sig")), strict=True):
-                if (key, p, q) != at:
-                    found.update(pairs_of(held) if len(held) > 1 else ())
-                    at, held = (key, p, q), []
-                held.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = set(pairs_of(held)) if len(held) > 1 else set()
-        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        at, held, own, found = None, [], None, []
+
+        def close():
+            """The block's own rows are complete."""
+            nonlocal own
+            if own is None and held:
+                own = _Members(held)
+                found.extend(_new_pairs(at[0], own, own, False, threshold, percent))
 
-    return rows.repartition(n, "key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long").distinct()
+        for b in batches:
+            visitors: list[tuple] = []
+            for key, block_, visits, *row in zip(*(b.column(c).to_pylist() for c in ("key", "block", "visits", *names)), strict=True):
+                if (key, block_) != at:
+                    close()
+                    if visitors and own:
+                        found.extend(_new_pairs(at[0], own, _Members(visitors), True, threshold, percent))
+                    at, held, own, visitors = (key, block_), [], None, []
+                if visits:
+                    close()
+                    visitors.append(tuple(row))
+                else:
+                    held.append(tuple(row))
+            if visitors and own:
+                found.extend(_new_pairs(at[0], own, _Members(visitors), True, threshold, percent))
+            yield batch(found)
+            found.clear()
+        close()
+        yield batch(found)
+
+    return rows.select("key", "block", "visits", *names).repartition(n, "key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = 64) -> DataFrame:
@@ -213,17 +281,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     signed = cut(signatures(docs, shingle))
     classes = cut(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     known = classes.filter("rep is not null")
-    lists = cut(_prefix_lists(known, threshold))
+    prefixes = cut(_prefixes(known, threshold))
+    lists = prefixes.select("rep", "central", F.explode("keys").alias("key"))
     hubs = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"))).alias("hub"), F.count(F.lit(1)).alias("often")).filter("often > 1")
     star = lists.join(hubs, "key").select((-F.col("hub.less")).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    wanted = lists.select("rep").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep", "left_semi"))
-    links = cut(_confirm(_count(star, known, threshold, percent), texts, shingle, percent))
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(prefixes.select("rep"), "rep", "left_semi"))
+    fine, fine_threshold = cut(_fine(texts, shingle)), collision_threshold(percent, FINE)
+    links = cut(_confirm(_count(star, fine, fine_threshold, percent), texts, shingle, percent))
     comps = cut(components(links))
-    # lists that span components
     marked = lists.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_lists = marked.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    more = cut(_confirm(_compare_blocks(marked.join(open_lists.select("key", "often"), "key"), known, threshold, percent), texts, shingle, percent))
+    members = fine.join(prefixes.select("rep", "keys"), "rep")
+    more = cut(_confirm(_compare_blocks(marked, members, fine_threshold, percent), texts, shingle, percent))
     # the new links join whole components
     named = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
     joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
@@ -239,9 +307,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, and of several rows with one doc_id only the
     first by a hash of the text. Rows without a doc_id cannot be named and stay."""
-    names = docs.columns
-    gone = near_duplicates(docs, shingle, percent).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = marked.filter("_id is not null").join(gone, "_id", "left_anti")
-    first = kept.withColumn("_rank", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))).filter("_rank = 1")
-    return first.select(*names).unionByName(marked.filter("_id is null").select(*names))
+    plain, names = masked(docs)
+    gone = near_duplicates(docs, shingle, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    marked = plain.withColumn("doc_id", F.col(names["doc_id"]).cast("long"))
+    kept = marked.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
+    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(names["text"])))).filter("rank = 1")
+    return unmasked(first.select(*plain.columns).unionByName(marked.filter("doc_id is null").select(*plain.columns)), names)
