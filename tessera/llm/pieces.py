@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -57,7 +58,7 @@ def load(path: str = MODEL) -> dict:
 class Codec:
     """Encoder and decoder of one vocabulary, with a bounded cache of encoded units."""
 
-    def __init__(self, model: dict, cache: int = 400_000):
+    def __init__(self, model: dict, cache: int = 700_000):
         self.pieces, kinds = model["pieces"], model["kinds"]
         self.unk = len(self.pieces)  # stands for a code point that is no piece
         self.id_of = {p: i for i, p in enumerate(self.pieces) if kinds[i] == "normal"}
@@ -67,7 +68,8 @@ class Codec:
         score = np.array(model["scores"])
         self.rank = {i: -score[i] for i in self.id_of.values()}
         self.scores = np.append(score, 0.0)
-        self.cache: dict[str, tuple[int, ...]] = {}
+        # ids of a unit as packed 32-bit integers
+        self.cache: dict[str, bytes] = {}
         self.cache_size = cache
         self.width = max(map(len, self.id_of))
         # pieces longer than one code point whose bigrams mark where text cannot be cut
@@ -86,6 +88,11 @@ class Codec:
         normal = np.array(sorted(self.id_of.values()))
         order = normal[np.argsort(self.key[normal])]
         self.sorted_keys, self.sorted_ids = self.key[order], order
+        # one bit for each leading part of a key spares most searches
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.sorted_keys >> np.uint64(44)).astype(np.int64)] = True
+        # pairs whose compatibility is known, by slot; a later pair takes an earlier one's slot
+        self.pair, self.pair_ok = np.full(1 << 21, -1), np.zeros(1 << 21, bool)
         depth = 2 * self.width
         self.left, self.right = np.full((n, depth), -1), np.full((n, depth), -1)
         self.reachable = np.zeros(n, bool)
@@ -133,23 +140,40 @@ class Codec:
         left = [nodes[a] for a in range(len(text)) if strings[a]]
         return left if trace else [x[0] for x in left]
 
-    def probe(self, keys: np.ndarray) -> np.ndarray:
-        """Piece ids of substring keys, -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
-        return np.where(self.sorted_keys[at] == keys, self.sorted_ids[at], -1)
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the substring keys that are pieces, and the pieces' ids."""
+        at = np.flatnonzero(self.maybe[(keys >> np.uint64(44)).astype(np.int64)])
+        some = keys[at]
+        place = np.minimum(np.searchsorted(self.sorted_keys, some), len(self.sorted_keys) - 1)
+        hit = self.sorted_keys[place] == some
+        return at[hit], self.sorted_ids[place[hit]]
 
     def compatible(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """Whether merging leaves u next to t. Both sides grow along their edges in order of
-        rank; a merge across the boundary wins if its rank is below the left side's next merge and
-        not above the right side's."""
+        """Whether merging leaves u next to t."""
+        key = u * (self.unk + 1) + t
+        slot = ((key.astype(np.uint64) * _BASE) >> np.uint64(43)).astype(np.int64)
+        ok = self.pair_ok[slot]
+        new = np.flatnonzero(self.pair[slot] != key)
+        if len(new):
+            ok[new] = self._merge_leaves(u[new], t[new])
+            self.pair[slot[new]], self.pair_ok[slot[new]] = key[new], ok[new]
+            # two new pairs of one slot: the last one stays, with its own answer
+            again = np.flatnonzero(self.pair[slot[new]] == key[new])
+            self.pair_ok[slot[new[again]]] = ok[new[again]]
+        return ok
+
+    def _merge_leaves(self, u: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Both sides grow along their edges in order of rank; a merge across the boundary wins if
+        its rank is below the left side's next merge and not above the right side's."""
         ok = np.ones(len(u), bool)
         live = np.flatnonzero((u != self.unk) & (t != self.unk))
         i, j = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
         while len(live):
             a, b = u[live], t[live]
             x, y = self.right[a, i], self.left[b, j]
-            both = self.probe(self.key[x] + self.powers[self.size[x]] * self.key[y])
-            across = np.where(both >= 0, self.ranks[both], np.inf)
+            at, both = self.probe(self.key[x] + self.powers[self.size[x]] * self.key[y])
+            across = np.full(len(live), np.inf)
+            across[at] = self.ranks[both]
             up_x, up_y = self.right[a, i + 1], self.left[b, j + 1]
             p, q = np.where(up_x >= 0, self.ranks[up_x], np.inf), np.where(up_y >= 0, self.ranks[up_y], np.inf)
             lost = (across < p) & (across <= q)
@@ -159,7 +183,7 @@ class Codec:
             live, i, j = live[go], i[go] + step, j[go] + ~step
         return ok
 
-    def _viterbi(self, units: list[str]) -> list[tuple[int, ...]]:
+    def _viterbi(self, units: list[str]) -> list[bytes]:
         """Encodings of units of one length."""
         n, size = len(units[0]), len(units)
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).reshape(size, n).astype(np.uint64) + np.uint64(1)
@@ -170,39 +194,50 @@ class Codec:
         best = np.full((n + 1, size), -np.inf)
         best[0] = 0
         for end in range(1, n + 1):
+            # a prefix has one allowed arc, so a unit is done here once it has that
+            todo = np.arange(size)
             for start in range(end - 1, max(-1, end - 1 - self.width), -1):
-                piece = self.probe((sums[end] - sums[start]) * self.inverses[start])
-                if end - start == 1:
-                    piece = np.where(piece < 0, self.unk, piece)
-                at = np.flatnonzero((piece >= 0) & self.reachable[piece])
+                found, piece = self.probe((sums[end, todo] - sums[start, todo]) * self.inverses[start])
+                if end - start == 1 and len(found) < len(todo):
+                    some = np.full(len(todo), self.unk)
+                    some[found] = piece
+                    found, piece = np.arange(len(todo)), some
+                at = todo[found]
+                ok = self.reachable[piece]
                 if start:
-                    at = at[self.compatible(last[start, at], piece[at])]
-                score = best[start, at] + self.scores[piece[at]]
-                better = score > best[end, at]
-                at = at[better]
-                best[end, at], back[end, at], last[end, at] = score[better], start, piece[at]
+                    ok &= self.compatible(last[start, at], piece)
+                score = best[start, at] + self.scores[piece]
+                ok &= score > best[end, at]
+                at, piece = at[ok], piece[ok]
+                best[end, at], back[end, at], last[end, at] = score[ok], start, piece
+                todo = np.delete(todo, found[ok])
+                if not len(todo):
+                    break
         out = []
-        for k in range(size):
+        for unit, pieces, starts in zip(units, last.T.tolist(), back.T.tolist(), strict=True):
             path, end = [], n
             while end:
-                path.append(int(last[end, k]))
-                end = int(back[end, k])
-            out.append(self._bytes(units[k], path[::-1]))
+                path.append(pieces[end])
+                end = starts[end]
+            path.reverse()
+            out.append(self._pack(unit, path))
         return out
 
-    def _bytes(self, unit: str, path: list[int]) -> tuple[int, ...]:
-        """Replace unknown code points by the ids of their bytes."""
+    def _pack(self, unit: str, path: list[int]) -> bytes:
+        """The ids of a path, with unknown code points as the ids of their bytes."""
         if self.unk not in path:
-            return tuple(path)
+            return array("i", path).tobytes()
         out, at = [], 0
         for i in path:
             size = 1 if i == self.unk else len(self.pieces[i])
             out += [self.byte_id[x] for x in unit[at].encode()] if i == self.unk else [i]
             at += size
-        return tuple(out)
+        return array("i", out).tobytes()
 
     def _seams(self, unit: str) -> list[str]:
         """Parts of a unit between code points that no piece has side by side."""
+        if unit[1:].isalpha() and len(unit) <= 32:
+            return [unit]
         cuts = [0, *(k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.bigrams), len(unit)]
         return [unit[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -210,41 +245,49 @@ class Codec:
         """Encode units into the cache."""
         parts: dict[str, list[str]] = {}
         by_size: dict[int, set[str]] = {}
-        done: dict[str, tuple[int, ...]] = {}
+        done: dict[str, bytes] = {}
         for u in units:
             parts[u] = own = self._seams(u.replace(" ", SPACE))
             for x in own:
-                if len(x) == 1:
-                    done[x] = self._bytes(x, [self.id_of.get(x, self.unk)])
+                known = self.cache.get(x.replace(SPACE, " ")) if len(own) > 1 else None
+                if known is not None:
+                    done[x] = known
+                elif len(x) == 1:
+                    done[x] = self._pack(x, [self.id_of.get(x, self.unk)])
                 elif len(x) > LONGEST or x.startswith(SPACE * 2):
-                    done[x] = self._bytes(x, self.merge(x))
+                    done[x] = self._pack(x, self.merge(x))
                 else:
                     by_size.setdefault(len(x), set()).add(x)
         for group in by_size.values():
             some = sorted(group)
             for at in range(0, len(some), 20_000):
                 done.update(zip(some[at : at + 20_000], self._viterbi(some[at : at + 20_000]), strict=True))
-        self.cache.update((u, tuple(chain.from_iterable(done[x] for x in own))) for u, own in parts.items())
+        self.cache.update((x.replace(SPACE, " "), i) for x, i in done.items())
+        self.cache.update((u, done[own[0]] if len(own) == 1 else b"".join(map(done.__getitem__, own))) for u, own in parts.items())
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        out: list[list[int]] = []
+        return [np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as packed 32-bit integers."""
+        out: list[bytes] = []
         held, size = [], 0
         for text in texts:
             held.append(_UNIT.findall(f" {text.replace(SPACE, ' ')}") if text else [])
             size += len(held[-1])
-            if size > 100_000:
+            if size > 300_000:
                 out += self._encode(held)
                 held, size = [], 0
         return out + self._encode(held)
 
-    def _encode(self, units: list[list[str]]) -> list[list[int]]:
+    def _encode(self, units: list[list[str]]) -> list[bytes]:
         if len(self.cache) > self.cache_size:
             self.cache.clear()
         new = set(chain.from_iterable(units)).difference(self.cache)
         if new:
             self.learn(new)
         known = self.cache.__getitem__
-        return [list(chain.from_iterable(map(known, u))) for u in units]
+        return [b"".join(map(known, u)) for u in units]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -282,14 +325,15 @@ def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = MOD
         codec = _codec(shipped)
         for b in batches:
             texts = b.column("text").to_pylist()
-            for at in range(0, len(texts), 1000):
-                some = texts[at : at + 1000]
-                ids = codec.encode(some)
-                same = [codec.decode(i) == (t or "") for i, t in zip(ids, some, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                flat = pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1])))
+            for at in range(0, len(texts), 2000):
+                some = texts[at : at + 2000]
+                packed = codec.encode_packed(some)
+                same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(packed, some, strict=True)]
+                n = np.array([len(x) // 4 for x in packed], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 part = b.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array([len(i) for i in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), pa.array(same)], [*keep, "n_ids", "ids", "round_trip"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n), ids, pa.array(same, pa.bool_())], [*keep, "n_ids", "ids", "round_trip"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     return docs.select(*keep, "text").mapInArrow(run, ", ".join([*fields, "n_ids long, ids array<int>, round_trip boolean"]))
