@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -202,12 +204,17 @@ def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict |
     special characters but none, the smallest by seeded hash. None if no line has a span."""
     text = F.col("text")
     has = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}") | text.rlike("AKIA[A-Z0-9]{12}") | text.rlike("[0-9a-f]{32}")
-    seed = F.xxhash64(text, F.lit(17))
-    docs = docs.select("text").filter(text.isNotNull() & (F.length(text) <= 50_000))
+    docs = docs.select("text").filter(text.isNotNull() & (F.length(text) <= 50_000)).withColumn("seed", F.xxhash64(text, F.lit(17)))
+    # seeds first: the texts of the sample alone are gathered, below the seed that bounds it
+    marks = cut(docs.select("seed", F.when(has, 1).when(text.rlike("[0-9=_#$%]"), 0).alias("kind")).filter("kind is not null").distinct())
     lines = []
-    for part in (docs.filter(has), docs.filter(~has & text.rlike("[0-9=_#$%]"))):
-        sample = part.select("text").orderBy(seed).limit(sample_docs)
-        lines += [(r.kinds, r.labels, r.file) for r in sample.mapInArrow(_sample_lines, "kinds array<long>, labels array<long>, file long").limit(sample_docs * 8).collect() if r.kinds]
+    for kind in (1, 0):
+        last = marks.filter(F.col("kind") == kind).select("seed").orderBy("seed").limit(sample_docs).agg(F.max("seed")).first()[0]
+        if last is not None:
+            near = docs.filter(F.col("seed") <= last).join(F.broadcast(marks.filter((F.col("kind") == kind) & (F.col("seed") <= last)).select("seed")), "seed", "left_semi")
+            sample = near.dropDuplicates(["seed"]).select("text")
+            lines += [(r.kinds, r.labels, r.file) for r in sample.mapInArrow(_sample_lines, "kinds array<long>, labels array<long>, file long").collect() if r.kinds]
+    lines = sorted(lines)[: sample_docs * 16]
     if not any(BEGIN in x[1] for x in lines):
         return None
     return fit(lines, rounds)
