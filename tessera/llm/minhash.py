@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, masked, unmasked
 from tessera.llm.graph import components
 
-COORDINATES, FINE = 64, 512
+COORDINATES, FINE = 64, 1024
 _PIECE = 1024
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
