@@ -90,7 +90,7 @@ def year(date: Column) -> Column:
 
 
 def markdown_to_text(md: Column) -> Column:
-    m = "(?m)"
+    m = "(?md)"  # only \n ends a line
     text = _all(
         md, (r"```[\s\S]*?```", ""), (r"~~~[\s\S]*?~~~", ""), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (rf"{m}^#{{1,6}}{WS}+", ""),
         (r"\*{1,3}([^*]+)\*{1,3}", "$1"), ("_{1,3}([^_]+)_{1,3}", "$1"), (rf"{m}^\|(.+)\|$", "$1"), (rf"{m}^[-:| ]+$", ""), (r"\|", " "), (rf"{m}^[-*_]{{3,}}{WS}*$", ""), ("<[^>]+>", ""), (r"\n{3,}", "\n\n"),
@@ -99,7 +99,7 @@ def markdown_to_text(md: Column) -> Column:
 
 
 def page_estimate(md: Column) -> Column:
-    return F.greatest(F.lit(1), F.regexp_count(md, F.lit(rf"(?m)^---{WS}*$")) + 1)
+    return F.greatest(F.lit(1), F.regexp_count(md, F.lit(rf"(?md)^---{WS}*$")) + 1)
 
 
 def stem(path: Column) -> Column:

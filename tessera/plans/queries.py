@@ -95,10 +95,18 @@ def years_and_dois(spark, sf_dir):
 
 @query(r"""SELECT doc_id, 'Title' || chr(10) || 'alt and link' || chr(10) || 'bold x_y' || chr(10) || chr(10) || trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\*{1,3}([^*]+)\*{1,3}', '\1', 'g'), '(?m)^\|(.+)\|$', '\1', 'g'), '(?m)^[-:| ]+$', '', 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '|', ' '), ' ' || chr(10)) AS plain FROM documents WHERE text NOT LIKE '%|%' AND text NOT LIKE '%\_%' AND text NOT LIKE '%*%' AND text NOT LIKE '%#%' AND text NOT LIKE '%<%'""")
 def markdown_to_text(spark, sf_dir):
-    """Documents without marks of their own, so that the oracle needs only the wrapped ones."""
+    """The part of markdown_to_text_all that SQL can say: documents without marks of their own."""
+    return _plain(documents(spark, sf_dir).filter(~F.col("text").rlike(r"[|_*#<]")))
+
+
+@query()
+def markdown_to_text_all(spark, sf_dir):
+    return _plain(documents(spark, sf_dir))
+
+
+def _plain(docs: DataFrame) -> DataFrame:
     md = F.concat(F.lit("# Title\n![alt](a.png) and [link](http://x)\n**bold** x_y\n~~~\ncode\n~~~\n---\n\n\n"), "text")
-    marks = F.col("text").rlike(r"[|_*#<]")
-    return documents(spark, sf_dir).filter(~marks).select("doc_id", T.markdown_to_text(md).alias("plain"))
+    return docs.select("doc_id", T.markdown_to_text(md).alias("plain"))
 
 
 @query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars, CAST(len(regexp_extract_all(html, '<[^>]+>')) AS BIGINT) AS tags FROM pages")
@@ -122,8 +130,17 @@ _SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
 
 @query(rf"SELECT doc_id, trim('pre fixed ' || {_SQUEEZED}) AS abstract FROM documents WHERE text NOT LIKE '%- %' AND text NOT LIKE '%-' || chr(10) || '%' AND NOT regexp_matches(text, '(?i)key')")
 def clean_abstract(spark, sf_dir):
-    plain = F.col("text").rlike(r"-[ \n]|(?i)key")
-    return documents(spark, sf_dir).filter(~plain).select("doc_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), "text", F.lit(" Keywords: a, b\nc"))).alias("abstract"))
+    """The part of clean_abstract_all that SQL can say: no hyphenation, no keywords."""
+    return _abstracts(documents(spark, sf_dir).filter(~F.col("text").rlike(r"-[ \n]|(?i)key")))
+
+
+@query()
+def clean_abstract_all(spark, sf_dir):
+    return _abstracts(documents(spark, sf_dir))
+
+
+def _abstracts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), "text", F.lit(" Keywords: a, b\nc"))).alias("abstract"))
 
 
 @query(rf"""SELECT doc_id, 'The study of ' || doc_id || ' shows that all of it holds.' AS abstract, true AS found FROM documents WHERE doc_id % 2 = 0
@@ -143,10 +160,17 @@ u AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM s),
 r AS (SELECT doc_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
 SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS summary FROM r WHERE before < 200 GROUP BY doc_id""")
 def summaries(spark, sf_dir):
+    """The part of summaries_all that SQL can say: texts that are long enough for an abstract."""
     docs = documents(spark, sf_dir).filter(F.length(T.strip(F.col("text"))) >= 30)
     return docs.select("doc_id", T.summarize(F.col("text"), F.lit("")).alias("summary"))
 
 
+@query()
+def summaries_all(spark, sf_dir):
+    """A text that is too short for an abstract is summed up as a full text."""
+    return documents(spark, sf_dir).select("doc_id", T.summarize(F.col("text"), F.col("text")).alias("summary"))
+
+
 @query("SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[一-鿿㐀-䶿]')) AS chinese FROM documents GROUP BY lang")
 def chinese_documents(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.has_chinese(F.col("text"))).alias("chinese"))
@@ -154,7 +178,16 @@ def chinese_documents(spark, sf_dir):
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title_norm FROM documents WHERE NOT regexp_matches(text, '[ßẞſ]')""")
 def title_norms(spark, sf_dir):
-    docs = documents(spark, sf_dir).filter(~F.col("text").rlike("[ßẞſ]"))
+    """The part of title_norms_all that SQL can say: no letters that folding makes longer."""
+    return _titles(documents(spark, sf_dir).filter(~F.col("text").rlike("[ßẞſ]")))
+
+
+@query()
+def title_norms_all(spark, sf_dir):
+    return _titles(documents(spark, sf_dir))
+
+
+def _titles(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", T.normalize_title(F.substring_index("text", "\n", 1)).alias("title_norm"))
 
 
