@@ -1,11 +1,14 @@
 """Operator 3: license scans by TF-IDF cosine and nearest-ancestor inheritance.
 
-Two kinds of evidence are compared to templates by the cosine of sparse TF-IDF vectors over word
-pairs: every paragraph line of a file's text that holds a license mark word (its header), and the
-whole text of a license file (a file whose best line fills most of it, or that is named LICENSE
-or COPYING). Document frequencies are counted over the evidence of all files. A file with its own
-license keeps it; any other inherits that of the nearest ancestor directory with a license file,
-by equi-joins of (directory, ancestor) paths.
+Evidence is compared to templates (short notices, standard headers, names, and the full texts in
+licenses/) by the cosine of sparse TF-IDF vectors over word pairs. A file with a license mark
+anywhere is compared by every range of adjacent lines around a marked line (up to REACH lines on
+each side), by the whole block of lines that a marked line stands in, and by its whole text; the
+best cosine counts. A license file is one whose whole text reaches the threshold, or that is
+named LICENSE or COPYING and has any evidence that does. Document frequencies of all terms are
+counted over all files with a mark, hashed into BUCKETS counters. A file with its own license
+keeps it; any other inherits that of the nearest ancestor directory with a license file, by
+equi-joins of (directory, ancestor) paths.
 
 Defined results: null text counts as empty and can only inherit; a null path has no ancestors;
 ties between templates go to the first by name, ties between license files of one directory to
@@ -16,6 +19,9 @@ are ignored.
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +46,30 @@ TEMPLATES = {
     "MIT": "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file",
 }
-_MARK = re.compile(r"licen[sc]e|copyright|permission|redistribut|public domain|spdx", re.I)
+# Standard headers and names of the same licenses.
+_GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
+HEADERS = {
+    "AGPL-3.0": [_GNU.format("affero general public license", 3), "agpl 3.0 or later", "agpl 3.0 only", "agplv3", "agpl v3"],
+    "Apache-2.0": ["apache 2.0", "apache license 2.0"],
+    "BSD-3-Clause": ["bsd 3 clause", "bsd 3 clause license", "license bsd"],
+    "CC-BY-4.0": ["cc by 4.0"],
+    "CC-BY-NC-4.0": ["cc by nc 4.0"],
+    "CC-BY-SA-4.0": ["cc by sa 4.0"],
+    "CC0-1.0": ["cc0 1.0", "cc0 1.0 universal", "license cc0"],
+    "GPL-2.0": [_GNU.format("general public license", 2), "gpl 2.0 or later", "gpl 2.0 only", "gplv2", "gpl v2"],
+    "GPL-3.0": [_GNU.format("general public license", 3), "gpl 3.0 or later", "gpl 3.0 only", "gplv3", "gpl v3"],
+    "ISC": ["isc", "license isc", "isc license"],
+    "LGPL-3.0": [_GNU.format("lesser general public license", 3), "lgpl 3.0 or later", "lgpl 3.0 only", "lgplv3", "lgpl v3"],
+    "MIT": ["mit", "license mit", "mit license"],
+    "MPL-2.0": ["mpl 2.0", "mozilla public license version 2.0"],
+}
+#: Lines on each side of a marked line that a range takes at most.
+REACH = 3
+BUCKETS = 1 << 18
+_MARK = re.compile(r"licen[sc]e|copyright|permission|redistribut|public domain|spdx|(?<![a-z0-9])(?:(?:[al]?gpl|mpl|apache|bsd)[- ]?v?[0-9]|gnu [al]?gpl|cc0|cc[- ]by(?![a-z0-9]))", re.I)
+#: Of every mark, a part in lower case: a text without any of them has no mark.
+_PARTS = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx", "gpl", "mpl", "apache", "bsd", "cc0", "cc-by", "cc by")
+_SPDX = re.compile(r"spdx-license-identifier:\s*(.+)", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -50,85 +79,123 @@ def terms(text: str) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] or words
 
 
+def marked(text: str | None) -> bool:
+    low = (text or "").lower()
+    return any(p in low for p in _PARTS) and _MARK.search(text) is not None
+
+
 def evidence(text: str | None) -> list[str]:
-    """Lines with a mark word."""
-    return [x.strip() for x in (text or "").split("\n") if _MARK.search(x)] if _MARK.search(text or "") else []
+    """Parts of the text to compare, without the whole of it: around each line with a mark all
+    ranges of adjacent lines, the block of lines it stands in, and what a tag names."""
+    if not marked(text):
+        return []
+    lines, parts = text.split("\n"), {}
+    full = [bool(_WORD.search(x.lower())) for x in lines]
+    end = 0
+    for i, line in enumerate(lines):
+        if not full[i]:
+            continue
+        if i >= end:
+            start, end = i, next((k for k in range(i, len(lines)) if not full[k]), len(lines))
+        if _MARK.search(line):
+            if tag := _SPDX.search(line):
+                parts[tag[1].strip()] = None
+            for a in range(i, max(start, i - REACH) - 1, -1):
+                for b in range(i + 1, min(end, i + REACH + 1) + 1):
+                    parts["\n".join(lines[a:b]).strip()] = None
+            parts["\n".join(lines[start:end]).strip()] = None
+    return list(parts)
+
+
+def full_texts() -> dict[str, str]:
+    """The full texts of licenses, by name."""
+    folder = resources.files("tessera.llm") / "licenses"
+    return {f.name.removesuffix(".txt"): f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+
+
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
 class Matcher:
-    """Cosine of a text to each template. weights: inverse document frequency of terms. A notice
-    often is a part of its template, so the text's own terms span the space: of a template, the
-    terms that the text lacks count only by their share ``depth``."""
+    """Cosine of a text to each template. weights: inverse document frequency of terms, or of
+    their buckets. A notice often is a part of its template, so the text's own terms span the
+    space: of a template, the terms that the text lacks count only by their share ``depth``."""
 
-    def __init__(self, weights: dict[str, float], usual: float, depth: float = 0.1):
+    def __init__(self, weights: dict, usual: float, depth: float = 0.1, full: dict[str, str] | None = None):
         self.weights, self.usual, self.depth = weights, usual, depth
-        self.templates = {name: self._vector(text) for name, text in TEMPLATES.items()}
+        texts = [(n, t) for n in TEMPLATES for t in (TEMPLATES[n], *HEADERS[n], *([full[n]] if n in (full or {}) else []))]
+        self.names, self.total, self.index = [n for n, _ in texts], [], {}
+        for i, (_, text) in enumerate(texts):
+            v = self._vector(text)
+            self.total.append(sum(x * x for x in v.values()))
+            for t, x in v.items():
+                self.index.setdefault(t, []).append((i, x))
 
     def _vector(self, text: str) -> dict[str, float]:
-        out: dict[str, float] = {}
-        for t in terms(text):
-            out[t] = out.get(t, 0.0) + 1.0
-        return {t: (1 + np.log(n)) * self.weights.get(t, self.usual) for t, n in out.items()}
+        weigh = lambda t: self.weights.get(t, self.weights.get(bucket(t), self.usual))
+        return {t: (1 + np.log(n)) * weigh(t) for t, n in Counter(terms(text)).items()}
 
     def best(self, text: str) -> tuple[float, str | None]:
         v = self._vector(text)
         norm = np.sqrt(sum(x * x for x in v.values()))
+        dots: dict[int, float] = {}
+        both: dict[int, float] = {}
+        for t, x in v.items():
+            for i, y in self.index.get(t, ()):
+                dots[i] = dots.get(i, 0.0) + x * y
+                both[i] = both.get(i, 0.0) + y * y
         found = (0.0, None)
-        for name, t in self.templates.items():
-            dot = sum(x * t[k] for k, x in v.items() if k in t)
-            if dot:
-                size = np.sqrt(sum(x * x * (1.0 if k in v else self.depth) for k, x in t.items()))
-                found = max(found, (float(dot / (norm * size)), name), key=lambda f: f[0])
+        for i in sorted(dots):
+            size = np.sqrt(both[i] + self.depth * max(self.total[i] - both[i], 0.0))
+            found = max(found, (float(dots[i] / (norm * size)), self.names[i]), key=lambda f: f[0])
         return found
 
 
-def _frequencies(files: DataFrame) -> tuple[dict[str, float], float]:
-    """Inverse document frequencies of the templates' terms, a fixed list, over the evidence of
-    all files; any other term has that of a term seen once."""
+def _frequencies(files: DataFrame) -> tuple[dict[int, float], float]:
+    """Inverse document frequencies of the buckets of terms, over all files with a mark."""
 
     def count(batches):
-        wanted = {t for text in TEMPLATES.values() for t in terms(text)}
         for b in batches:
-            sums: dict[str, int] = {"": 0}
+            sums: Counter[int] = Counter()
             for text in b.column("text").to_pylist():
-                for line in set(evidence(text)):
-                    sums[""] += 1
-                    for t in wanted.intersection(terms(line)):
-                        sums[t] = sums.get(t, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.string()), pa.array(sums.values(), pa.int64())], ["term", "n"])
-
-    n = {r["term"]: r["n"] for r in files.select("text").mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    total = n.pop("", 0)
+                if marked(text):
+                    sums.update({-1, *map(bucket, set(terms(text)))})
+            yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array(sums.values(), pa.int64())], ["term", "n"])
+
+    n = dict(files.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
+    total = n.pop(-1, 0)
     idf = lambda k: float(np.log((1 + total) / (1 + k)) + 1)
     return {t: idf(k) for t, k in n.items()}, idf(0)
 
 
-def own_licenses(files: DataFrame, threshold: float = 0.5, file_share: float = 0.6) -> DataFrame:
+def own_licenses(files: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(path, own_license, own_score, is_license_file) for each of files(path, text)."""
     weights, usual = _frequencies(files)
+    full = full_texts()
 
     def run(batches):
-        matcher, seen = Matcher(weights, usual), {}
+        matcher, seen = Matcher(weights, usual, full=full), {}
         for b in batches:
             names, scores, whole = [], [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
                 best: tuple[float, str | None] = (0.0, None)
-                length = 0
-                for line in evidence(text):
-                    if line not in seen:
+                parts = evidence(text)
+                for part in parts:
+                    if part not in seen:
                         if len(seen) > 10_000:
                             seen.clear()
-                        seen[line] = matcher.best(line)
-                    if seen[line][0] > best[0]:
-                        best, length = seen[line], len(line)
+                        seen[part] = matcher.best(part)
+                    best = max(best, seen[part], key=lambda f: f[0])
                 stem = (path or "").rsplit("/", 1)[-1].upper()
                 named = stem.startswith(("LICENSE", "LICENCE", "COPYING"))
-                if named and text:
-                    best = max(best, matcher.best(text), key=lambda f: f[0])
+                every = matcher.best(text) if text and (parts or named) else (0.0, None)
+                # a text that is a license as a whole quotes others only in passing
+                best = every if every[0] >= threshold else max(best, every, key=lambda f: f[0])
                 ok = best[0] >= threshold
                 names.append(best[1] if ok else None)
                 scores.append(best[0])
-                whole.append(ok and (named or length >= file_share * len(text.strip())))
+                whole.append(every[0] >= threshold or ok and named)
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(whole, pa.bool_())], ["path", "own_license", "own_score", "is_license_file"])
 
     return files.select("path", "text").mapInArrow(run, "path string, own_license string, own_score double, is_license_file boolean")
