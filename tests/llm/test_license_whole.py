@@ -14,3 +14,10 @@ def test_whole_texts(spark):
     assert {n: (got[f"{n}/7"].own_license, got[f"{n}/7"].is_license_file, got[f"{n}/x/8"].license, got[f"{n}/x/8"].from_directory) for n in full} == {n: (n, True, n, n) for n in full}
     assert {p: got[p].own_license for p in ("w/9", "w/10", "n/11", "n/12", "n/13", "n/14", "n/15", "n/16", "n/17")} == {"w/9": "GPL-3.0", "w/10": "GPL-2.0", "n/11": "CC-BY-SA-4.0", "n/12": "GPL-3.0", "n/13": "MIT", "n/14": None, "n/15": "MIT", "n/16": None, "n/17": None}
     assert not got["n/15"].is_license_file and not got["w/10"].is_license_file
+
+
+def test_common_words_weigh_less(spark):
+    """Terms that all evidence has weigh less than those of one file, whatever the templates say."""
+    rows = [(f"a/{i}", f"we ask for permission of the owner {i}") for i in range(40)]
+    weights, usual = license._frequencies(spark.createDataFrame(rows, "path string, text string"))
+    assert weights[license.bucket("we ask")] < weights[license.bucket("owner 7")] < usual
