@@ -3,9 +3,10 @@ r"""Operator 2: secret scans with a linear-chain conditional random field.
 Three base patterns (assign, access, hex) find secrets exactly. A linear-chain CRF, trained here
 on a bounded, seeded sample of lines that the base patterns label, adds further spans: it tags
 each token of a line as begin, inside or outside, from shape classes of the token and of its
-neighbours and from features of the whole file, decoded by Viterbi. A token made of letters and
-sentence punctuation alone is outside by construction, so lines without any other token need no
-decoding; all other lines are decoded whole.
+neighbours and from features of the whole file, decoded by Viterbi. Only sentence punctuation,
+letters beyond ASCII and words of one case with fewer letters than the shortest assigned secret
+are outside by construction. A line is left undecoded only if no token's scores can make up for
+leaving the all-outside path, which is exact; all other lines are decoded whole.
 
 Defined results: null text counts as empty; empty texts have no spans; repeated rows each give
 a row; ties in Viterbi go to the lower label (begin, inside, outside); if no line of the table
@@ -29,14 +30,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 _KEYS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+=*|[^\sA-Za-z0-9+/_.\-]+|\s+")
-#: A character that no plain word or sentence mark has.
-_SPECIAL = re.compile(r"[^\w\s.,;:?!()'\"\-]|[0-9_]")
+#: The same tokens without white space, and the line breaks.
+_LINED = re.compile(r"[A-Za-z0-9+/_.\-]+=*|[^\sA-Za-z0-9+/_.\-]+|\n")
+#: Characters that an assigned secret has at least.
+LEAST = 8
 _PLAIN = re.compile(r"[^\W\d_]+\.?|[.,;:?!()'\"\-]+")
 _LENGTHS = (4, 8, 16, 24, 32, 48)
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
-#: Token classes: 0 plain, 1 keyword, 2 assignment mark, 3 quote, then form x length x digit share.
-N_CLASSES = 4 + 6 * 7 * 3
+#: Token classes: 0 plain, 1 keyword, 2 assignment mark, 3 quote, then form x length x digit share, and the edge of a line.
+N_CLASSES = 4 + 8 * 7 * 3 + 1
+EDGE = N_CLASSES - 1
 N_FILE = 6
 
 
@@ -56,7 +60,13 @@ def token_class(token: str) -> int:
     if token.rstrip("=").lower() in _KEYS:
         return 1
     if _PLAIN.fullmatch(token) and not set(token) <= set(":\"'"):
-        return 0
+        core = token.removesuffix(".")
+        one_case = core.isupper() or core[1:] == core[1:].lower()
+        if not (core.isascii() and core.isalpha()) or one_case and len(core) < LEAST:
+            return 0
+        return 4 + ((6 if one_case else 7) * 7 + sum(len(core) >= x for x in _LENGTHS)) * 3
+    if token == "\n":
+        return EDGE
     if set(token) <= set("=:"):
         return 2
     if set(token) <= set("\"'"):
@@ -108,14 +118,26 @@ def tokens_of(line: str, classes: dict) -> tuple[list[int], list[int], np.ndarra
     return starts, ends, np.array(kinds, np.int64)
 
 
+def _neighbours(kinds: np.ndarray) -> dict[str, np.ndarray]:
+    """Of each token, the rows of the weight tables that it takes; lines are apart by two edges."""
+    edge = np.full(2, EDGE)
+    pad = np.concatenate([edge, kinds, edge])
+    return {"here": kinds, "back2": pad[:-4], "back1": pad[1:-3], "next1": pad[3:-1]}
+
+
 def emissions(weights: dict, kinds: np.ndarray, file_kind: int) -> np.ndarray:
-    """[n, 3] scores of the labels; plain tokens can only be outside."""
-    pad = np.concatenate([[0, 0], kinds, [0, 0]])
-    out = weights["here"][kinds] + weights["back2"][pad[:-4]] + weights["back1"][pad[1:-3]] + weights["next1"][pad[3:-1]] + weights["file"][file_kind]
-    out[kinds == 0, :OUTSIDE] = -np.inf
+    """[n, 3] scores of the labels; plain tokens and edges can only be outside."""
+    out = np.repeat(weights["file"][file_kind][None], len(kinds), 0)
+    for name, rows in _neighbours(kinds).items():
+        out += weights[name][rows]
+    out[_fixed(kinds), :OUTSIDE] = -np.inf
     return out
 
 
+def _fixed(kinds: np.ndarray) -> np.ndarray:
+    return (kinds == 0) | (kinds == EDGE)
+
+
 def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
     """Best labels of a chain; the label before the first token is outside."""
     best, back = scores[0] + moves[OUTSIDE], []
@@ -130,33 +152,30 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 
 
 def crf_spans(text: str, weights: dict, classes: dict) -> list[tuple[int, int]]:
-    """(start, end) of the tagged secrets. Plain tokens are outside, so the best path of a line
-    splits there exactly: each run of other tokens is decoded between two outside labels."""
-    if not _SPECIAL.search(text):
+    """(start, end) of the tagged secrets. Leaving the all-outside path gains at most most_gain
+    at each token in moves, so a line without a token that makes up for its loss has none."""
+    found = _LINED.findall(text.replace("\n", "\n\n"))
+    if not found:
+        return []
+    file_kind, moves = file_features(text), weights["moves"]
+    kinds = np.fromiter(map(classes.__getitem__, found), np.int64, len(found))
+    scores = emissions(weights, kinds, file_kind)
+    hot = np.flatnonzero(scores[:, :OUTSIDE].max(1) + weights["most_gain"] >= scores[:, OUTSIDE])
+    if not len(hot):
         return []
-    spans, at, file_kind = [], 0, file_features(text)
-    moves = weights["moves"]
-    for line in text.split("\n"):
-        if _SPECIAL.search(line):
-            starts, ends, kinds = tokens_of(line, classes)
-            scores = emissions(weights, kinds, file_kind)
-            odd = np.flatnonzero(kinds)
-            # a lone token's best label needs no loop: it stands between two outside labels
-            runs = np.split(odd, np.flatnonzero(np.diff(odd) > 1) + 1) if len(odd) else []
-            for run in runs:
-                a, b = int(run[0]), int(run[-1]) + 1
-                part = scores[a:b]
-                if (part[:, :OUTSIDE] + weights["most_gain"] < part[:, OUTSIDE:]).all():
-                    continue
-                closed = part if b == len(kinds) else np.vstack([part, [[-np.inf, -np.inf, 0.0]]])
+    broken = np.flatnonzero(np.array([x == "\n" for x in found]))[::2]
+    breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+    spans = []
+    for k in np.unique(np.searchsorted(broken, hot)).tolist():
+        at = breaks[k] + 1
+        starts, ends, kinds = tokens_of(text[at : breaks[k + 1]], classes)
+        open_at = None
+        for i, label in enumerate([*viterbi(emissions(weights, kinds, file_kind), moves), OUTSIDE]):
+            if open_at is not None and label != INSIDE:
+                spans.append((at + starts[open_at], at + ends[i - 1]))
                 open_at = None
-                for k, label in enumerate([*viterbi(closed, moves)[: b - a], OUTSIDE]):
-                    if open_at is not None and label != INSIDE:
-                        spans.append((at + starts[open_at], at + ends[a + k - 1]))
-                        open_at = None
-                    if label == BEGIN:
-                        open_at = a + k
-        at += len(line) + 1
+            if label == BEGIN:
+                open_at = i
     return spans
 
 
@@ -188,7 +207,7 @@ def _sample_lines(batches):
                     starts, ends, kinds = tokens_of(line, classes)
                     labels = [OUTSIDE] * len(kinds)
                     for s, e in inside:
-                        hit = [i for i in range(len(kinds)) if starts[i] < e and s < ends[i]]
+                        hit = [i for i in np.flatnonzero(~_fixed(kinds)).tolist() if starts[i] < e and s < ends[i]]
                         for n, i in enumerate(hit):
                             labels[i] = INSIDE if n else BEGIN
                     first = next((i for i, x in enumerate(labels) if x != OUTSIDE), 30)
@@ -200,13 +219,13 @@ def _sample_lines(batches):
 
 
 def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict | None:
-    """CRF weights from at most sample_docs documents with a base pattern and as many with
-    special characters but none, the smallest by seeded hash. None if no line has a span."""
+    """CRF weights from at most sample_docs documents with a base pattern and as many
+    without, the smallest by seeded hash. None if no line has a span."""
     text = F.col("text")
     has = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}") | text.rlike("AKIA[A-Z0-9]{12}") | text.rlike("[0-9a-f]{32}")
     docs = docs.select("text").filter(text.isNotNull() & (F.length(text) <= 50_000)).withColumn("seed", F.xxhash64(text, F.lit(17)))
     # seeds first: the texts of the sample alone are gathered, below the seed that bounds it
-    marks = cut(docs.select("seed", F.when(has, 1).when(text.rlike("[0-9=_#$%]"), 0).alias("kind")).filter("kind is not null").distinct())
+    marks = cut(docs.select("seed", F.when(has, 1).otherwise(0).alias("kind")).distinct())
     lines = []
     for kind in (1, 0):
         last = marks.filter(F.col("kind") == kind).select("seed").orderBy("seed").limit(sample_docs).agg(F.max("seed")).first()[0]
@@ -225,28 +244,28 @@ def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dic
     lines at once."""
     lines = sorted(lines, key=lambda x: (x[0], x[1], x[2]))
     n, width = len(lines), max(len(x[0]) for x in lines)
-    kinds, labels, real = np.zeros((n, width + 4), np.int64), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
+    kinds, labels, real = np.full((n, width), EDGE), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
     for i, (k, y, _) in enumerate(lines):
-        kinds[i, 2 : 2 + len(k)], labels[i, : len(k)], real[i, : len(k)] = k, y, True
+        kinds[i, : len(k)], labels[i, : len(k)], real[i, : len(k)] = k, y, True
     files = np.array([x[2] for x in lines])[:, None].repeat(width, 1)
-    index = {"back2": kinds[:, :-4], "back1": kinds[:, 1:-3], "here": kinds[:, 2:-2], "next1": kinds[:, 3:-1], "file": files}
-    w = {k: np.zeros((N_FILE if k == "file" else N_CLASSES, 3)) for k in index} | {"moves": np.zeros((3, 3))}
+    # two edges after each line, so that the lines can stand in one row
+    flat = _neighbours(np.pad(kinds, ((0, 0), (0, 2)), constant_values=EDGE).ravel())
+    index = {k: i.reshape(n, width + 2)[:, :width] for k, i in flat.items()} | {"file": files}
+    sizes = {k: N_FILE if k == "file" else N_CLASSES for k in index}
+    w = {k: np.zeros((size, 3)) for k, size in sizes.items()} | {"moves": np.zeros((3, 3))}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v2 = {k: np.zeros_like(v) for k, v in w.items()}
     gold = np.eye(3)[labels] * real[:, :, None]
     before = np.concatenate([np.full((n, 1), OUTSIDE), labels[:, :-1]], 1)
     gold_moves = np.zeros((3, 3))
     np.add.at(gold_moves, (before[real], labels[real]), 1)
-    plain = (kinds[:, 2:-2] == 0)[:, :, None] & (np.arange(3) != OUTSIDE)
+    plain = _fixed(kinds)[:, :, None] & (np.arange(3) != OUTSIDE)
     for t in range(1, rounds + 1):
         score = sum(w[k][i] for k, i in index.items())
         score = np.where(plain, -1e4, score)
         expect, moves = _expected(score, w["moves"], real)
-        grad = {}
-        for k, i in index.items():
-            g = np.zeros_like(w[k])
-            np.add.at(g, i.ravel(), ((expect - gold) * real[:, :, None]).reshape(-1, 3))
-            grad[k] = g + 0.05 * w[k]
+        off = (expect - gold)[real]
+        grad = {k: np.stack([np.bincount(i[real], off[:, y], sizes[k]) for y in range(3)], 1) + 0.05 * w[k] for k, i in index.items()}
         grad["moves"] = moves - gold_moves + 0.05 * w["moves"]
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
