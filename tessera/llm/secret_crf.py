@@ -3,7 +3,8 @@ r"""Operator 2: secret scans with a linear-chain conditional random field.
 Three base patterns (assign, access, hex) find secrets exactly. A linear-chain CRF, trained here
 on a bounded, seeded sample of lines that the base patterns label, adds further spans: it tags
 each token of a line as begin, inside or outside, from shape classes of the token and of its
-neighbours and from features of the whole file, decoded by Viterbi. Only sentence punctuation,
+neighbours, from their lower-cased words hashed into N_WORDS buckets (those beside it, and the
+last word before it past any marks), and from features of the whole file, decoded by Viterbi. Only sentence punctuation,
 letters beyond ASCII and words of one case with fewer letters than the shortest assigned secret
 are outside by construction. A line is left undecoded only if no token's scores can make up for
 leaving the all-outside path, which is exact; all other lines are decoded whole.
@@ -16,6 +17,7 @@ has a base span, the CRF adds none; empty tables give empty results; extra colum
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,9 @@ BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 N_CLASSES = 4 + 8 * 7 * 3 + 1
 EDGE = N_CLASSES - 1
 N_FILE = 6
+#: Buckets of words; 0 is no word, 1 the edge of a line. A token's code is its class + N_CLASSES * bucket.
+N_WORDS = 1 << 12
+_NAME = re.compile(r"[A-Za-z][A-Za-z_.\-]{0,31}|[^\W\d_]{1,32}")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -90,11 +95,17 @@ def token_class(token: str) -> int:
     return 4 + (form * 7 + length) * 3 + share
 
 
+def token_code(token: str) -> int:
+    word = token.rstrip("=").strip(".").lower()
+    bucket = 1 if token == "\n" else 2 + zlib.crc32(word.encode("utf-8", "surrogatepass")) % (N_WORDS - 2) if _NAME.fullmatch(word) else 0
+    return token_class(token) + N_CLASSES * bucket
+
+
 class _Classes(dict):
     def __missing__(self, token):
         if len(self) > 500_000:
             self.clear()
-        out = self[token] = token_class(token)
+        out = self[token] = token_code(token)
         return out
 
 
@@ -107,7 +118,7 @@ def file_features(text: str) -> int:
 
 
 def tokens_of(line: str, classes: dict) -> tuple[list[int], list[int], np.ndarray]:
-    """Starts, ends and classes of the tokens of a line."""
+    """Starts, ends and codes of the tokens of a line."""
     starts, ends, kinds, at = [], [], [], 0
     for piece in _TOKEN.findall(line):
         if not piece[0].isspace():
@@ -118,23 +129,30 @@ def tokens_of(line: str, classes: dict) -> tuple[list[int], list[int], np.ndarra
     return starts, ends, np.array(kinds, np.int64)
 
 
-def _neighbours(kinds: np.ndarray) -> dict[str, np.ndarray]:
+_BREAK = EDGE + N_CLASSES
+_SHAPES = ("here", "back2", "back1", "next1")
+_WORDS = ("word2", "word1", "word_next", "word_last")
+
+
+def _neighbours(codes: np.ndarray) -> dict[str, np.ndarray]:
     """Of each token, the rows of the weight tables that it takes; lines are apart by two edges."""
-    edge = np.full(2, EDGE)
-    pad = np.concatenate([edge, kinds, edge])
-    return {"here": kinds, "back2": pad[:-4], "back1": pad[1:-3], "next1": pad[3:-1]}
+    edge = np.full(2, _BREAK)
+    words, pad = np.divmod(np.concatenate([edge, codes, edge]), N_CLASSES)
+    last = words[np.maximum.accumulate(np.where(words > 0, np.arange(len(words)), 0))]
+    return dict(zip(_SHAPES, (pad[2:-2], pad[:-4], pad[1:-3], pad[3:-1]), strict=True)) | dict(zip(_WORDS, (words[:-4], words[1:-3], words[3:-1], last[1:-3]), strict=True))
 
 
-def emissions(weights: dict, kinds: np.ndarray, file_kind: int) -> np.ndarray:
+def emissions(weights: dict, codes: np.ndarray, file_kind: int) -> np.ndarray:
     """[n, 3] scores of the labels; plain tokens and edges can only be outside."""
-    out = np.repeat(weights["file"][file_kind][None], len(kinds), 0)
-    for name, rows in _neighbours(kinds).items():
+    out = np.repeat(weights["file"][file_kind][None], len(codes), 0)
+    for name, rows in _neighbours(codes).items():
         out += weights[name][rows]
-    out[_fixed(kinds), :OUTSIDE] = -np.inf
+    out[_fixed(codes), :OUTSIDE] = -np.inf
     return out
 
 
-def _fixed(kinds: np.ndarray) -> np.ndarray:
+def _fixed(codes: np.ndarray) -> np.ndarray:
+    kinds = codes % N_CLASSES
     return (kinds == 0) | (kinds == EDGE)
 
 
@@ -193,7 +211,7 @@ def scan(text: str | None, weights: dict | None, classes: dict) -> list[tuple[in
 
 
 def _sample_lines(batches):
-    """Lines of sampled texts as (class list, labels, file features), at most 60 tokens each."""
+    """Lines of sampled texts as (code list, labels, file features), at most 60 tokens each."""
     classes = _Classes()
     for b in batches:
         rows = []
@@ -244,14 +262,14 @@ def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dic
     lines at once."""
     lines = sorted(lines, key=lambda x: (x[0], x[1], x[2]))
     n, width = len(lines), max(len(x[0]) for x in lines)
-    kinds, labels, real = np.full((n, width), EDGE), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
+    kinds, labels, real = np.full((n, width), _BREAK), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
     for i, (k, y, _) in enumerate(lines):
         kinds[i, : len(k)], labels[i, : len(k)], real[i, : len(k)] = k, y, True
     files = np.array([x[2] for x in lines])[:, None].repeat(width, 1)
     # two edges after each line, so that the lines can stand in one row
-    flat = _neighbours(np.pad(kinds, ((0, 0), (0, 2)), constant_values=EDGE).ravel())
+    flat = _neighbours(np.pad(kinds, ((0, 0), (0, 2)), constant_values=_BREAK).ravel())
     index = {k: i.reshape(n, width + 2)[:, :width] for k, i in flat.items()} | {"file": files}
-    sizes = {k: N_FILE if k == "file" else N_CLASSES for k in index}
+    sizes = {k: N_FILE if k == "file" else N_WORDS if k in _WORDS else N_CLASSES for k in index}
     w = {k: np.zeros((size, 3)) for k, size in sizes.items()} | {"moves": np.zeros((3, 3))}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v2 = {k: np.zeros_like(v) for k, v in w.items()}

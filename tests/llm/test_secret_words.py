@@ -59,3 +59,16 @@ def test_skipped_lines_are_exact():
                     want.append((at + starts[i], at + ends[end - 1]))
             at += len(line) + 1
         assert crf.crf_spans(text, w, classes) == want
+
+
+def test_neighbouring_words():
+    """Values of one shape, told apart by the word before them alone."""
+    classes, lines = crf._Classes(), []
+    for i in range(300):
+        v = "".join(RNG.choices("0123456789abcdef", k=24))
+        head = RNG.choice([("bearer", " "), ("pwd", ': "'), ("credential", " = ")] if i % 2 else [("commit", " "), ("digest", ': "'), ("trace", " = ")])
+        lines.append(line_of(f"{word()} {''.join(head)}{v}{'"' * ('"' in head[1])} {word()}", v if i % 2 else "", classes))
+    w = crf.fit(lines)
+    assert tagged("at 1 Bearer 0a1b2c3d4e5f60718293a4b5 end\nat 1 commit 0a1b2c3d4e5f60718293a4b5 end", w) == ["0a1b2c3d4e5f60718293a4b5"]
+    text = 'x PWD: "0a1b2c3d4e5f60718293a4b5" end\nx digest: "0a1b2c3d4e5f60718293a4b5" end'
+    assert crf.crf_spans(text, w, classes) == [(8, 32)]
