@@ -16,6 +16,7 @@ has a base span, the CRF adds none; empty tables give empty results; extra colum
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 
@@ -210,38 +211,53 @@ def scan(text: str | None, weights: dict | None, classes: dict) -> list[tuple[in
 # ---- training, on a bounded sample ----
 
 
+#: Of each sampled text, at most so many lines with a span and without one, by least seeded hash.
+WITH_SPAN, WITHOUT = 16, 6
+
+
+def _line_seed(line: str) -> int:
+    return zlib.crc32(line.encode("utf-8", "surrogatepass"), 17)
+
+
 def _sample_lines(batches):
-    """Lines of sampled texts as (code list, labels, file features), at most 60 tokens each."""
+    """Lines of sampled texts as (code list, labels, file features, seed), at most 60 tokens each."""
     classes = _Classes()
     for b in batches:
         rows = []
         for text in b.column("text").to_pylist():
-            base, at, taken = base_spans(text), 0, 0
-            value = [(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] + [(s, e) for s, k, e in base if k]
-            file_kind = file_features(text)
+            value = sorted([(m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST] + [(s, e) for s, k, e in base_spans(text) if k])
+            file_kind, at, v = file_features(text), 0, 0
+            drawn: tuple[list, list] = ([], [])
             for line in text.split("\n"):
-                inside = [(s - at, e - at) for s, e in value if at <= s < at + len(line)]
-                if inside or taken < 3 and line:
+                inside = []
+                while v < len(value) and value[v][0] < at + len(line):
+                    inside.append((value[v][0] - at, value[v][1] - at))
+                    v += 1
+                if inside or line.strip():
+                    drawn[not inside].append((_line_seed(line), line, inside))
+                at += len(line) + 1
+            for lines, most in zip(drawn, (WITH_SPAN, WITHOUT), strict=True):
+                for seed, line, inside in heapq.nsmallest(most, lines):
                     starts, ends, kinds = tokens_of(line, classes)
                     labels = [OUTSIDE] * len(kinds)
                     for s, e in inside:
                         hit = [i for i in np.flatnonzero(~_fixed(kinds)).tolist() if starts[i] < e and s < ends[i]]
                         for n, i in enumerate(hit):
                             labels[i] = INSIDE if n else BEGIN
-                    first = next((i for i, x in enumerate(labels) if x != OUTSIDE), 30)
+                    # without a span, any 60 tokens of the line, so that long lines give more than their start
+                    first = next((i for i, x in enumerate(labels) if x != OUTSIDE), 30 + seed % max(1, len(kinds) - 59))
                     a = max(0, first - 30)
-                    rows.append((kinds[a : a + 60].tolist(), labels[a : a + 60], file_kind))
-                    taken += not inside
-                at += len(line) + 1
-        yield pa.RecordBatch.from_pydict({"kinds": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "labels": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "file": pa.array([r[2] for r in rows], pa.int64())})
+                    rows.append((kinds[a : a + 60].tolist(), labels[a : a + 60], file_kind, seed))
+        yield pa.RecordBatch.from_pydict({"kinds": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "labels": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "file": pa.array([r[2] for r in rows], pa.int64()), "seed": pa.array([r[3] for r in rows], pa.int64())})
 
 
 def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict | None:
     """CRF weights from at most sample_docs documents with a base pattern and as many
-    without, the smallest by seeded hash. None if no line has a span."""
+    without, the smallest by seeded hash, whatever their length; of each, lines by seeded hash.
+    None if no line has a span."""
     text = F.col("text")
     has = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8}") | text.rlike("AKIA[A-Z0-9]{12}") | text.rlike("[0-9a-f]{32}")
-    docs = docs.select("text").filter(text.isNotNull() & (F.length(text) <= 50_000)).withColumn("seed", F.xxhash64(text, F.lit(17)))
+    docs = docs.select("text").filter(text.isNotNull()).withColumn("seed", F.xxhash64(text, F.lit(17)))
     # seeds first: the texts of the sample alone are gathered, below the seed that bounds it
     marks = cut(docs.select("seed", F.when(has, 1).otherwise(0).alias("kind")).distinct())
     lines = []
@@ -250,8 +266,8 @@ def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict |
         if last is not None:
             near = docs.filter(F.col("seed") <= last).join(F.broadcast(marks.filter((F.col("kind") == kind) & (F.col("seed") <= last)).select("seed")), "seed", "left_semi")
             sample = near.dropDuplicates(["seed"]).select("text")
-            lines += [(r.kinds, r.labels, r.file) for r in sample.mapInArrow(_sample_lines, "kinds array<long>, labels array<long>, file long").collect() if r.kinds]
-    lines = sorted(lines)[: sample_docs * 16]
+            lines += [(r.seed, r.kinds, r.labels, r.file) for r in sample.mapInArrow(_sample_lines, "kinds array<long>, labels array<long>, file long, seed long").collect() if r.kinds]
+    lines = [x[1:] for x in sorted(lines)[: sample_docs * 16]]
     if not any(BEGIN in x[1] for x in lines):
         return None
     return fit(lines, rounds)

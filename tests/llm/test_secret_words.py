@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from tessera.llm import secret_crf as crf
 
@@ -72,3 +73,29 @@ def test_neighbouring_words():
     assert tagged("at 1 Bearer 0a1b2c3d4e5f60718293a4b5 end\nat 1 commit 0a1b2c3d4e5f60718293a4b5 end", w) == ["0a1b2c3d4e5f60718293a4b5"]
     text = 'x PWD: "0a1b2c3d4e5f60718293a4b5" end\nx digest: "0a1b2c3d4e5f60718293a4b5" end'
     assert crf.crf_spans(text, w, classes) == [(8, 32)]
+
+
+def sampled(texts):
+    return [(r["kinds"], r["labels"]) for b in crf._sample_lines([pa.RecordBatch.from_pydict({"text": texts})]) for r in b.to_pylist()]
+
+
+def test_sample_of_lines(spark):
+    text = "\n".join(f"{word()} {word()} in line {i}" for i in range(400))
+    drawn = sampled([text])
+    first = [crf.tokens_of(x, crf._Classes())[2].tolist() for x in text.split("\n")[:20]]
+    assert len(drawn) == crf.WITHOUT and sum(k in first for k, _ in drawn) <= 2
+    assert max(len(k) for k, _ in sampled([" ".join(word() for _ in range(500))])) == 60
+    # the bound on all lines keeps lines that begin with a secret's name, and long texts train too
+    value = lambda i: f"{i:04}" + "".join(RNG.choices("0123456789abcdef", k=12))
+    texts = ["\n".join(f'{RNG.choice(["api_key", word() + " token"])} = "{value(i)}"' for i in range(40)) for _ in range(5)] + ["\n".join(f"{word()} goes on" for _ in range(9000)) + '\napi_key = "0a1b2c3d4e5f"']
+    assert len(texts[-1]) > 50_000
+    seen = []
+    fit, crf.fit = crf.fit, lambda lines, rounds: seen.append(lines)
+    try:
+        crf.train(spark.createDataFrame([(t,) for t in texts], "text string"), sample_docs=4)
+        crf.train(spark.createDataFrame([(texts[-1],)], "text string"))
+    finally:
+        crf.fit = fit
+    name = crf.token_code("api_key")
+    assert len(seen[0]) == 64 and 16 < sum(k[0] == name for k, _, _ in seen[0]) < 48
+    assert any(k[0] == name for k, _, _ in seen[1])
