@@ -6,9 +6,9 @@ to the others by weight until no target is above (water filling). Each source is
 seeded shards of about ``shard_words`` words, and each shard is cut into equal blocks of tokens.
 Sainte-Lague gives a block to each of the highest quotients target / (k - 1/2): with the block
 as the divisor, a shard's integer quota is its share of the target over its block, rounded.
-Of its n blocks a quota q takes all of them q div n times and a seeded choice of q mod n once
-more: the blocks i with (i * prime + seed) mod n < q mod n, which needs no sort and no list of
-blocks. Blocks run over the words of the shard's documents in order of doc_id.
+Of its n blocks a quota q takes all of them q div n times and r = q mod n of them once more: the
+blocks i with (i * r + seed) mod n < r, which are exactly r for any n, at even distances over the
+whole shard from a seeded start, and need no sort and no list of blocks. Blocks run over the words of the shard's documents in order of doc_id.
 
 Defined results: null text counts as empty (size 0, taken 0); a null source is a source of its
 own, after all others; a source without words has target 0; repeated rows are documents of
@@ -26,9 +26,6 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, lookup, masked, n_words, unmasked
 
-#: A Mersenne prime above any number of blocks of a shard, so it has no common factor with it.
-PRIME = (1 << 31) - 1
-
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), ratio: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size, target) from (source, source_size), one row per source: these
@@ -61,7 +58,7 @@ def _placed(docs: DataFrame, sized: DataFrame, block_words: int, shard_words: in
     placed = dealt.withColumn("first", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("shard_size", F.sum("size").over(shard))
     n = F.greatest(F.ceil(F.col("shard_size") / block_words), F.least(F.col("shard_size"), F.lit(least_blocks)), F.lit(1))
     # target * (shard_size / source_size) / (shard_size / n), rounded: the shard's quota
-    return placed.withColumn("n", n).withColumn("quota", F.floor(F.coalesce(F.col("target") * n / F.nullif("source_size", F.lit(0)), F.lit(0.0)) + 0.5)).withColumn("shift", F.pmod(F.xxhash64("part", F.lit(seed)), F.lit(PRIME)))
+    return placed.withColumn("n", n).withColumn("quota", F.floor(F.coalesce(F.col("target") * n / F.nullif("source_size", F.lit(0)), F.lit(0.0)) + 0.5)).withColumn("shift", F.pmod(F.xxhash64("part", F.lit(seed)), n))
 
 
 def _first_word(block: Column) -> Column:
@@ -69,7 +66,8 @@ def _first_word(block: Column) -> Column:
 
 
 def _picked(block: Column) -> Column:
-    return F.pmod(block * PRIME + F.col("shift"), F.col("n")) < F.col("quota") % F.col("n")
+    rest = F.col("quota") % F.col("n")
+    return F.pmod(block * rest + F.col("shift"), F.col("n")) < rest
 
 
 def _blocks() -> Column:
