@@ -9,17 +9,24 @@
    stay only in the lists of their rarest pairs: with m pairs left, any partner shares one of the
    m - threshold + 1 rarest (the prefix).
 3. Each list links its members to its hub, the member with the most collisions in all. These
-   links are counted on the signatures and confirmed on the full shingle sets. That joins
-   families of copies of any size with a linear number of pairs.
-4. Lists whose members are still in different components are compared block by block: every
-   member outside a list's largest component meets all members of other components, so no link
-   between components is lost. A pair is counted on longer signatures (``FINE`` coordinates of
-   one byte), in one list only, the first that it shares, and survivors are confirmed too.
-
-Defined results: null or blank text has no shingles, stays alone and is kept; a null doc_id
-belongs to the component of its equal sets, if they have an id, and is then not kept; rows with
-one doc_id are one node of the graph; repeated rows each give a row; empty tables give empty
-results; extra columns are ignored.
+   links are counted on signatures of ``FINE`` coordinates of one byte and confirmed on the full
+   shingle sets. That joins families of copies of any size with a linear number of pairs.
+4. In lists whose members are still in different components, the members outside the largest
+   component (minor) meet all members of other components, so no link between components is
+   lost. A list of N members with at most ``block`` minor ones is compared in blocks, which moves
+   at most N + block rows. Members of lists with more (a passage that many unlike documents
+   share) are posted anew under the rarest of their full shingles: with n shingles, any partner
+   has one of the n - ceil(n * percent / 100) + 1 rarest, which leaves the shared passage out.
+   Those lists go through steps 3 and 4 again. A pair is counted in one list only, the first that
+   it shares, and survivors are confirmed too.
+
+Defined results: null or blank text has no shingles, stays alone and is kept; a document with a
+null doc_id is linked like others, its component is the smallest doc_id reachable, and it is then
+not kept; if none is reachable, it has no component and is kept (where some doc_id is 2**62 or
+more, documents without a doc_id are linked with equal sets only); rows with one doc_id are one
+node of the graph; repeated rows each give a row; texts of any length are taken whole, a batch
+is worked on in slices bounded by bytes; empty tables give empty results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, masked, unmasked
+from tessera.llm.common import IdFilter, cut, masked, slices, unmasked
 from tessera.llm.graph import components
 
 COORDINATES, FINE = 64, 1024
@@ -42,12 +49,12 @@ _MULTIPLIERS = np.random.default_rng(4).integers(1, 1 << 63, FINE, dtype=np.uint
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept between rows."""
+    """64-bit hashes of words; those of the first words are kept between rows."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 50_000:
+            self[word] = h
         return h
 
 
@@ -97,20 +104,22 @@ def collision_threshold(percent: int, coordinates: int = COORDINATES, miss: floa
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, set_hash, sig); the last two are null for an empty set."""
+    """(id, named, n, set_hash, sig) of docs(id, named, text); the last two are null for an empty
+    set."""
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
-            n, names, sigs = [], [], []
-            for text in b.column("text").to_pylist():
-                x = shingle_set(text, shingle, hashes)
-                n.append(len(x))
-                names.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
-                sigs.append(signature(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_hash", "sig"])
+        for batch in batches:
+            for b in slices(batch, "text"):
+                n, names, sigs = [], [], []
+                for text in b.column("text").to_pylist():
+                    x = shingle_set(text, shingle, hashes)
+                    n.append(len(x))
+                    names.append(xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None)
+                    sigs.append(signature(x).tobytes() if len(x) else None)
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("named"), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(sigs, pa.binary())], ["id", "named", "n", "set_hash", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, set_hash binary, sig binary")
+    return docs.select("id", "named", "text").mapInArrow(run, "id long, named boolean, n long, set_hash binary, sig binary")
 
 
 def _sig_rows(column) -> np.ndarray:
@@ -143,30 +152,71 @@ def _fine(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for b in batches:
-            sets = [shingle_set(t, shingle, hashes) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array([len(x) for x in sets], pa.int64()), pa.array([fine_signature(x).tobytes() for x in sets], pa.binary())], ["rep", "n", "fine"])
+        for batch in batches:
+            for b in slices(batch, "text"):
+                n, fine = [], []
+                for text in b.column("text").to_pylist():
+                    x = shingle_set(text, shingle, hashes)
+                    n.append(len(x))
+                    fine.append(fine_signature(x).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(n, pa.int64()), pa.array(fine, pa.binary())], ["rep", "n", "fine"])
 
     return texts.mapInArrow(run, "rep long, n long, fine binary").dropDuplicates(["rep"])
 
 
+def _full_prefixes(texts: DataFrame, n: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(rep, central, keys) of texts(rep, text): the rarest full shingles that any partner at the
+    similarity has one of. n is (rep, n)."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            for b in slices(batch, "text"):
+                sets = [shingle_set(t, shingle, hashes).view(np.int64) for t in b.column("text").to_pylist()]
+                reps = np.repeat(b.column("rep").to_numpy(), [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets))], ["rep", "key"])
+
+    posted = cut(texts.mapInArrow(run, "rep long, key long"))
+    often = cut(posted.groupBy("key").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    shared = posted.join(often, "key").groupBy("rep").agg(F.collect_set(F.struct("often", "key")).alias("pairs"), F.sum("often").alias("central")).join(n, "rep")
+    # what one document alone has is rarer than all others: it takes its part of the prefix
+    size = F.size("pairs") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    return shared.filter(size > 0).select("rep", "central", F.array_sort(F.transform(F.slice(F.array_sort("pairs"), F.lit(1), size), lambda x: x["key"])).alias("keys"))
+
+
 def _bytes_rows(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint8).reshape(-1, FINE)
 
 
+def _star(lists: DataFrame, block: int = 64) -> DataFrame:
+    """(a, b, block): each member b of a list(key, rep, central) with its hub a. The partners of a
+    hub are dealt into blocks of about block, so a hub is met in many tasks."""
+    hubs = cut(lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"))).alias("hub"), F.count(F.lit(1)).alias("often")).filter("often > 1"))
+    pairs = lists.join(hubs, "key").select((-F.col("hub.less")).alias("a"), F.col("rep").alias("b"), "often").filter("a <> b").groupBy("a", "b").agg(F.max("often").alias("often"))
+    return pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("often") / block)).alias("block"))
+
+
+def _dealt(pairs: DataFrame, block: int = 64) -> DataFrame:
+    """pairs(a, b) with such a block."""
+    sizes = cut(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    return pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+
+
 def _count(pairs: DataFrame, fine: DataFrame, threshold: int, percent: int) -> DataFrame:
-    """The pairs(a, b) with enough collisions whose set sizes allow the similarity."""
+    """The pairs(a, b, block) with enough collisions whose set sizes allow the similarity."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in slices(batch, "fine_a", "fine_b"):
                 same = _bytes_rows(b.column("fine_a").to_pylist()) == _bytes_rows(b.column("fine_b").to_pylist())
                 ok = np.count_nonzero(same, axis=1) >= threshold
                 ok &= _fit(b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), percent)
-                yield b.select(["a", "b"]).filter(pa.array(ok))
+                yield b.select(["a", "b", "block"]).filter(pa.array(ok))
 
     side = lambda x: fine.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"fine_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    pairs = cut(pairs)
+    heads = pairs.select("a", "block").distinct().join(side("a"), "a")
+    return pairs.join(side("b"), "b").join(heads, ["a", "block"]).mapInArrow(run, "a long, b long, block long")
 
 
 class _Members:
@@ -199,13 +249,25 @@ def _new_pairs(key: int, own: _Members, other: _Members, visiting: bool, thresho
     return out
 
 
-def _compare_blocks(lists: DataFrame, members: DataFrame, threshold: int, percent: int, block: int = 512) -> DataFrame:
-    """Candidate pairs (a, b) of different components, from lists(key, rep, component). Each
-    list is dealt into blocks; members outside its largest component (minor) visit all blocks.
-    A block's own rows are held, its visitors stream by."""
-    sizes = lists.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    tops = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    rows = lists.join(tops, "key").withColumn("minor", F.col("component") != F.col("top.component")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+def _opened(marked: DataFrame, block: int) -> DataFrame:
+    """Of lists(key, rep, component), those whose members are in different components, as
+    (key, rep, component, minor, minors, blocks)."""
+    sizes = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    tops = cut(tops.select("key", "top", (F.col("size") - F.col("top.size")).alias("minors"), F.ceil(F.col("size") / block).cast("int").alias("blocks")))
+    return cut(marked.join(tops, "key").select("key", "rep", "component", (F.col("component") != F.col("top.component")).alias("minor"), "minors", "blocks"))
+
+
+def _open_lists(lists: DataFrame, comps: DataFrame, block: int) -> DataFrame:
+    marked = lists.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    return _opened(cut(marked), block)
+
+
+def _compare_blocks(lists: DataFrame, members: DataFrame, threshold: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different components, from open lists. Each list is dealt into
+    its blocks; minor members visit all of them. A block's own rows are held, its visitors
+    stream by."""
+    rows = lists.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     to = F.when(F.col("minor"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
     rows = rows.select("key", "rep", "component", "minor", "own", F.explode(to).alias("block")).withColumn("visits", F.col("own") != F.col("block")).join(members, "rep")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -224,7 +286,7 @@ def _compare_blocks(lists: DataFrame, members: DataFrame, threshold: int, percen
                 own = _Members(held)
                 found.extend(_new_pairs(at[0], own, own, False, threshold, percent))
 
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "fine")):
             visitors: list[tuple] = []
             for key, block_, visits, *row in zip(*(b.column(c).to_pylist() for c in ("key", "block", "visits", *names)), strict=True):
                 if (key, block_) != at:
@@ -247,19 +309,17 @@ def _compare_blocks(lists: DataFrame, members: DataFrame, threshold: int, percen
     return rows.select("key", "block", "visits", *names).repartition(n, "key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(run, "a long, b long")
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, block: int = 64) -> DataFrame:
-    """The pairs(a, b) whose full shingle sets are similar enough. The text of a is met by those
-    of about block partners at a time, so a node with many partners is spread over tasks."""
-    pairs = cut(pairs)
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs(a, b, block) whose full shingle sets are similar enough. The text of a is met by
+    those of the partners in its block, so a node with many partners is spread over tasks."""
+    dealt = cut(pairs)
     heads = dealt.select("a", "block").distinct().join(texts.withColumnRenamed("rep", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "text")
     members = dealt.join(texts.withColumnRenamed("rep", "b"), "b").select("a", "block", "b", "text")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         hashes, at, head = WordHashes(), None, None
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, "text")):
             found = []
             for a, block_, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "block", "b", "text")), strict=True):
                 x = shingle_set(text, shingle, hashes)
@@ -274,42 +334,76 @@ def _confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int, blo
     return heads.unionByName(members).repartition(n, "a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+def _families(lists: DataFrame, comps: DataFrame | None, fine: DataFrame, texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The confirmed links of the lists' members to their hubs, and the components with them."""
+    star = _star(lists)
+    if comps is not None:
+        side = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+        known = cut(star).join(side("b"), "b", "left").join(side("a"), "a", "left")
+        star = known.filter(~F.coalesce(F.col("c_a") == F.col("c_b"), F.lit(False))).select("a", "b", "block")
+    links = cut(_confirm(_count(star, fine, collision_threshold(percent, FINE), percent), texts, shingle, percent))
+    return links, _joined(comps, links)
+
+
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, component) with the links(a, b) added: they join whole components."""
+    if comps is None:
+        return cut(components(links))
+    named = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    joined = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    above = cut(components(joined))
+    nodes = comps.unionByName(above.join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return cut(nodes.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
+_UNNAMED = 1 << 62
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each of docs(doc_id, text); linked
     are documents with 100 * |A and B| >= percent * |A or B|."""
-    threshold = collision_threshold(percent)
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
+    room = (docs.agg(F.max("doc_id")).first()[0] or 0) < _UNNAMED
+    unnamed = F.lit(_UNNAMED) + F.xxhash64("text").bitwiseAND(F.lit(_UNNAMED - 1)) if room else F.lit(None)
+    docs = docs.select(F.coalesce("doc_id", unnamed.cast("long")).alias("id"), F.col("doc_id").isNotNull().alias("named"), "text")
     signed = cut(signatures(docs, shingle))
-    classes = cut(signed.filter("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    known = classes.filter("rep is not null")
-    prefixes = cut(_prefixes(known, threshold))
+    classes = cut(signed.filter("n > 0").groupBy("set_hash").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    prefixes = cut(_prefixes(classes.filter("rep is not null"), collision_threshold(percent)))
     lists = prefixes.select("rep", "central", F.explode("keys").alias("key"))
-    hubs = lists.groupBy("key").agg(F.max(F.struct("central", (-F.col("rep")).alias("less"))).alias("hub"), F.count(F.lit(1)).alias("often")).filter("often > 1")
-    star = lists.join(hubs, "key").select((-F.col("hub.less")).alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(prefixes.select("rep"), "rep", "left_semi"))
+    reps = prefixes.select("rep")
+    texts = docs.select(F.col("id").alias("rep"), "text")
+    texts = cut(texts.filter(IdFilter(reps, "rep")()).join(reps, "rep", "left_semi"))
     fine, fine_threshold = cut(_fine(texts, shingle)), collision_threshold(percent, FINE)
-    links = cut(_confirm(_count(star, fine, fine_threshold, percent), texts, shingle, percent))
-    comps = cut(components(links))
-    marked = lists.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    members = fine.join(prefixes.select("rep", "keys"), "rep")
-    more = cut(_confirm(_compare_blocks(marked, members, fine_threshold, percent), texts, shingle, percent))
-    # the new links join whole components
-    named = lambda x: comps.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    joined = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
-    above = components(joined)
-    nodes = comps.unionByName(above.join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-    final = nodes.join(above.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select(F.col("node").alias("rep"), F.coalesce("top", "component").alias("component"))
-    named_sets = classes.select("set_hash", "rep").join(final, "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "set_hash").join(named_sets, "set_hash", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    _, comps = _families(lists, None, fine, texts, shingle, percent)
+    opened = _open_lists(lists, comps, block)
+    compared = _compare_blocks(opened.filter(F.col("minors") <= block), fine.join(prefixes.select("rep", "keys"), "rep"), fine_threshold, percent)
+    many = cut(opened.filter(F.col("minors") > block).select("rep").distinct())
+    if many.limit(1).count():
+        again = cut(_full_prefixes(texts.join(many, "rep", "left_semi"), fine.select("rep", "n"), shingle, percent))
+        lists = again.select("rep", "central", F.explode("keys").alias("key"))
+        # links across components so far; what the first lists still hold open stays valid
+        _, comps = _families(lists, comps, fine, texts, shingle, percent)
+        rest = _compare_blocks(_open_lists(lists, comps, block), fine.join(again.select("rep", "keys"), "rep"), fine_threshold, percent)
+        compared = compared.unionByName(rest).distinct()
+    comps = _joined(comps, cut(_confirm(_dealt(cut(compared)), texts, shingle, percent)))
+    named_sets = classes.select("set_hash", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    out = signed.select("id", "named", "n", "set_hash").join(named_sets, "set_hash", "left")
+    component = F.coalesce("component", "id")
+    if room:
+        component = F.when(component < _UNNAMED, component)
+    doc_id = F.when(F.col("named"), F.col("id"))
+    return out.select(doc_id.alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(doc_id == component, component.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that near_duplicates keeps, and of several rows with one doc_id only the
-    first by a hash of the text. Rows without a doc_id cannot be named and stay."""
+    first by a hash of the text. Rows without a doc_id cannot be named and stay. Only rows that
+    the filter of doubtful ids lets through are shuffled."""
     plain, names = masked(docs)
-    gone = near_duplicates(docs, shingle, percent).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    marked = plain.withColumn("doc_id", F.col(names["doc_id"]).cast("long"))
-    kept = marked.filter("doc_id is not null").join(gone, "doc_id", "left_anti")
-    first = kept.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(names["text"])))).filter("rank = 1")
-    return unmasked(first.select(*plain.columns).unionByName(marked.filter("doc_id is null").select(*plain.columns)), names)
+    judged = cut(near_duplicates(docs, shingle, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("not kept or rows > 1"))
+    marked = plain.withColumn("doc_id", F.col(names["doc_id"]).try_cast("long"))
+    doubtful = IdFilter(judged, "doc_id")
+    clean = marked.filter(F.col("doc_id").isNull() | ~doubtful())
+    rest = marked.filter("doc_id is not null").filter(doubtful()).join(judged, "doc_id", "left").filter(F.coalesce("kept", F.lit(True)))
+    first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(names["text"])))).filter("rank = 1")
+    return unmasked(first.select(*plain.columns).unionByName(clean.select(*plain.columns)), names)
