@@ -1,16 +1,24 @@
 """Operator 10: quality rules with risk-controlled thresholds.
 
 Every document gets word and repetition counts over its whole text. A fixed base rule rejects
-very short and very repetitive documents. Beyond it, each score has a grid of cutoffs, and for
-each stratum (language) the strictest cutoff is taken whose rate of false rejections is, by an
-exact binomial test on labelled good documents, at most ``risk / number of scores``. All tests
-(strata x scores x cutoffs) share the error ``delta`` (Bonferroni), so with probability
-1 - delta no stratum loses more than ``risk`` of its good documents to the method.
+very short and very repetitive documents. Beyond it, the scores share one path of LEVELS cutoffs,
+fixed beforehand, from lenient to strict in all scores at once; a document fails a level if any
+score is above its cutoff there. The labelled good documents that pass the base rule are the
+holdout. In each stratum (language) the levels are tested in the order of the path by an exact
+binomial test that more than ``risk`` of good documents fail; the last level before the first
+test that does not pass is the stratum's. Testing in a fixed order needs no correction inside a
+stratum; over the strata (and the pool of all of them) the error ``delta`` is divided
+(Bonferroni). So with probability 1 - delta no stratum with a level of its own loses more than
+``risk`` of its good documents to the method.
+A stratum with so few labels that no test could pass takes the pool's level, for which the
+promise holds over the pool.
 
 Defined results: null text counts as empty (no words, so base_failed); a null or unlabelled
-stratum gets no cutoffs, so only the base rule holds there; repeated rows are judged one by one;
-several labels of one document count as good only if all say so; null doc_ids are judged but
-never matched with a label; empty tables give empty results; extra columns are ignored.
+stratum takes the pool's level; without labels there are no cutoffs and only the base rule holds;
+repeated rows are judged one by one; several labels of one document count as good only if all
+say so; null doc_ids are judged but never matched with a label; a doc_id that is no number counts
+as null; texts of any length are measured whole, in slices bounded by bytes; empty tables give
+empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,21 +27,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, cut, lookup, masked, unmasked
+from tessera.llm.common import SPACES, cut, lookup, masked, slices, unmasked
 
 WINDOW = 8
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Cutoffs of each score, from lenient to strict; a document fails where its score is above.
-GRIDS = {
-    "symbol_share": [2.0, 1.0, 0.5, 0.2, 0.1, 0.05, 0.02],
-    "dup_lines_per_word": [0.5, 0.2, 0.1, 0.05, 0.03, 0.02, 0.01],
-    "repeat_share": [0.9, 0.7, 0.5, 0.3, 0.25, 0.2, 0.15, 0.1],
-    "word_length": [20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0, 6.5, 6.0],
-}
-_CHUNK_WORDS = 200_000
+#: Steps of the path, and each score's cutoffs at its first and last step; those between are at even ratios.
+LEVELS = 24
+ENDS = {"symbol_share": (2.0, 0.05), "dup_lines_per_word": (0.5, 0.01), "repeat_share": (0.3, 0.1), "word_length": (20.0, 6.0)}
+PATH = {s: [a * (b / a) ** (t / (LEVELS - 1)) for t in range(LEVELS)] for s, (a, b) in ENDS.items()}
+_CHUNK_WORDS = 100_000
 
 
 def _repeat_words(ids: list[list[int]]) -> list[int]:
@@ -84,9 +89,10 @@ def text_metrics(texts: list[str | None]) -> list[list[int]]:
 
 def _adder(keep: list[str], text: str):
     def add(batches):
-        for b in batches:
-            columns = text_metrics(b.column(text).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(c, pa.int64()) for c in columns], [*keep, *METRICS])
+        for batch in batches:
+            for b in slices(batch, text):
+                columns = text_metrics(b.column(text).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(c, pa.int64()) for c in columns], [*keep, *METRICS])
 
     return add
 
@@ -102,13 +108,13 @@ def _scores() -> dict:
 
 
 def _measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
+    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
     return docs.mapInArrow(_adder(keep, text), ", ".join([*fields, *(f"{m} long" for m in METRICS)]))
 
 
 def measure(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, METRICS) of each row of docs(doc_id, text, lang)."""
-    return _measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), ["doc_id", "lang"])
+    return _measured(docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text"), ["doc_id", "lang"])
 
 
 def binomial_cdf(k: int, n: int, p: float) -> float:
@@ -121,59 +127,63 @@ def binomial_cdf(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * sum(math.exp(x - top) for x in logs))
 
 
-def choose_cutoff(n: int, rejected: list[int], grid: list[float], risk: float, level: float) -> float:
-    """The strictest cutoff before the first whose exact test fails; infinity if none passes."""
-    chosen = math.inf
-    for cutoff, k in zip(grid, rejected, strict=True):
-        if n == 0 or binomial_cdf(k, n, risk) > level:
-            break
-        chosen = cutoff
-    return chosen
+def choose_level(n: int, failed: list[int], risk: float, error: float) -> int:
+    """The last level before the first whose exact test does not pass, -1 if none passes.
+    failed[t] of n good documents fail level t."""
+    for t, k in enumerate(failed):
+        if n == 0 or binomial_cdf(k, n, risk) > error:
+            return t - 1
+    return len(failed) - 1
+
+
+def _base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
+def _first_failed() -> Column:
+    """The first level of the path that a document fails, LEVELS if it passes all."""
+    passed = lambda score, cutoffs: F.size(F.filter(F.array(*map(F.lit, cutoffs)), lambda c: score <= c))
+    return F.least(*(passed(score, PATH[name]) for name, score in _scores().items()))
 
 
-def fit_cutoffs(metrics: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """(stratum, one cutoff per score) from the labelled good documents. Counts are one
-    aggregation over all of them; what reaches Python is one row per stratum."""
-    good = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    scores = _scores()
-    held = metrics.join(good, "doc_id").filter("lang is not null").select(F.col("lang").alias("stratum"), *(c.alias(n) for n, c in scores.items()))
-    names = [(s, i) for s, grid in GRIDS.items() for i in range(len(grid))]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col(s) > GRIDS[s][i]).alias(f"{s}_{i}") for s, i in names))
-    counts = cut(counts)
-    tests = max(1, counts.count()) * len(names)
+def fit_levels(metrics: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
+    """(stratum, level) from the labelled good documents; the null stratum is the pool. Counts
+    are one aggregation over all of them; what reaches Python is one row per stratum."""
+    good = labels.groupBy(F.col("doc_id").try_cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
+    held = metrics.filter(~_base_failed()).join(good, "doc_id").select("lang", _first_failed().alias("level"))
+    # once for the stratum, once for the pool
+    twice = held.select("level", F.explode(F.array_distinct(F.array("lang", F.lit(None).cast("string")))).alias("stratum"))
+    counts = cut(twice.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("level") <= t).alias(f"failed_{t}") for t in range(LEVELS))))
+    error = delta / max(1, counts.count())
 
     def choose(batches):
         for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {"stratum": pa.array([r["stratum"] for r in rows], pa.string())}
-                | {s: pa.array([choose_cutoff(r["n"], [r[f"{s}_{i}"] for i in range(len(g))], g, risk / len(GRIDS), delta / tests) for r in rows], pa.float64()) for s, g in GRIDS.items()}
-            )
+            found = [(r["stratum"], None if r["stratum"] is not None and (1 - risk) ** r["n"] > error else choose_level(r["n"], [r[f"failed_{t}"] for t in range(LEVELS)], risk, error)) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["stratum", "level"])
 
-    return cut(counts.mapInArrow(choose, "stratum string, " + ", ".join(f"{s} double" for s in GRIDS)))
+    return cut(counts.mapInArrow(choose, "stratum string, level int").filter("level is not null"))
 
 
-def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
+def judge(measured: DataFrame, levels: DataFrame) -> DataFrame:
     """Add base_failed and kept to rows that have lang and METRICS."""
-    cutoffs = lookup(cutoffs.select(F.col("stratum").alias("_stratum"), *(F.col(s).alias(f"_{s}") for s in GRIDS)))
-    joined = measured.join(cutoffs, F.col("lang") == F.col("_stratum"), "left")
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    fails = F.lit(False)
-    for name, score in _scores().items():
-        fails = fails | F.coalesce(score > F.col(f"_{name}"), F.lit(False))
-    return joined.withColumn("base_failed", base).withColumn("kept", ~(base | fails)).drop("_stratum", *(f"_{s}" for s in GRIDS))
+    pool = levels.filter("stratum is null").first()
+    own = lookup(levels.filter("stratum is not null").select(F.col("stratum").alias("_stratum"), F.col("level").alias("_level")))
+    joined = measured.join(own, F.col("lang") == F.col("_stratum"), "left")
+    level = F.coalesce("_level", F.lit(pool["level"] if pool else -1))
+    return joined.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & (_first_failed() > level)).drop("_stratum", "_level")
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """(doc_id, lang, METRICS, base_failed, kept), one row for each of docs(doc_id, text, lang)."""
     metrics = cut(measure(docs))
-    return judge(metrics, fit_cutoffs(metrics, labels, risk, delta))
+    return judge(metrics, fit_levels(metrics, labels, risk, delta))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of docs that quality_rules keeps, with their columns. Texts are measured where
-    they are read, once for the cutoffs and once for the filter, and never shuffled."""
-    cutoffs = fit_cutoffs(cut(measure(docs)), labels, risk, delta)
+    """The rows of docs that quality_rules keeps, with their columns. Texts are measured once and
+    written beside their metrics, where the filter then reads them; they are never shuffled."""
     plain, names = masked(docs)
-    measured = _measured(plain, plain.columns, names["text"]).withColumn("lang", F.col(names["lang"]).cast("string"))
-    return unmasked(judge(measured, cutoffs).filter("kept"), names)
+    measured = cut(_measured(plain, plain.columns, names["text"]))
+    named = {"doc_id": F.col(names["doc_id"]).try_cast("long"), "lang": F.col(names["lang"]).cast("string")}
+    levels = fit_levels(measured.select(*(c.alias(n) for n, c in named.items()), *METRICS), labels, risk, delta)
+    return unmasked(judge(measured.withColumn("lang", named["lang"]), levels).filter("kept"), names)
