@@ -89,6 +89,7 @@ def year(date: Column) -> Column:
     return F.coalesce(F.regexp_extract(date, r"(\p{Nd}{4})", 1), F.lit(""))
 
 
+# The marks that are taken out of Markdown, and the patterns of abstracts below.
 def markdown_to_text(md: Column) -> Column:
     m = "(?md)"  # only \n ends a line
     text = _all(
@@ -115,15 +116,12 @@ def title_from_filename(path: Column) -> Column:
 
 
 # How a boiler-plate line of a journal page starts.
-BOILER_STARTS = (
-    r"journal of", "international", "applied", "energy", "thermal", "heat and mass", "electrochimica", "renewable", "sustainable",
-    "©", "copyright", "published by", "elsevier", "springer", "mdpi", "http", "doi:", r"vol\.", r"pp\.", "issn", "isbn",
-)
+BOILER_STARTS = r"journal of|international|applied|energy|thermal|heat and mass|electrochimica|renewable|sustainable|©|copyright|published by|elsevier|springer|mdpi|http|doi:|vol\.|pp\.|issn|isbn"
 
 
 def strip_journal_header(text: Column) -> Column:
     """Drop blank and boiler-plate lines."""
-    boiler = f"(?iu)^{WS}*(?:{'|'.join(BOILER_STARTS)})"
+    boiler = f"(?iu)^{WS}*(?:{BOILER_STARTS})"
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: (strip(x) != "") & ~x.rlike(boiler)), "\n")
 
 
@@ -207,12 +205,16 @@ def _casefold(text: pd.Series) -> pd.Series:
     return text.str.casefold()
 
 
+def casefold(text: Column) -> Column:
+    """Folding differs from lowering for few characters, so ASCII texts stay in the JVM."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, F.lower(text)).otherwise(F.pandas_udf(_casefold, "string")(F.when(~plain, text)))
+
+
 def normalize_title(title: Column) -> Column:
-    """Punctuation to spaces, case folded, white space squeezed. Folding differs from lowering
-    for few characters, so ASCII titles stay in the JVM."""
+    """Punctuation to spaces, case folded, white space squeezed."""
     spaced = F.regexp_replace(F.coalesce(title, F.lit("")), rf"[^\p{{L}}\p{{N}}_ \t\n\x0b\f\r\x1c-\x1f\x85   -     　]", " ")
-    plain = spaced.rlike(r"^[\x00-\x7f]*$")
-    return strip(squeeze(F.when(plain, F.lower(spaced)).otherwise(F.pandas_udf(_casefold, "string")(F.when(~plain, spaced)))))
+    return strip(squeeze(casefold(spaced)))
 
 
 def human_size(size: Column) -> Column:

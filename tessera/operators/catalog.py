@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import cut
+
 # Item types, attribute ids, attachment types in order of preference.
 ITEM_TYPES = ("journalArticle", "conferencePaper", "preprint", "thesis", "computerProgram")
 FIELDS = {1: "title", 2: "abstract_note", 59: "doi", 38: "journal", 6: "date", 13: "url"}
@@ -18,10 +20,13 @@ def not_deleted(items: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return items.join(deleted.select(key).filter(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def changed(items: DataFrame, since_id: int, since_version: int, pending: list[int] | None = None, key: str = "itemID", version: str = "version") -> DataFrame:
-    """Items above either watermark, or pending."""
-    new = (F.col(key) > since_id) | (F.col(version) > since_version)
-    return items.filter(new | F.col(key).isin(sorted(set(pending))) if pending else new)
+def changed(items: DataFrame, since_id: int, since_version: int, pending: DataFrame | None = None, key: str = "itemID", version: str = "version") -> DataFrame:
+    """Items above either watermark, or with a key in pending(key)."""
+    new = F.coalesce((F.col(key) > since_id) | (F.col(version) > since_version), F.lit(False))
+    if pending is None:
+        return items.filter(new)
+    waiting = pending.select(F.col(key).alias("_key")).distinct().withColumn("_waits", F.lit(True))
+    return items.join(waiting, F.col(key) == F.col("_key"), "left").filter(new | F.col("_waits").isNotNull()).drop("_key", "_waits")
 
 
 def pivot_attributes(data: DataFrame, values: DataFrame, fields: dict[int, str] = FIELDS, key: str = "itemID") -> DataFrame:
@@ -31,7 +36,7 @@ def pivot_attributes(data: DataFrame, values: DataFrame, fields: dict[int, str]
     return joined.groupBy(key).agg(*(F.coalesce(F.min_by("value", F.when(F.col("fieldID") == i, F.col("valueID"))), F.lit("")).alias(n) for i, n in fields.items()))
 
 
-def scan_items(tables: dict[str, DataFrame], since_id: int = 0, since_version: int = 0, pending: list[int] | None = None) -> DataFrame:
+def scan_items(tables: dict[str, DataFrame], since_id: int = 0, since_version: int = 0, pending: DataFrame | None = None) -> DataFrame:
     """(itemID, key, type, version, the fields of FIELDS), by itemID."""
     types = F.broadcast(tables["itemTypes"].filter(F.col("typeName").isin(*ITEM_TYPES)))
     items = changed(tables["items"], since_id, since_version, pending).join(types, "itemTypeID")
@@ -55,20 +60,23 @@ def attachments(tables: dict[str, DataFrame]) -> DataFrame:
 
 def stored_files(files: DataFrame, wanted: DataFrame, max_bytes: int = 500 << 20) -> DataFrame:
     """(itemID, path, length): of the binaryFile listing (path, length), the first file by name
-    in each attachment's folder, if it is not too large."""
-    listed = files.select("path", "length").withColumn("attachment_key", F.element_at(F.split("path", "/"), -2)).filter(F.lower("path").rlike(r"\.(pdf|docx)$"))
-    return first_by(listed.join(wanted, "attachment_key"), "itemID", F.col("path")).filter(F.col("length") <= max_bytes).select("itemID", "path", "length")
+    of the attachment's own type in each attachment's folder, if it is not too large. wanted is
+    (itemID, attachment_key, contentType)."""
+    listed = files.select("path", "length").withColumn("attachment_key", F.element_at(F.split("path", "/"), -2))
+    own = F.when(F.col("contentType") == ATTACHMENT_TYPES[0], ".pdf").otherwise(".docx")
+    return first_by(listed.join(wanted, "attachment_key").filter(F.lower("path").endswith(own)), "itemID", F.col("path")).filter(F.col("length") <= max_bytes).select("itemID", "path", "length")
 
 
 def paths(nodes: DataFrame, glue: str = "/") -> DataFrame:
     """(id, path) from (id, name, parent): names from the root down. A parent that is not there
-    makes its child a root. Levels are joined one by one until none has rows."""
+    makes its child a root. Levels are joined one by one, each from the written one above it,
+    until none has rows."""
     nodes = nodes.select("id", "name", "parent")
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
-    level = nodes.join(known, "parent", "left").filter("known is null").select("id", F.col("name").alias("path"))
+    level = cut(nodes.join(known, "parent", "left").filter("known is null").select("id", F.col("name").alias("path")))
     out = level
     while level.limit(1).count():
-        level = nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent").select("id", F.concat_ws(glue, "above", "name").alias("path"))
+        level = cut(nodes.join(level.select(F.col("id").alias("parent"), F.col("path").alias("above")), "parent").select("id", F.concat_ws(glue, "above", "name").alias("path")))
         out = out.unionByName(level)
     return out
 

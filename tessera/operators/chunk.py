@@ -15,20 +15,22 @@ def windows(words: Column, size: int) -> Column:
 
 
 def chunk_array(text: Column, max_words: int = 100) -> Column:
-    """array<struct<section, text>> of a text. Sections carry forward over paragraphs. What is
-    used twice is bound by a one-element transform, so it is computed once."""
+    """array<struct<section, text>> of a text. Sections carry forward over paragraphs: a
+    paragraph's is that of the last one at or before it with a header. What is used twice is
+    bound by a one-element transform, so it is computed once."""
     split = lambda clean: F.filter(F.transform(F.split(clean, rf"\n{T.WS}*\n"), T.strip), lambda p: p != "")
-    start = F.struct(F.lit("Abstract").alias("section"), F.array().cast("array<struct<section:string,text:string>>").alias("chunks"))
+    header = lambda p, i: F.struct(i.alias("i"), T.section_header(T.strip(F.substring_index(p, "\n", 1))).alias("section"))
+    bind = lambda x, f: F.transform(F.array(x), f)[0]
 
-    def step(state: Column, paragraph: Column) -> Column:
-        section = F.coalesce(T.section_header(T.strip(F.substring_index(paragraph, "\n", 1))), state["section"])
-        bound = F.array(F.struct(section.alias("section"), T.words(paragraph).alias("words")))
-        found = lambda b: F.transform(windows(b["words"], max_words), lambda t: F.struct(b["section"].alias("section"), t.alias("text")))
-        return F.transform(bound, lambda b: F.struct(b["section"].alias("section"), F.concat(state["chunks"], found(b)).alias("chunks")))[0]
+    def chunks(b: Column) -> Column:
+        section = lambda i: F.coalesce(F.try_element_at(F.filter(b["headers"], lambda h: h["i"] <= i), F.lit(-1))["section"], F.lit("Abstract"))
+        own = lambda p, i: bind(F.struct(section(i).alias("section"), T.words(p).alias("words")), lambda c: F.transform(windows(c["words"], max_words), lambda t: F.struct(c["section"].alias("section"), t.alias("text"))))
+        return F.flatten(F.transform(b["paragraphs"], own))
 
+    marked = lambda ps: F.struct(ps.alias("paragraphs"), F.filter(F.transform(ps, header), lambda h: h["section"].isNotNull()).alias("headers"))
     none = F.array().cast("array<struct<section:string,text:string>>")
-    chunks = lambda clean: F.when(F.length(clean) >= 20, F.aggregate(split(clean), start, step)["chunks"]).otherwise(none)
-    return F.transform(F.array(T.clean_text(F.coalesce(text, F.lit("")))), chunks)[0]
+    found = lambda clean: F.when(F.length(clean) >= 20, bind(bind(split(clean), marked), chunks)).otherwise(none)
+    return bind(T.clean_text(F.coalesce(text, F.lit(""))), found)
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str = "text", max_words: int = 100) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.lineage import cut
 
 FIELDS = ("title", "abstract", "summary")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -36,34 +37,98 @@ def like_search(papers: DataFrame, query: str, limit: int) -> DataFrame:
     return hits.orderBy(F.desc("base_score"), "title", "paper_id").limit(limit)
 
 
-def search_terms(query: str) -> list[str] | None:
-    """Lower-cased terms and quoted phrases of three characters and more; None if the query has
-    other index syntax, which makes the index unusable."""
-    if re.search(r"[^\w\s\"]", query) or query.count('"') % 2 or re.search(r"\b(?:AND|OR|NOT|NEAR)\b", query):
-        return None
-    found = re.findall(r'"([^"]*)"|(\S+)', query)
-    return [t.lower() for t in (a or b for a, b in found) if len(t) >= 3]
+_PART = re.compile(r'(?:(\w+):)?(?:"((?:[^"]|"")*)"|(\w+))(\*?)')
 
 
-def _frequency(term: str) -> Column:
-    """Overlapping occurrences in all fields."""
-    return sum((F.regexp_count(F.lower(F.coalesce(f, F.lit(""))), F.lit(f"(?={_quoted(term)})")) for f in map(F.col, FIELDS)), F.lit(0))
+def parse(query: str) -> tuple[list[tuple[str, str | None]], list] | None:
+    """(phrases, tree) of an index query: words and quoted phrases, AND, OR, NOT, column:word and
+    word*. phrases are (lower-cased text, column or None) of three characters and more; shorter
+    ones take part in nothing. Words side by side bind closest, then NOT, AND, OR: the tree is a
+    list of alternatives, each a list of conditions, each a list of number lists of which the
+    first must all be there and none of the others may be there as a whole. None if the query
+    has anything else, which makes the index unusable."""
+    phrases: list[tuple[str, str | None]] = []
+    tree: list[list[list[list[int]]]] = [[[[]]]]
+    at, words = 0, 0
+    while at < len(query):
+        if query[at].isspace():
+            at += 1
+            continue
+        m = _PART.match(query, at)
+        if m is None or m.end() < len(query) and not query[m.end()].isspace():
+            return None
+        at, operator = m.end(), m[0] if m[0] in ("AND", "OR", "NOT") else ""
+        if m[0] == "NEAR" or operator and not words:
+            return None
+        if operator:
+            words = 0
+            if operator == "OR":
+                tree.append([[[]]])
+            elif operator == "AND":
+                tree[-1].append([[]])
+            else:
+                tree[-1][-1].append([])
+            continue
+        words += 1
+        column = (m[1] or "").lower() or None
+        if column and column not in FIELDS:
+            return None
+        text = (m[3] if m[2] is None else m[2].replace('""', '"')).lower()
+        if len(text) >= 3:
+            tree[-1][-1][-1].append(len(phrases))
+            phrases.append((text, column))
+    return (phrases, tree) if phrases and words else None
 
 
-def bm25(papers: DataFrame, terms: list[str]) -> DataFrame:
-    """(paper_id, rank) of the papers that have all terms; rank is negative, the best least.
-    Two passes: one row of statistics, then the formula with them as constants."""
-    size = sum((F.greatest(F.length(F.coalesce(f, F.lit(""))) - 2, F.lit(0)) for f in map(F.col, FIELDS)), F.lit(0))
-    counted = papers.select("paper_id", size.alias("d"), *(_frequency(t).alias(f"f{k}") for k, t in enumerate(terms)))
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(terms)))).first()
+def _frequency(phrase: tuple[str, str | None]) -> Column:
+    """Overlapping occurrences in all fields, or in the phrase's own."""
+    fields = [f for f in FIELDS if phrase[1] in (None, f)]
+    return sum((F.regexp_count(F.lower(F.coalesce(f, F.lit(""))), F.lit(f"(?={_quoted(phrase[0])})")) for f in map(F.col, fields)), F.lit(0))
+
+
+def sized(papers: DataFrame) -> DataFrame:
+    """papers plus d, the number of their trigrams."""
+    return papers.withColumn("d", sum((F.greatest(F.length(F.coalesce(f, F.lit(""))) - 2, F.lit(0)) for f in map(F.col, FIELDS)), F.lit(0)))
+
+
+def totals(papers: DataFrame) -> tuple[int, float]:
+    """Number and mean size of the papers, as bm25 needs them."""
+    found = sized(papers).agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d")).first()
+    return found["n"], found["avg_d"] or 1.0
+
+
+def bm25(papers: DataFrame, query: str, known: tuple[int, float] | None = None) -> DataFrame:
+    """(paper_id, rank) of the papers that match an index query; rank is negative, the best
+    least. known are the totals of all papers where papers has only those with any phrase.
+    The statistics are one row, then the formula has them as constants."""
+    phrases, tree = parse(query) or ([], [])
+    counted = sized(papers).select("paper_id", "d", *(_frequency(p).alias(f"f{k}") for k, p in enumerate(phrases)))
+    if known is not None:
+        counted = cut(counted)
+    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(phrases)))).first()
+    n, avg_d = known or (stats["n"], stats["avg_d"] or 1.0)
     rank = F.lit(0.0)
-    every = F.lit(True)
-    for k in range(len(terms)):
+    for k in range(len(phrases)):
         f = F.col(f"f{k}")
-        idf = F.log((stats["n"] - F.lit(stats[f"n{k}"]) + 0.5) / (stats[f"n{k}"] + 0.5))
-        rank = rank - F.when(idf <= 0, 1e-6).otherwise(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("d") / F.lit(stats["avg_d"] or 1.0)))
-        every = every & (f > 0)
-    return counted.filter(every).select("paper_id", rank.alias("rank"))
+        idf = F.log((n - F.lit(stats[f"n{k}"]) + 0.5) / (stats[f"n{k}"] + 0.5))
+        rank = rank - F.when(idf <= 0, 1e-6).otherwise(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("d") / F.lit(avg_d)))
+
+    def all_of(ks: list[int]) -> Column:
+        out = F.lit(bool(ks))
+        for k in ks:
+            out = out & (F.col(f"f{k}") > 0)
+        return out
+
+    match = F.lit(False)
+    for alternative in tree:
+        every = F.lit(any(ks[0] for ks in alternative))
+        for wanted, *unwanted in alternative:
+            if wanted or unwanted:
+                every = every & all_of(wanted)
+                for ks in unwanted:
+                    every = every & ~all_of(ks)
+        match = match | every
+    return counted.filter(match).select("paper_id", rank.alias("rank"))
 
 
 def match_type(query: str, whole_words: bool = False) -> Column:
@@ -85,23 +150,25 @@ def highlight(text: Column, query: str, most: int = 300) -> Column:
     return F.when(at < 0, F.substring(text, 1, most)).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), snippet, F.when(end < F.length(text), "...").otherwise("")))
 
 
-def search(papers: DataFrame, query: str, top_k: int = 10) -> DataFrame:
-    """(position, paper_id, title, filename, abstract_preview, summary, match_type, score)."""
+def search(papers: DataFrame, query: str, top_k: int = 10, index: Index | None = None) -> DataFrame:
+    """(position, paper_id, title, filename, abstract_preview, summary, match_type, score). With
+    an index of the papers, only those that its lists give are read."""
     query = (query or "").strip()
     if not query or top_k < 1:
-        papers = papers.limit(0)
+        papers, index = papers.limit(0), None
     limit = top_k + 10
-    by_like = like_search(papers, query, limit)
+    by_like = like_search(index.papers_like(query) if index else papers, query, limit)
     order = Window.orderBy(F.desc("base_score"), "title", "paper_id")
     by_like = by_like.withColumn("like_at", F.row_number().over(order))
-    terms = search_terms(query) if len(query) >= 3 else None
-    if terms:
-        ranks = bm25(papers, terms).orderBy("rank", "paper_id").limit(limit)
-        ranks = ranks.withColumn("fts_at", F.row_number().over(Window.orderBy("rank", "paper_id")))
+    parsed = parse(query) if len(query) >= 3 else None
+    if parsed:
+        among = index.papers_with([t for t, _ in parsed[0]]) if index else papers
+        by_index = bm25(among, query, index.totals if index else None).orderBy("rank", "paper_id").limit(limit)
+        by_index = by_index.withColumn("fts_at", F.row_number().over(Window.orderBy("rank", "paper_id")))
         # at most 2 * limit rows from here on
-        found = by_like.select("paper_id", "base_score", "like_at").join(F.broadcast(ranks), "paper_id", "full_outer")
+        found = by_like.select("paper_id", "base_score", "like_at").join(F.broadcast(by_index), "paper_id", "full_outer")
         score = F.greatest("base_score", 15 - (F.col("rank") + 1))
-        found = papers.join(F.broadcast(found.withColumn("score", score)), "paper_id")
+        found = (index.papers_of(cut(found)) if index else papers.join(F.broadcast(found), "paper_id")).withColumn("score", score)
         place = [F.desc("score"), F.col("like_at").asc_nulls_last(), F.col("fts_at").asc_nulls_last()]
     else:
         found = by_like.withColumn("score", F.col("base_score").cast("double"))
@@ -118,3 +185,80 @@ def search(papers: DataFrame, query: str, top_k: int = 10) -> DataFrame:
         out = out.withColumn("position", F.col("place"))
     columns = ["position", "paper_id", "title", *(["filename"] if "filename" in papers.columns else []), "abstract_preview", "summary", "match_type", F.round("score", 1).alias("score")]
     return out.select(*columns)
+
+
+# ---- the index: which papers have a trigram ----
+
+
+def _trigrams(text: str) -> list[str]:
+    """Trigrams of a lower-cased text whose lists can be relied on: lowering other letters than
+    ASCII may depend on what is beside them, so trigrams with those are passed over."""
+    usable = lambda g: all(c.isascii() or c.lower() == c == c.upper() for c in g)
+    return sorted({g for g in (text[i : i + 3] for i in range(len(text) - 2)) if usable(g)})
+
+
+def write_index(papers: DataFrame, folder: str, lists: int = 64) -> None:
+    """The papers in ranges of paper_id, the lists (trigram, paper_id) in folders by a hash of
+    the trigram and in its order, and the totals. Posting is one shuffle of distinct pairs."""
+    sized(papers).repartitionByRange("paper_id").sortWithinPartitions("paper_id").write.mode("overwrite").parquet(f"{folder}/papers")
+    papers = papers.sparkSession.read.parquet(f"{folder}/papers")
+    low = [F.lower(F.coalesce(f, F.lit(""))) for f in map(F.col, FIELDS)]
+    grams = F.flatten(F.array(*map(_grams_of, low)))
+    posted = papers.select("paper_id", F.explode(F.array_distinct(grams)).alias("gram")).filter(F.length("gram") == 3)
+    posted = posted.withColumn("list", F.pmod(F.xxhash64("gram"), F.lit(lists)).cast("int"))
+    posted.repartition("list", F.pmod(F.xxhash64("paper_id"), F.lit(8))).sortWithinPartitions("list", "gram").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
+    papers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(1.0)).alias("avg_d")).write.mode("overwrite").parquet(f"{folder}/totals")
+
+
+def _grams_of(text: Column) -> Column:
+    """All runs of three characters; one pass over the text."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1)
+
+
+class Index:
+    """What write_index wrote. A search reads the lists of a phrase's trigrams and then only the
+    papers that are in all of them."""
+
+    def __init__(self, spark: SparkSession, folder: str, lists: int = 64, most_lists: int = 8):
+        self.papers = spark.read.parquet(f"{folder}/papers")
+        # the schema is given, as an index of no papers has no lists
+        self.lists = spark.read.schema(f"paper_id {self.papers.schema['paper_id'].dataType.simpleString()}, gram string, list int").parquet(f"{folder}/lists")
+        self.most, self.numbers = most_lists, lists
+        found = spark.read.parquet(f"{folder}/totals").first()
+        self.totals = (found["n"], found["avg_d"] or 1.0)
+        self.spark = spark
+
+    def _among(self, phrase: str) -> DataFrame | None:
+        """Ids of the papers in the lists of some of a phrase's trigrams, at even distances over
+        it; None where it has no usable one."""
+        grams = _trigrams(phrase)
+        if not grams:
+            return None
+        grams = grams[:: -(-len(grams) // self.most)]
+        hashes = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(g)), F.lit(self.numbers)).cast("int") for g in grams)).first()
+        here = self.lists.filter(F.col("list").isin(*set(hashes)) & F.col("gram").isin(*grams))
+        return here.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select("paper_id")
+
+    def papers_of(self, ids: DataFrame, most_rows: int = 10_000) -> DataFrame:
+        """The papers joined with ids(paper_id, ...). While they are few, the papers' files are
+        read only where their statistics allow the ids."""
+        if ids.limit(most_rows + 1).count() > most_rows:
+            return self.papers.join(ids, "paper_id")
+        ends = ids.agg(F.min("paper_id").alias("a"), F.max("paper_id").alias("b")).first()
+        return self.papers.filter(F.col("paper_id").between(ends["a"], ends["b"])).join(F.broadcast(ids), "paper_id")
+
+    def papers_with(self, phrases: list[str]) -> DataFrame:
+        """Papers that may have any of the phrases."""
+        among = [self._among(p) for p in phrases]
+        if any(x is None for x in among):
+            return self.papers
+        out = among[0]
+        for x in among[1:]:
+            out = out.unionByName(x)
+        return self.papers_of(cut(out.distinct() if len(among) > 1 else out))
+
+    def papers_like(self, query: str) -> DataFrame:
+        """Papers that may be LIKE %query%: by its longest part without a wildcard."""
+        part = max(re.split("[%_]", query.lower()), key=len)
+        among = self._among(part)
+        return self.papers if among is None else self.papers_of(cut(among))

@@ -31,21 +31,31 @@ def build_stats(papers: DataFrame) -> DataFrame:
 def keywords(titles: DataFrame, most: int = 10, title: str = "title", place: str = "place") -> DataFrame:
     """(keyword, n): the most frequent words of the titles; ties by first appearance, where the
     English words of a title come before its CJK runs."""
+    return _ranked(titles, most, title, place).orderBy(F.desc("n"), "first").select("keyword", "n")
+
+
+def _ranked(titles: DataFrame, most: int, title: str, place: str) -> DataFrame:
     english = F.filter(F.regexp_extract_all(title, F.lit("([a-zA-Z]+)"), 1), lambda w: F.length(w) > 2)
     cjk = F.regexp_extract_all(title, F.lit(f"([{T.CJK}]{{2,}})"), 1)
     found = titles.select(F.col(place), F.posexplode(F.concat(F.transform(english, F.lower), cjk)).alias("at", "keyword"))
-    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place, "at")).alias("first")).orderBy(F.desc("n"), "first").limit(most).select("keyword", "n")
+    return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(place, "at")).alias("first")).orderBy(F.desc("n"), "first").limit(most)
 
 
 def paper_keys(chunks: DataFrame) -> DataFrame:
-    """chunks plus paper_key: the first of paper_id, zotero_key and filename that is not empty."""
+    """chunks plus paper_key: the first of paper_id, zotero_key and filename that is not empty;
+    a row without any is a paper of its own, under a number that no other row has."""
     names = [n for n in ("paper_id", "zotero_key", "filename") if n in chunks.columns]
-    return chunks.withColumn("paper_key", F.coalesce(*(F.nullif(n, F.lit("")) for n in names)))
+    return chunks.withColumn("paper_key", F.coalesce(*(F.nullif(n, F.lit("")) for n in names), F.concat(F.lit("unknown-"), F.monotonically_increasing_id())))
+
+
+def paper_titles(chunks: DataFrame, place: str = "place") -> DataFrame:
+    """(paper_key, title, place): the first title by place of each paper."""
+    return paper_keys(chunks).groupBy("paper_key").agg(F.coalesce(F.min_by("title", place), F.lit("")).alias("title"), F.min(place).alias(place))
 
 
 def collection_info(titles: DataFrame, chunk_count: int, name: str = "My Paper Collection", title: str = "title", place: str = "place") -> DataFrame:
     """One row (name, description, paper_count, chunk_count, keywords, language)."""
-    listed = keywords(titles, 10, title, place).withColumn("at", F.row_number().over(Window.orderBy(F.lit(1))))
+    listed = _ranked(titles, 10, title, place).withColumn("at", F.row_number().over(Window.orderBy(F.desc("n"), "first")))
     words = listed.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "keyword"))), lambda x: x["keyword"]).alias("keywords"))
     totals = titles.agg(F.count(F.lit(1)).alias("paper_count"), F.coalesce(F.bool_or(F.col(title).rlike(f"[{T.CJK}]")), F.lit(False)).alias("zh"))
     joined = totals.join(words)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import sigmoid
@@ -74,12 +74,116 @@ def nearest_batch(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec
     return found.withColumn("position", F.row_number().over(best)).filter(F.col("position") <= k)
 
 
-def rerank(hits: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None, query: str = "query", text: str = "text") -> DataFrame:
+# ---- the index: vectors in lists by their nearest centre ----
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=-1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def centres_of(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means over the sample, from evenly spaced rows of it."""
+    sample = _unit(sample)
+    centres = sample[np.linspace(0, len(sample) - 1, min(lists, len(sample))).astype(int)]
+    for _ in range(rounds):
+        own = (sample @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, sample)
+        centres = np.where(np.bincount(own, minlength=len(centres))[:, None] > 0, _unit(sums), centres)
+    return centres
+
+
+def write_index(corpus: DataFrame, folder: str, key: str = "vec_id", vector: str = "embedding", lists: int = 64, sample_rows: int = 20_000) -> None:
+    """Every vector of corpus(key, vector) in the folder of its nearest centre. The centres are
+    fitted on at most sample_rows vectors, the least by a seeded hash of the key; null vectors
+    are left out."""
+    rows = corpus.filter(F.col(vector).isNotNull()).select(key, vector)
+    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64(key, F.lit(3)), key).select(vector).limit(sample_rows).collect()], np.float64)
+    centres = centres_of(sample, lists) if len(sample) else np.zeros((1, 1))
+    spark = corpus.sparkSession
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+
+    @F.pandas_udf("int")
+    def nearest_centre(x: pd.Series) -> pd.Series:
+        return pd.Series((_unit(np.stack(x.to_numpy()).astype(np.float64)) @ centres.T).argmax(1)) if len(x) else pd.Series([], dtype="int32")
+
+    placed = rows.withColumn("list", nearest_centre(F.col(vector)))
+    placed.repartition("list", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
+
+
+class Index:
+    """What write_index wrote. A query reads the lists whose centres are nearest to it. The usual
+    40 of 64 are for vectors without clusters; vectors of texts need fewer."""
+
+    def __init__(self, spark: SparkSession, folder: str, key: str | None = None, vector: str | None = None):
+        self.spark, self.rows = spark, spark.read.parquet(f"{folder}/lists")
+        self.key, self.vector = self.rows.columns[:2]
+        found = spark.read.parquet(f"{folder}/centres").orderBy("list").collect()
+        self.centres = np.array([r["centre"] for r in found])
+
+    def nearest(self, query: list[float], k: int, probes: int = 40) -> DataFrame:
+        """(key, score), the k most similar in the probed lists."""
+        near = np.argsort(-(self.centres @ _unit(np.asarray(query, np.float64))), kind="stable")[:probes]
+        return nearest(self.rows.filter(F.col("list").isin(near.tolist())), query, k, self.key, self.vector)
+
+    def nearest_batch(self, queries: DataFrame, k: int, key: str | None = None, vector: str | None = None, probes: int = 40, parts: int = 4) -> DataFrame:
+        """(query_id, key, score, position) for each of queries: a query goes to its probed lists
+        by an equi-join, where the rows of each list are met part by part as one product; the k
+        best of all are taken per query."""
+        key, vector, centres, own_key = key or self.key, vector or self.vector, self.centres, self.key
+
+        @F.pandas_udf("array<int>")
+        def probed(x: pd.Series) -> pd.Series:
+            scores = _unit(np.stack(x.to_numpy()).astype(np.float64)) @ centres.T
+            return pd.Series(list(np.argsort(-scores, axis=1, kind="stable")[:, :probes].astype(np.int32)))
+
+        asked = queries.filter(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        asked = asked.withColumn("list", F.explode(probed(F.col("v")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("asks", F.lit(1))
+        held = self.rows.select(F.col(self.key).cast("long").alias("id"), F.col(self.vector).cast("array<double>").alias("v"), "list", F.pmod(F.xxhash64(self.key), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("asks"))
+
+        def best(q_ids: list, q: list, c_ids: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+            scores = np.asarray(q) @ c.T
+            order = np.lexsort((np.broadcast_to(c_ids, scores.shape), -scores), axis=1)[:, :k]
+            return [np.repeat(np.asarray(q_ids), order.shape[1]), c_ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()]
+
+        def run(batches):
+            at, ids, rows = None, [], []
+            for b in batches:
+                out: list[list[np.ndarray]] = []
+                place = list(zip(b.column("list").to_pylist(), b.column("part").to_pylist(), strict=True))
+                asks, keys = b.column("asks").to_numpy(), b.column("id").to_numpy()
+                vectors = _unit(np.asarray(b.column("v").flatten(), np.float64).reshape(b.num_rows, -1))
+                start = 0
+                while start < b.num_rows:
+                    stop = start
+                    while stop < b.num_rows and place[stop] == place[start] and asks[stop] == asks[start]:
+                        stop += 1
+                    if place[start] != at:
+                        at, ids, rows = place[start], [], []
+                    if asks[start]:
+                        if ids:
+                            out.append(best(keys[start:stop].tolist(), vectors[start:stop], np.concatenate(ids), np.concatenate(rows)))
+                    else:
+                        ids.append(keys[start:stop])
+                        rows.append(vectors[start:stop])
+                    start = stop
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", own_key, "score"])
+
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        met = held.unionByName(asked).repartition(n, "list", "part").sortWithinPartitions("list", "part", "asks")
+        found = met.mapInArrow(run, f"query_id long, {own_key} long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), own_key)
+        return found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= k)
+
+
+def rerank(hits: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None, query: str = "query", text: str = "text", ties: tuple[str, ...] = ()) -> DataFrame:
     """The k best hits by a scorer of (query, text) pairs through a sigmoid; without a scorer,
-    by the score they have."""
+    by the score they have. ties are the columns that order equal scores."""
     if scorer is not None:
         hits = hits.withColumn("score", sigmoid(F.pandas_udf(scorer, "double")(F.col(query), F.col(text))))
-    return hits.orderBy(F.desc("score")).limit(k)
+    return hits.orderBy(F.desc("score"), *ties).limit(k)
 
 
 def result_rows(hits: DataFrame, preview: int = 300) -> DataFrame:

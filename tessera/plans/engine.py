@@ -1,5 +1,5 @@
-"""A resident engine over the current snapshot: validated search with a cached view that follows
-the snapshot's generation."""
+"""A resident engine over the current snapshot: validated search over the persisted index and
+embeddings, which follows the snapshot's generation."""
 
 from __future__ import annotations
 
@@ -25,20 +25,40 @@ def clamped(top_k: object) -> int:
         return 5
 
 
+#: Columns that a store may be scanned by.
+KEYS = ("doi", "paper_id", "filename", "item_id")
+
+
+def build_index(spark: SparkSession, root: str) -> str:
+    """Write the papers, their trigram lists and, where chunks have embeddings, the vector index
+    of the current snapshot beside it. Readers find it by the generation, so a failed build
+    leaves what they have."""
+    state = snapshot.manifest(spark, root)
+    chunks, folder = snapshot.read(spark, root, state), f"{root}/index/{state['generation']}"
+    lexical.write_index(papers_of(chunks), folder)
+    if "embedding" in chunks.columns and chunks.limit(1).count():
+        vector.write_index(chunks.select("chunk_id", "embedding"), f"{folder}/vectors", "chunk_id")
+    snapshot.write_text(spark, f"{folder}/READY", state["generation"])
+    return state["generation"]
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, encoder=None):
         self.spark, self.root = spark, root
         self.encoder = encoder or vector.trigram_encoder()
-        self.generation, self.chunks, self.papers = "0", None, None
+        self.generation, self.chunks, self.index = "0", None, None
 
     def refresh(self) -> str:
-        """Follow the pointer; a search then reads one immutable snapshot."""
-        now = snapshot.generation(self.spark, self.root)
+        """Follow the manifest; a search then reads one immutable snapshot and its index, which is
+        built here if the writer has not."""
+        state = snapshot.manifest(self.spark, self.root)
+        now = state["generation"]
         if now != self.generation:
-            if self.papers is not None:
-                self.papers.unpersist()
-            self.chunks = snapshot.current(self.spark, self.root)
-            self.papers = papers_of(self.chunks).cache()
+            folder = f"{self.root}/index/{now}"
+            if snapshot.read_text(self.spark, f"{folder}/READY") is None:
+                build_index(self.spark, self.root)
+            self.chunks, self.folder = snapshot.read(self.spark, self.root, state), folder
+            self.index = lexical.Index(self.spark, folder)
             self.generation = now
         return now
 
@@ -55,22 +75,47 @@ class Engine:
 
     def search_text(self, query: str, top_k: int = 10) -> DataFrame:
         self._ready(query, top_k)
-        return lexical.search(self.papers, query, top_k)
-
-    def search(self, query: str, top_k: int = 5, scorer=None) -> DataFrame:
-        """Nearest chunks, reranked. Chunks without an embedding column are embedded here."""
-        self._ready(query, top_k)
-        chunks = self.chunks if "embedding" in self.chunks.columns else vector.embed(self.chunks, lambda encoder=self.encoder: encoder)
-        near = vector.nearest(chunks, self.encoder([query])[0].tolist(), max(2 * top_k, 20), "chunk_id")
-        hits = chunks.join(F.broadcast(near), "chunk_id").withColumn("query", F.lit(query))
+        return lexical.search(self.index.papers, query, top_k, self.index)
+
+    def search(self, query: str, top_k: int = 5, scorer=None, exact: bool = False) -> list:
+        """Rows of the nearest chunks, reranked. Should the snapshot have been replaced while the
+        search ran, it runs once more on the new one."""
+        for _ in range(2):
+            self._ready(query, top_k)
+            rows = self._search(query, top_k, scorer, exact).collect()
+            if snapshot.generation(self.spark, self.root) == self.generation:
+                break
+        return rows
+
+    def _search(self, query: str, top_k: int, scorer, exact: bool) -> DataFrame:
+        if "embedding" not in self.chunks.columns:
+            raise LookupError("the snapshot has no embeddings; sync with an encoder")
+        wanted, among = self.encoder([query])[0].tolist(), max(2 * top_k, 20)
+        if exact:
+            near = vector.nearest(self.chunks, wanted, among, "chunk_id")
+        else:
+            near = vector.Index(self.spark, f"{self.folder}/vectors").nearest(wanted, among)
+        hits = self.chunks.join(F.broadcast(near), "chunk_id").withColumn("query", F.lit(query))
         hits = hits if "filename" in hits.columns else hits.withColumn("filename", F.lit(""))
-        return vector.result_rows(vector.rerank(hits, top_k, scorer))
+        return vector.result_rows(vector.rerank(hits, top_k, scorer, ties=("chunk_id",)))
 
     def full_text(self, paper_id: str, max_chars: int = 8000) -> DataFrame:
         self.refresh()
-        return chunk.text_prefix(self.chunks.filter(F.col("paper_id") == paper_id), "paper_id", "chunk_index", "text", max_chars).orderBy("chunk_index")
+        return chunk.text_prefix(self.scan("paper_id", paper_id), "paper_id", "chunk_index", "text", max_chars).orderBy("chunk_index")
+
+    def scan(self, key: str, value: object, limit: int | None = None) -> DataFrame:
+        """The chunks whose key (one of KEYS) equals value."""
+        if key not in KEYS:
+            raise ValueError(f"{key} is none of {', '.join(KEYS)}")
+        self.refresh()
+        found = self.chunks.filter(F.col(key) == F.lit(value))
+        return found if limit is None else found.limit(limit)
+
+    def schema(self) -> DataFrame:
+        """(table, column, type) of the store and its index."""
+        self.refresh()
+        tables = {"chunks": self.chunks, "papers": self.index.papers, "lists": self.index.lists}
+        return self.spark.createDataFrame([(t, f.name, f.dataType.simpleString()) for t, df in tables.items() for f in df.schema], "table string, column string, type string")
 
     def close(self) -> None:
-        if self.papers is not None:
-            self.papers.unpersist()
-        self.generation, self.chunks, self.papers = "0", None, None
+        self.generation, self.chunks, self.index = "0", None, None

@@ -75,10 +75,13 @@ def chunk_sections(spark, sf_dir):
     return chunks.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size(T.words(F.col("text")))).alias("words"))
 
 
-@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Results:' WHEN 1 THEN '2.1 Setup of ' || lang WHEN 3 THEN 'References' END AS section FROM documents""")
+_HEADER = """CASE WHEN rtrim(lower({l}), '.: ') IN ('abstract','introduction','background','related work','method','methodology','experiment','experimental','results','result','discussion','conclusion','conclusions','nomenclature','acknowledgment','acknowledgements','references','bibliography') OR (regexp_matches(rtrim(lower({l}), '.: '), '^\\d+(\\.\\d+)*[.\\s]+[a-z]') AND len(string_split(trim(regexp_replace(rtrim(lower({l}), '.: '), '^\\d+(\\.\\d+)*[.\\s]+', '')), ' ')) <= 8) THEN {l}[:60] END"""
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Results:' WHEN 1 THEN '2.1 Setup of ' || lang WHEN 3 THEN 'References' END AS section, {_HEADER.format(l="trim(split_part(coalesce(text, ''), chr(10), 1))")} AS own FROM documents""")
 def section_header(spark, sf_dir):
     line = F.element_at(F.array(F.lit("Results: "), F.concat(F.lit(" 2.1 Setup of "), "lang"), F.concat(F.lit("III. Setup of "), "lang"), F.lit("References")), (F.col("doc_id") % 4 + 1).cast("int"))
-    return documents(spark, sf_dir).select("doc_id", T.section_header(line).alias("section"))
+    return documents(spark, sf_dir).select("doc_id", T.section_header(line).alias("section"), T.section_header(F.substring_index("text", "\n", 1)).alias("own"))
 
 
 @query("""SELECT doc_id, substr(sha256(source || '/' || doc_id || '.pdf'), 1, 12) AS by_path, substr(sha256('10.' || doc_id || '/ab'), 1, 12) AS by_doi, substr(sha256('zotero:k' || doc_id || ':' || doc_id), 1, 12) AS by_item FROM documents""")
@@ -93,20 +96,38 @@ def years_and_dois(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", T.year(F.col("o_orderdate").cast("string")).alias("year"), T.doi_norm(F.concat(F.lit(" 10.1/"), "o_orderkey", F.lit(". "))).alias("doi"))
 
 
-@query(r"""SELECT doc_id, 'Title' || chr(10) || 'alt and link' || chr(10) || 'bold x_y' || chr(10) || chr(10) || trim(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\*{1,3}([^*]+)\*{1,3}', '\1', 'g'), '(?m)^\|(.+)\|$', '\1', 'g'), '(?m)^[-:| ]+$', '', 'g'), '<[^>]+>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '|', ' '), ' ' || chr(10)) AS plain FROM documents WHERE text NOT LIKE '%|%' AND text NOT LIKE '%\_%' AND text NOT LIKE '%*%' AND text NOT LIKE '%#%' AND text NOT LIKE '%<%'""")
-def markdown_to_text(spark, sf_dir):
-    """The part of markdown_to_text_all that SQL can say: documents without marks of their own."""
-    return _plain(documents(spark, sf_dir).filter(~F.col("text").rlike(r"[|_*#<]")))
+_TRIM = "trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_MD = "'# Title' || chr(10) || '![alt](a.png) and [link](http://x)' || chr(10) || '**bold** x_y' || chr(10) || '~~~' || chr(10) || 'code' || chr(10) || '~~~' || chr(10) || '---' || chr(10) || chr(10) || chr(10) || coalesce(text, '')"
+_REWRITES = (
+    (r"```[\s\S]*?```", ""), (r"~~~[\s\S]*?~~~", ""), (r"!\[([^\]]*)\]\([^)]+\)", r"\1"), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", r"\1"), ("_{1,3}([^_]+)_{1,3}", r"\1"),
+    (r"(?m)^\|(.+)\|$", r"\1"), (r"(?m)^[-:| ]+$", ""), (r"\|", " "), (r"(?m)^[-*_]{3,}\s*$", ""), ("<[^>]+>", ""), (r"\n{3,}", "\n\n"),
+)
 
 
-@query()
-def markdown_to_text_all(spark, sf_dir):
-    return _plain(documents(spark, sf_dir))
+def _rewritten(x: str, rewrites) -> str:
+    for pattern, by in rewrites:
+        by = f"'{by}'" if "\n" not in by else "chr(10) || chr(10)"
+        x = f"regexp_replace({x}, '{pattern}', {by}, 'g')"
+    return x
+
+
+def twice(name: str):
+    """Register a query under a second name that it had."""
+
+    def add(f):
+        QUERIES[name] = f
+        if f.__name__ in ORACLE_SQL:
+            ORACLE_SQL[name] = ORACLE_SQL[f.__name__]
+        return f
+
+    return add
 
 
-def _plain(docs: DataFrame) -> DataFrame:
+@twice("markdown_to_text_all")
+@query(f"SELECT doc_id, {_TRIM.format(x=_rewritten(_MD, _REWRITES))} AS plain FROM documents")
+def markdown_to_text(spark, sf_dir):
     md = F.concat(F.lit("# Title\n![alt](a.png) and [link](http://x)\n**bold** x_y\n~~~\ncode\n~~~\n---\n\n\n"), "text")
-    return docs.select("doc_id", T.markdown_to_text(md).alias("plain"))
+    return documents(spark, sf_dir).select("doc_id", T.markdown_to_text(md).alias("plain"))
 
 
 @query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars, CAST(len(regexp_extract_all(html, '<[^>]+>')) AS BIGINT) AS tags FROM pages")
@@ -114,9 +135,10 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("text_chars"), F.regexp_count("html", F.lit("<[^>]+>")).cast("long").alias("tags"))
 
 
-@query("SELECT doc_id, 'a paper ' || doc_id AS title FROM documents")
+@query("SELECT p_partkey, trim(regexp_replace(p_name, '\\s+', ' ', 'g')) AS title FROM part")
 def filename_titles(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", T.title_from_filename(F.concat(F.lit("/kb/a  paper "), "doc_id", F.lit("(科研通-ablesci.com) (1)_12.pdf"))).alias("title"))
+    name = F.concat(F.lit("/kb/"), "p_name", F.when(F.col("p_partkey") % 2 == 0, "  (科研通-ablesci.com) (1)").otherwise(" "), F.lit("_12.pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.title_from_filename(name).alias("title"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM (SELECT doc_id, 'Journal of X' || chr(10) || '  Elsevier 2020' || chr(10) || chr(10) || coalesce(text, '') AS t FROM documents))
@@ -125,22 +147,13 @@ def strip_header(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.strip_journal_header(F.concat(F.lit("Journal of X\n  Elsevier 2020\n\n"), "text")).alias("body"))
 
 
-_SQUEEZED = r"trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))"
+_BOILER = r"(?i)^\s*(?:journal of|international|applied|energy|thermal|heat and mass|electrochimica|renewable|sustainable|©|copyright|published by|elsevier|springer|mdpi|http|doi:|vol\.|pp\.|issn|isbn)"
 
 
-@query(rf"SELECT doc_id, trim('pre fixed ' || {_SQUEEZED}) AS abstract FROM documents WHERE text NOT LIKE '%- %' AND text NOT LIKE '%-' || chr(10) || '%' AND NOT regexp_matches(text, '(?i)key')")
+@twice("clean_abstract_all")
+@query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(' pre' || chr(10) || ' fi- xed  ' || coalesce(text, '') || ' Keywords: a, b' || chr(10) || 'c', '(?is)\b(?:Keywords?|K E Y W O R D S?|Key words?)\b[:\s]*.*$', ''), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\s([\p{{L}}\p{{N}}_])', '\1\2', 'g')) AS abstract FROM documents""")
 def clean_abstract(spark, sf_dir):
-    """The part of clean_abstract_all that SQL can say: no hyphenation, no keywords."""
-    return _abstracts(documents(spark, sf_dir).filter(~F.col("text").rlike(r"-[ \n]|(?i)key")))
-
-
-@query()
-def clean_abstract_all(spark, sf_dir):
-    return _abstracts(documents(spark, sf_dir))
-
-
-def _abstracts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), "text", F.lit(" Keywords: a, b\nc"))).alias("abstract"))
+    return documents(spark, sf_dir).select("doc_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), "text", F.lit(" Keywords: a, b\nc"))).alias("abstract"))
 
 
 @query(rf"""SELECT doc_id, 'The study of ' || doc_id || ' shows that all of it holds.' AS abstract, true AS found FROM documents WHERE doc_id % 2 = 0
@@ -153,20 +166,15 @@ def extract_abstract(spark, sf_dir):
     return found.select("doc_id", "a.abstract", "a.found")
 
 
-@query(r"""
-WITH d AS (SELECT doc_id, trim(coalesce(text, ''), ' ' || chr(10)) AS t FROM documents WHERE length(trim(coalesce(text, ''), ' ' || chr(10))) >= 30),
-s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS ss FROM d),
+@twice("summaries_all")
+@query(rf"""
+WITH d AS (SELECT doc_id, {_TRIM.format(x="coalesce(text, '')")} AS own, substr(coalesce(text, ''), 1, 5000) AS head FROM documents),
+t AS (SELECT doc_id, CASE WHEN length(own) >= 30 THEN own ELSE array_to_string(list_filter(string_split(head, chr(10)), lambda x: {_TRIM.format(x="x")} <> '' AND NOT regexp_matches(x, '{_BOILER}')), chr(10)) END AS t FROM d),
+s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format(x="x")}), lambda x: x <> '') AS ss FROM t),
 u AS (SELECT doc_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM s),
 r AS (SELECT doc_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
-SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS summary FROM r WHERE before < 200 GROUP BY doc_id""")
+SELECT documents.doc_id, coalesce(string_agg(x, ' ' ORDER BY i), '') AS summary FROM documents LEFT JOIN r ON r.doc_id = documents.doc_id AND before < 200 GROUP BY documents.doc_id""")
 def summaries(spark, sf_dir):
-    """The part of summaries_all that SQL can say: texts that are long enough for an abstract."""
-    docs = documents(spark, sf_dir).filter(F.length(T.strip(F.col("text"))) >= 30)
-    return docs.select("doc_id", T.summarize(F.col("text"), F.lit("")).alias("summary"))
-
-
-@query()
-def summaries_all(spark, sf_dir):
     """A text that is too short for an abstract is summed up as a full text."""
     return documents(spark, sf_dir).select("doc_id", T.summarize(F.col("text"), F.col("text")).alias("summary"))
 
@@ -176,19 +184,13 @@ def chinese_documents(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.has_chinese(F.col("text"))).alias("chinese"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(split_part(coalesce(text, ''), chr(10), 1)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS title_norm FROM documents WHERE NOT regexp_matches(text, '[ßẞſ]')""")
-def title_norms(spark, sf_dir):
-    """The part of title_norms_all that SQL can say: no letters that folding makes longer."""
-    return _titles(documents(spark, sf_dir).filter(~F.col("text").rlike("[ßẞſ]")))
+_TITLE = r"trim(regexp_replace(replace(replace(lower(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[^\p{L}\p{N}_\s]', ' ', 'g')), 'ß', 'ss'), 'ſ', 's'), '\s+', ' ', 'g'))"
 
 
-@query()
-def title_norms_all(spark, sf_dir):
-    return _titles(documents(spark, sf_dir))
-
-
-def _titles(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", T.normalize_title(F.substring_index("text", "\n", 1)).alias("title_norm"))
+@twice("title_norms_all")
+@query(f"SELECT doc_id, {_TITLE} AS title_norm FROM documents")
+def title_norms(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", T.normalize_title(F.substring_index("text", "\n", 1)).alias("title_norm"))
 
 
 @query("SELECT doc_id, CASE WHEN 100 * n_chars < 1024 THEN (100 * n_chars) || ' B' WHEN 100 * n_chars < 1048576 THEN printf('%.1f', 100 * n_chars / 1024.0) || ' KB' ELSE printf('%.1f', 100 * n_chars / 1048576.0) || ' MB' END AS size, CASE WHEN n_chars < 60 THEN n_chars || 's' ELSE (n_chars // 60) || 'm ' || (n_chars % 60) || 's' END AS elapsed, CAST(n_chars AS INTEGER) AS page, CAST(n_chars + 1 AS INTEGER) AS pages FROM documents")
@@ -215,9 +217,22 @@ def _like_sql(q: str) -> str:
     return f"CASE WHEN {hit('title')} THEN 10 WHEN {hit('abstract')} THEN 7 WHEN {hit('summary')} THEN 5 ELSE 0 END"
 
 
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
+def doc_index(spark, sf_dir) -> lexical.Index:
+    """The search index of the documents, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        lexical.write_index(doc_papers(spark, sf_dir), folder)
+        _indexes[key] = lexical.Index(spark, folder)
+    return _indexes[key]
+
+
 @query(f"WITH {_PAPERS_SQL} SELECT paper_id, {_like_sql('ther_ble')} AS base_score FROM p WHERE {_like_sql('ther_ble')} > 0 ORDER BY 2 DESC, title, paper_id LIMIT 20")
 def like_search(spark, sf_dir):
-    return lexical.like_search(doc_papers(spark, sf_dir), "theR_ble", 20).select("paper_id", "base_score")
+    return lexical.like_search(doc_index(spark, sf_dir).papers_like("theR_ble"), "theR_ble", 20).select("paper_id", "base_score")
 
 
 def _match_sql(q: str) -> str:
@@ -250,7 +265,8 @@ r AS (SELECT paper_id, {rank} AS rank FROM c, st WHERE {" AND ".join(f"f{k} > 0"
 
 @query(f"WITH {_bm25_sql(['thwhwh', 'onthe'])} SELECT paper_id, round(rank, 6) AS rank FROM r")
 def bm25_search(spark, sf_dir):
-    return lexical.bm25(doc_papers(spark, sf_dir), ["thwhwh", "onthe"]).select("paper_id", F.round("rank", 6).alias("rank"))
+    index = doc_index(spark, sf_dir)
+    return lexical.bm25(index.papers_with(["thwhwh", "onthe"]), "thwhwh onthe", index.totals).select("paper_id", F.round("rank", 6).alias("rank"))
 
 
 @query(f"""WITH {_bm25_sql(['thwhwh'])}, l AS (SELECT paper_id, {_like_sql('thwhwh')} AS base FROM p WHERE {_like_sql('thwhwh')} > 0 ORDER BY base DESC, title, paper_id LIMIT 20),
@@ -258,13 +274,31 @@ f AS (SELECT paper_id, rank FROM r ORDER BY rank, paper_id LIMIT 20),
 m AS (SELECT paper_id, greatest(base, 15 - (rank + 1)) AS score, row_number() OVER (ORDER BY base DESC NULLS LAST, p.title, paper_id) AS la, rank FROM l FULL JOIN f USING (paper_id) JOIN p USING (paper_id))
 SELECT paper_id, round(score, 1) AS score FROM m ORDER BY m.score DESC, CASE WHEN m.score IS NULL THEN 1 ELSE 0 END, la LIMIT 10""")
 def hybrid_search(spark, sf_dir):
-    return lexical.search(doc_papers(spark, sf_dir), "thwhwh", 10).select("paper_id", F.col("score").cast("double").alias("score"))
+    index = doc_index(spark, sf_dir)
+    return lexical.search(index.papers, "thwhwh", 10, index).select("paper_id", F.col("score").cast("double").alias("score"))
 
 
-@query()
+@query(f"WITH {_bm25_sql(['thwhwh', 'onthe', 'leenè', 'erly'])} SELECT paper_id, round(rank, 6) AS rank FROM r".replace("WHERE f0 > 0 AND f1 > 0 AND f2 > 0 AND f3 > 0", "WHERE (f0 > 0 AND f1 > 0) OR (f2 > 0 AND NOT f3 > 0)"))
+def bm25_boolean(spark, sf_dir):
+    index = doc_index(spark, sf_dir)
+    return lexical.bm25(index.papers_with(["thwhwh", "onthe", "leenè", "erly"]), 'thwhwh AND onthe* OR "leenè" NOT erly', index.totals).select("paper_id", F.round("rank", 6).alias("rank"))
+
+
+_WHOLE = "CASE WHEN regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_])erly([^\\p{{L}}\\p{{N}}_]|$)') THEN '{c}' END"
+
+
+@query(f"""WITH {_bm25_sql(["erly"])}, l AS (SELECT paper_id, {_like_sql("erly")} AS base FROM p WHERE {_like_sql("erly")} > 0 ORDER BY base DESC, title, paper_id LIMIT 30),
+f AS (SELECT paper_id, rank, row_number() OVER (ORDER BY rank, paper_id) AS fa FROM r ORDER BY rank, paper_id LIMIT 30),
+m AS (SELECT p.*, greatest(base, 15 - (rank + 1)) AS score, CASE WHEN base IS NOT NULL THEN row_number() OVER (ORDER BY base DESC NULLS LAST, p.title, p.paper_id) END AS la, fa FROM l FULL JOIN f USING (paper_id) JOIN p USING (paper_id)),
+t AS (SELECT *, row_number() OVER (ORDER BY score DESC, la NULLS LAST, fa NULLS LAST) AS place, strpos(lower(abstract), 'erly') - 1 AS i FROM m QUALIFY place <= 20),
+w AS (SELECT *, greatest(0, i - 80) AS s, least(length(abstract), i + 204) AS e FROM t),
+h AS (SELECT *, CASE WHEN i < 0 THEN substr(abstract, 1, 300) ELSE (CASE WHEN s > 0 THEN '...' ELSE '' END) || regexp_replace(substr(abstract, s + 1, e - s), '(?i)erly', '**\\0**', 'g') || (CASE WHEN e < length(abstract) THEN '...' ELSE '' END) END AS abstract_preview FROM w),
+k AS (SELECT *, coalesce(nullif(concat_ws('+', {_WHOLE.format(x="title", c="title")}, {_WHOLE.format(x="replace(abstract_preview, '**', '')", c="abstract")}, {_WHOLE.format(x="summary", c="summary")}), ''), 'unknown') AS match_type FROM h)
+SELECT CAST(row_number() OVER (ORDER BY match_type <> 'unknown' DESC, place) AS INTEGER) AS position, paper_id, title, filename, abstract_preview, summary, match_type, round(score, 1) AS score FROM k""")
 def short_query_search(spark, sf_dir):
     """Substring hits stay after whole-word hits."""
-    return lexical.search(doc_papers(spark, sf_dir), "erly", 20)
+    index = doc_index(spark, sf_dir)
+    return lexical.search(index.papers, "erly", 20, index)
 
 
 # ---- vectors ----
@@ -285,6 +319,20 @@ def knn_batch(spark, sf_dir):
     return vector.nearest_batch(vectors, vectors.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
 
 
+_vectors: dict[tuple[str, str], vector.Index] = {}
+
+
+@query()
+def knn_ivf(spark, sf_dir):
+    """knn_batch by an index of every vector that is written once in a session."""
+    vectors, key = table(spark, sf_dir, "embeddings"), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _vectors:
+        folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        vector.write_index(vectors, folder)
+        _vectors[key] = vector.Index(spark, folder)
+    return _vectors[key].nearest_batch(vectors.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 @query(f"SELECT b.vec_id, b.label, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id = 7 AND b.label = a.label ORDER BY {_COS} DESC, b.vec_id LIMIT 15")
 def knn_filtered(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
@@ -298,7 +346,7 @@ def rerank_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     near = vector.nearest(vectors, vectors.filter("vec_id = 7").first()["embedding"], 20)
     hits = near.select("vec_id", F.col("score").alias("query"), F.lit(8.0).alias("text"))
-    return vector.rerank(hits, 5, lambda a, b: a * b).select("vec_id", F.round("score", 6).alias("score"))
+    return vector.rerank(hits, 5, lambda a, b: a * b, ties=("vec_id",)).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("SELECT vec_id, round(1 / (1 + exp(-10 * CAST(embedding[1] AS DOUBLE))), 6) AS p FROM embeddings")
@@ -306,7 +354,7 @@ def sigmoid_scores(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(T.sigmoid(10 * F.col("embedding")[0].cast("double")), 6).alias("p"))
 
 
-@query()
+@query(ORACLE_SQL["chunk_words"].replace("SELECT doc_id, CAST(row_number()", "SELECT doc_id, chunk_index, CASE WHEN length(chunk_text) >= 3 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM (SELECT doc_id, CAST(row_number()") + ")")
 def embed_chunks(spark, sf_dir):
     chunks = chunk.chunk_documents(documents(spark, sf_dir), "doc_id")
     embedded = vector.embed(chunks, lambda: vector.trigram_encoder(64))
@@ -405,7 +453,7 @@ def anti_deleted(spark, sf_dir):
 
 @query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey > 4000 OR o_totalprice > 200000 OR o_orderkey IN (1, 7)")
 def incremental_scan(spark, sf_dir):
-    return catalog.changed(table(spark, sf_dir, "orders"), 4000, 200000, [7, 1, 7], "o_orderkey", "o_totalprice").select("o_orderkey", "o_totalprice")
+    return catalog.changed(table(spark, sf_dir, "orders"), 4000, 200000, spark.createDataFrame([(7,), (1,), (7,)], "o_orderkey long"), "o_orderkey", "o_totalprice").select("o_orderkey", "o_totalprice")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag FROM lineitem WHERE l_returnflag IN ('R', 'A') QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE l_returnflag WHEN 'R' THEN 1 ELSE 2 END, l_linenumber, l_partkey) = 1")
@@ -435,7 +483,11 @@ def dedup_exact(spark, sf_dir):
     return keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", "first_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE k AS (SELECT doc_id, {_TITLE} AS t, '10.1/' || CAST(floor(doc_id / 3.0) AS BIGINT) || lang AS d, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+r AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS ts, CAST([] AS VARCHAR[]) AS ds, CAST(NULL AS BIGINT) AS doc_id, false AS accepted
+UNION ALL SELECT n, CASE WHEN ok AND t <> '' THEN list_append(ts, t) ELSE ts END, CASE WHEN ok AND d IS NOT NULL THEN list_append(ds, d) ELSE ds END, doc_id, ok
+FROM (SELECT k.n, k.doc_id, k.t, k.d, r.ts, r.ds, NOT (k.t <> '' AND list_contains(r.ts, k.t)) AND NOT coalesce(list_contains(r.ds, k.d), false) AS ok FROM r JOIN k ON k.n = r.n + 1))
+SELECT doc_id, accepted FROM r WHERE n > 0""")
 def dedup_greedy(spark, sf_dir):
     """Documents as items: two keys, the first line and a doi that a few share."""
     docs = documents(spark, sf_dir)
@@ -454,14 +506,13 @@ def dedup_probe(spark, sf_dir):
 
 @query("SELECT doc_id, CASE WHEN lang = 'en' THEN 2 ELSE 1 END AS version, coalesce(text, '') AS text FROM documents WHERE lang <> 'fr'")
 def upsert_snapshot(spark, sf_dir):
-    """Publish all documents, replace the English ones, delete the French ones, read back."""
+    """Publish all documents, replace the English ones and delete the French ones in the buckets
+    that have such, read back."""
     root = f"{shared_dir(spark)}/papers-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
-    snapshot.publish(docs.withColumn("version", F.lit(1)), root)
+    snapshot.publish(docs.withColumn("version", F.lit(1)), root, "doc_id")
     new = docs.filter("lang = 'en'").withColumn("version", F.lit(2))
-    snapshot.publish(snapshot.replaced(snapshot.current(spark, root), new, "doc_id"), root)
-    gone = docs.filter("lang = 'fr'").select("doc_id", F.lit("2024-01-01").alias("dateDeleted"))
-    snapshot.publish(snapshot.without(snapshot.current(spark, root), gone, "doc_id"), root)
+    snapshot.update(new, docs.filter("lang = 'fr'").select("doc_id"), root, snapshot.manifest(spark, root))
     return snapshot.current(spark, root).select("doc_id", "version", "text")
 
 
@@ -473,15 +524,17 @@ def removed_papers(spark, sf_dir):
 
 
 @query(r"""WITH b AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
-p AS (SELECT doc_id, trim(t, ' ' || chr(9) || chr(13)) AS t, i // 10 AS page, (i * 7) % 10 * 100 + 60 AS y, i FROM b)
-SELECT d.doc_id, x.text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, chr(10) ORDER BY page, y) AS text FROM p WHERE page < 20 AND t <> '' AND y + 10 >= 50 AND y <= 950 GROUP BY doc_id) x USING (doc_id)""")
+p AS (SELECT doc_id, trim(t, ' ' || chr(9) || chr(13)) AS t, i // 10 AS page, (i * 7) % 10 * 100 + 60 AS y, i FROM b),
+k AS (SELECT doc_id, page, y, t FROM p WHERE page < 20 AND t <> '' AND y + 10 >= 50 AND y <= 950),
+e AS (SELECT doc_id, page, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, page, sum(length(t)) AS n FROM k GROUP BY ALL))
+SELECT d.doc_id, x.text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, chr(10) ORDER BY page, y) AS text FROM k JOIN e USING (doc_id, page) WHERE before <= 3000 GROUP BY doc_id) x USING (doc_id)""")
 def layout_order(spark, sf_dir):
     """Lines as blocks, ten to a page, in a scrambled vertical order; the last falls in the footer
     band."""
     lines = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     y = (F.col("i") * 7 % 10 * 100 + 60).cast("double")
     blocks = lines.select("doc", F.floor(F.col("i") / 10).alias("page"), F.lit(0).alias("type"), F.lit(50.0).alias("x0"), y.alias("y0"), (y + 10).alias("y1"), F.lit(1000.0).alias("height"), "text")
-    return layout.page_text(blocks, soft_chars=10_000_000).select(F.col("doc").alias("doc_id"), "text")
+    return layout.page_text(blocks, soft_chars=3000).select(F.col("doc").alias("doc_id"), "text")
 
 
 @query("SELECT 'img' || doc_id || '.png' AS name FROM documents WHERE doc_id % 3 <> 0")
@@ -494,7 +547,7 @@ def orphan_images(spark, sf_dir):
 
 @query("SELECT doc_id, doc_id % 7 <> 3 AS success, CASE WHEN doc_id % 7 <> 3 THEN length(coalesce(text, '')) ELSE 0 END AS chars FROM documents")
 def batch_convert(spark, sf_dir):
-    def converter(path: str, content: bytes) -> str:
+    def converter(path: str, content: bytes, options: dict) -> str:
         if int(path.split(".")[0]) % 7 == 3:
             raise ValueError("damaged")
         return content.decode()

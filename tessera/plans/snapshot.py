@@ -1,7 +1,8 @@
-"""Immutable snapshots with a pointer, on any file system that Spark writes to.
+"""Immutable snapshots, on any file system that Spark writes to.
 
-A write goes to a new folder; then the pointer file is replaced by one rename. A failed write
-leaves the pointer, and so the readers, where they were."""
+A write goes to new folders, one for each bucket of keys that changes; then a numbered manifest
+that lists the folders is published by one rename. A failed write publishes none, so the readers
+stay where they were."""
 
 from __future__ import annotations
 
@@ -9,10 +10,13 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-POINTER = "CURRENT"
+from tessera.lineage import cut
+
+LOG, BUCKETS = "manifests", 64
 
 
 def _path(spark: SparkSession, path: str):
@@ -44,22 +48,100 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return rows[0][0] if rows else ""
 
 
+class Conflict(RuntimeError):
+    """Another writer published since the state was read."""
+
+
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    folder, fs = _path(spark, f"{root}/{LOG}")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return [int(n.removesuffix(".json")) for n in names if n.endswith(".json")]
+
+
+def manifest(spark: SparkSession, root: str) -> dict:
+    """The state that readers see: number, generation, key, schema and the folder of each bucket.
+    Its file names the generation; number 0 is the state before the first."""
+    number = max(_numbers(spark, root), default=0)
+    if not number:
+        return {"number": 0, "generation": "0", "parts": {}}
+    return json.loads(read_text(spark, f"{root}/{LOG}/{number:012}.json") or "{}") | {"number": number}
+
+
 def generation(spark: SparkSession, root: str) -> str:
     """Name of the current snapshot, '0' before the first."""
-    return read_text(spark, f"{root}/{POINTER}") or "0"
+    return manifest(spark, root)["generation"]
 
 
-def publish(df: DataFrame, root: str) -> str:
+def _commit(spark: SparkSession, root: str, base: dict, state: dict) -> str:
+    """Publish the successor of base. Its file is made by a rename that fails if the file is
+    there, so of two writers with one base only one gets through."""
+    jvm = spark._jvm
+    target, fs = _path(spark, f"{root}/{LOG}/{base['number'] + 1:012}.json")
+    part = jvm.org.apache.hadoop.fs.Path(f"{root}/{LOG}/part-{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(json.dumps(state).encode()))
+    finally:
+        out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(part), fs.makeQualified(target), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Exception as e:
+        fs.delete(part, False)
+        if fs.exists(target):
+            raise Conflict(f"{root} has changed since {base['generation']}") from e
+        raise
+    return state["generation"]
+
+
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _write(df: DataFrame, root: str, key: str) -> tuple[str, dict[str, str]]:
+    """Write df in folders by a hash of the key; their places by bucket."""
+    spark, name = df.sparkSession, f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    placed = df.withColumn("_bucket", _bucket(key))
+    placed.repartition("_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16))).write.partitionBy("_bucket").parquet(f"{root}/{name}")
+    folder, fs = _path(spark, f"{root}/{name}")
+    found = [s.getPath().getName() for s in fs.listStatus(folder)]
+    return name, {n.removeprefix("_bucket="): f"{name}/{n}" for n in found if n.startswith("_bucket=")}
+
+
+def publish(df: DataFrame, root: str, key: str | None = None, base: dict | None = None) -> str:
+    """Make df the whole content. With base, the manifest that df was made from, another writer's
+    publication since then is a Conflict."""
     spark = df.sparkSession
-    name = f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{root}/{name}")
-    write_text(spark, f"{root}/{POINTER}", name)
-    return name
+    base = base or manifest(spark, root)
+    key = key or base.get("key") or df.columns[0]
+    name, parts = _write(df, root, key)
+    return _commit(spark, root, base, {"generation": name, "key": key, "schema": df.schema.jsonValue(), "parts": parts})
+
+
+def read(spark: SparkSession, root: str, state: dict, buckets: list[int] | None = None) -> DataFrame | None:
+    """The rows of a manifest, or of some of its buckets."""
+    if not state["number"]:
+        return None
+    schema = StructType.fromJson(state["schema"])
+    paths = [f"{root}/{p}" for b, p in state["parts"].items() if buckets is None or int(b) in buckets]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
-    name = generation(spark, root)
-    return None if name == "0" else spark.read.parquet(f"{root}/{name}")
+    return read(spark, root, manifest(spark, root))
+
+
+def update(new: DataFrame, gone: DataFrame, root: str, base: dict) -> str:
+    """Replace all rows of the keys in new by new's and drop those of the keys in gone(key). Only
+    the buckets that hold such keys are read and written; the others stay where they are."""
+    spark, key = new.sparkSession, base["key"]
+    new, gone = cut(new), cut(gone.select(key).distinct())
+    touched = [r[0] for r in new.select(key).unionByName(gone).select(_bucket(key).alias("b")).distinct().collect()]
+    old = read(spark, root, base, touched)
+    rows = replaced(old.join(gone, key, "left_anti").select(*old.columns), new, key)
+    name, parts = _write(rows, root, key)
+    kept = {b: p for b, p in base["parts"].items() if int(b) not in touched}
+    return _commit(spark, root, base, {"generation": name, "key": key, "schema": rows.schema.jsonValue(), "parts": kept | parts})
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "paper_id") -> DataFrame:
@@ -80,7 +162,7 @@ def removed_papers(old: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
 
 
 # The state before the first sync.
-EMPTY_STATE = {"last_item_id": 0, "last_version": 0, "pending_item_ids": [], "last_sync_time": ""}
+EMPTY_STATE = {"last_item_id": 0, "last_version": 0, "pending": "", "last_sync_time": ""}
 
 
 def load_state(spark: SparkSession, root: str) -> dict:

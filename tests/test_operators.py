@@ -45,9 +45,10 @@ def test_bm25_equals_sqlite(spark, papers_df):
     con = sqlite3.connect(":memory:")
     con.execute("create virtual table f using fts5(title, abstract, summary, tokenize='trigram')")
     con.executemany("insert into f(rowid, title, abstract, summary) values (?, ?, ?, ?)", [(i, *p[1:]) for i, p in enumerate(PAPERS, 1)])
-    for q in ("storage", "energy", "especially rare", "能源的"):
+    queries = ["storage", "energy", "especially rare", "能源的", "solar OR rare", "energy NOT solar", "especially AND good", "sto* rare OR neural net", "title:energy", 'abstract:"thermal storage" OR summary:energy', "energy NOT solar storage OR rare", "especially good NOT specimen AND results"]
+    for q in queries:
         want = {f"p{i}": r for i, r in con.execute("select rowid, rank from f where f match ?", (q,))}
-        got = {r.paper_id: r["rank"] for r in lexical.bm25(papers_df, q.split()).collect()}
+        got = {r.paper_id: r["rank"] for r in lexical.bm25(papers_df, q).collect()}
         assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in want)
 
 
@@ -59,7 +60,20 @@ def test_search(spark, papers_df):
     assert lexical.search(papers_df, "  ", 5).count() == 0 and lexical.search(papers_df, "absent", 5).count() == 0
     assert [r.paper_id for r in lexical.search(papers_df, "能源", 5).collect()] == ["p4"]
     assert lexical.search(papers_df, "50%_x", 5).count() == 0
-    assert lexical.search_terms('"deep learning" net ab') == ["deep learning", "net"] and lexical.search_terms("a AND b") is None
+    assert [p for p, _ in lexical.parse('"deep learning" net ab')[0]] == ["deep learning", "net"]
+    assert all(lexical.parse(q) is None for q in ("a AND b", "x-y abc", "NEAR abc", '"open', "OR abc", "abc OR", "other:abc", "(abc)"))
+
+
+def test_index(spark, papers_df, tmp_path):
+    """Searches over the written index equal scans."""
+    lexical.write_index(papers_df, str(tmp_path / "i"))
+    index = lexical.Index(spark, str(tmp_path / "i"))
+    for q in ("energy", "PEC", "能源", "storage OR rare", "especially NOT good", "sto_age", "50%_x", "absent", "ab", "e_e", "x-y", "title:energy"):
+        want = lexical.search(papers_df, q, 5).orderBy("position").collect()
+        assert [r.asDict() for r in lexical.search(index.papers, q, 5, index).orderBy("position").collect()] == [r.asDict() for r in want], q
+    lexical.write_index(papers_df.limit(0), str(tmp_path / "e"))
+    empty = lexical.Index(spark, str(tmp_path / "e"))
+    assert lexical.search(empty.papers, "energy", 5, empty).count() == 0
 
 
 def test_highlight(spark):
@@ -78,10 +92,28 @@ def test_vectors(spark):
     assert [r.vec_id for r in batch if r.query_id == 7] == want
     hits = spark.createDataFrame([("a", 0.8), ("b", 0.3), ("c", 0.9)], "id string, score double")
     assert [r.id for r in vector.rerank(hits, 2).collect()] == ["c", "a"]
+    assert [r.id for r in vector.rerank(hits.withColumn("score", F.lit(0.5)), 2, ties=("id",)).collect()] == ["a", "b"]
     embedded = vector.embed(spark.createDataFrame([("hello world",), (None,)], "text string"), lambda: vector.trigram_encoder(16)).collect()
     assert math.isclose(sum(x * x for x in embedded[0].embedding), 1, rel_tol=1e-5) and not any(embedded[1].embedding)
 
 
+def test_vector_index(spark, tmp_path):
+    """Recall of the index against exact neighbours, every row indexed."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    vector.write_index(corpus, str(tmp_path / "v"), sample_rows=2000)
+    index = vector.Index(spark, str(tmp_path / "v"))
+    assert index.rows.count() == corpus.filter("embedding is not null").count()
+    queries = corpus.filter("vec_id % 20 = 0")
+    want = {(r.query_id, r.vec_id) for r in vector.nearest_batch(corpus, queries, 10).collect()}
+    rows = index.nearest_batch(queries, 10).collect()
+    got = {(r.query_id, r.vec_id) for r in rows}
+    print("recall", len(got & want) / len(want))
+    assert len(got & want) >= 0.9 * len(want) and len(rows) == len(got) == len(want)
+    q = queries.first()
+    one = [r.vec_id for r in index.nearest(list(q["embedding"]), 10).collect()]
+    assert one == [r.vec_id for r in sorted(rows, key=lambda r: r.position) if r.query_id == q["vec_id"]]
+
+
 def catalog_tables(spark):
     df = spark.createDataFrame
     return {
@@ -102,8 +134,10 @@ def test_catalog(spark):
     t = catalog_tables(spark)
     rows = catalog.scan_items(t).collect()
     assert [(r.itemID, r.title, r.doi) for r in rows] == [(1, "One", "10.1/x"), (2, "Two", "")]
-    assert [r.itemID for r in catalog.scan_items(t, 1, 5, [1, 1]).collect()] == [1, 2] and [r.itemID for r in catalog.scan_items(t, 1, 5).collect()] == [2]
+    assert [r.itemID for r in catalog.scan_items(t, 1, 5, spark.createDataFrame([(1,), (1,)], "itemID long")).collect()] == [1, 2] and [r.itemID for r in catalog.scan_items(t, 1, 5).collect()] == [2]
     assert catalog.attachments(t).collect()[0].attachment_key == "a2"
+    files = spark.createDataFrame([("/s/a2/b.docx", 5), ("/s/a2/c.PDF", 6), ("/s/a2/d.pdf", 7)], "path string, length long")
+    assert [tuple(r) for r in catalog.stored_files(files, catalog.attachments(t)).collect()] == [(1, "/s/a2/c.PDF", 6)] and catalog.stored_files(files, catalog.attachments(t), 5).count() == 0
     assert catalog.item_collections(t).collect()[0].collections == "lost; top/sub"
     assert {r.itemID: r.authors for r in catalog.item_authors(t).collect()} == {1: "A, B; C; D et al.", 2: "C"}
     assert catalog.high_water(t["items"].limit(0), "version").first()[0] == 0
@@ -140,6 +174,8 @@ def test_papers(spark):
     got = {r.paper_id: r for r in papers.papers_of(chunks).collect()}
     assert got["p"].abstract == body and got["p"].has_abstract == 1 and got["p"].source == "papers" and got["q"].title == "" and got["q"].abstract_len == 0
     assert papers.build_stats(papers.papers_of(chunks)).first() == (2, 1, 0, 1, 50.0)
+    loose = spark.createDataFrame([("p", "k", "B", 2), ("p", "k", "A", 1), ("", "k2", "C", 3), ("", "", "D", 4), (None, None, "D", 5)], "paper_id string, zotero_key string, title string, place int")
+    assert sorted(r.title for r in papers.paper_titles(loose).collect()) == ["A", "C", "D", "D"] and papers.paper_keys(loose).filter("paper_key like 'unknown-%'").count() == 2
     titles = spark.createDataFrame([(0, "Solar Energy solar"), (1, "能源 energy of"), (2, None)], "place int, title string")
     assert [(r.keyword, r.n) for r in papers.keywords(titles).collect()] == [("solar", 2), ("energy", 2), ("能源", 1)]
     info = papers.collection_info(titles, 7).first()
@@ -152,17 +188,25 @@ def test_layout(spark):
     assert {r.doc: r.text for r in layout.page_text(df).collect()} == {"d": "a\nb", "e": None}
 
 
-def test_convert(spark):
-    assert convert.output_names(["paper", "Paper", "paper-2"]) == ["paper", "Paper-2", "paper-2-2"]
+def test_convert(spark, tmp_path):
+    names = lambda paths: [r.output_name for r in convert.output_names(spark.createDataFrame([(p,) for p in paths], "path string")).orderBy("path").collect()]
+    assert names(["a/paper.pdf", "b/Paper.pdf", "c/paper-2.pdf"]) == ["paper", "Paper-2", "paper-2-2"]
+    assert names(["a/x-2.pdf", "b/x.pdf", "c/X.docx", "d/x.png", "e/x-3.gif"]) == ["x-2", "x", "X-3", "x-4", "x-3-2"]
     files = spark.createDataFrame([("a.pdf", "a", b"x"), ("b.pdf", "b", b"bad")], "path string, output_name string, content binary")
 
-    def converter(path, content):
+    def converter(path, content, options):
         if content == b"bad":
             raise ValueError("damaged")
-        return f"# {path}"
+        return f"# {path} {options['max_pages']} {options['language']}"
 
     assert {r.path: (r.success, r.error) for r in convert.convert(files, converter).collect()} == {"a.pdf": (True, ""), "b.pdf": (False, "damaged")}
-    with pytest.raises(ValueError):
-        convert.convert(files, converter, max_pages=True)
+    done = convert.convert(files.drop("output_name"), converter, "pipeline", "en", "txt", 7)
+    assert [(r.output_name, r.markdown, r.backend, r.language, r.method) for r in done.filter("success").collect()] == [("a", "# a.pdf 7 en", "pipeline", "en", "txt")]
+    assert convert.counted(done).first() == (2, 1, 1)
+    convert.write_markdown(done, str(tmp_path / "md"))
+    assert [p.read_text() for p in (tmp_path / "md" / "output_name=a").glob("*.txt")] == ["# a.pdf 7 en\n"]
+    for bad in ({"max_pages": True}, {"backend": "x"}, {"language": "xx"}, {"method": "x"}):
+        with pytest.raises(ValueError):
+            convert.convert(files, converter, **bad)
     md = spark.createDataFrame([("a ![x](p.png) b",)], "md string")
-    assert md.select(convert.describe_images(F.col("md"), F.create_map(F.lit("p.png"), F.lit("a cat")))).first()[0] == "a ![x](p.png)\n\n> a cat\n b"
+    assert md.select(convert.describe_images(F.col("md"), F.create_map(F.lit("p.png"), F.lit("a cat")))).first()[0] == "a ![x](p.png)\n> VLM description: a cat\n b"

@@ -7,7 +7,7 @@ from tessera.plans import snapshot
 from tessera.plans.engine import Engine, clamped, valid_top_k
 from tessera.sources import documents
 from tessera.sources.sqlite import SqliteSource
-from tessera.streaming.sync import sync
+from tessera.streaming.sync import ingest, signature, sync, watch
 from tests.test_operators import catalog_tables
 
 
@@ -30,6 +30,70 @@ def test_snapshots(spark, tmp_path):
     assert snapshot.generation(spark, root) == before and snapshot.current(spark, root).count() == 2
 
 
+def test_update_touches_few_buckets(spark, tmp_path):
+    root = str(tmp_path / "store")
+    snapshot.publish(spark.range(500).selectExpr("cast(id as string) as paper_id", "id as n"), root)
+    base = snapshot.manifest(spark, root)
+    snapshot.update(spark.createDataFrame([("7", -7), ("new", 0)], "paper_id string, n long"), spark.createDataFrame([("8",)], "paper_id string"), root, base)
+    after = snapshot.manifest(spark, root)
+    assert sum(base["parts"][b] != p for b, p in after["parts"].items() if b in base["parts"]) <= 3
+    want = {(str(i), i) for i in range(500)} - {("7", 7), ("8", 8)} | {("7", -7), ("new", 0)}
+    assert {tuple(r) for r in snapshot.current(spark, root).collect()} == want
+    with pytest.raises(snapshot.Conflict):
+        snapshot.update(spark.createDataFrame([("9", -9)], "paper_id string, n long"), spark.createDataFrame([], "paper_id string"), root, base)
+    assert {tuple(r) for r in snapshot.current(spark, root).collect()} == want
+
+
+def test_ingest(spark, tmp_path):
+    root = str(tmp_path / "kb")
+    text = "Salt stores heat for a long time and gives it back at night. " * 3
+    docs = spark.createDataFrame([("/f/a.pdf", "p1", "A", text), ("/f/b.pdf", "p2", "B", "short"), ("/f/c.pdf", "p3", "C", None)], "path string, paper_id string, title string, text string")
+    assert ingest(spark, root, docs) == {"found": 3, "imported": 1, "too_short": 2}
+    more = docs.unionByName(spark.createDataFrame([("/f/d.pdf", "p4", "D", text.replace("Salt", "Sand"))], docs.schema))
+    assert ingest(spark, root, more) == {"found": 4, "imported": 1, "too_short": 2, "skipped": 1}
+    engine = Engine(spark, root)
+    assert {r.paper_id for r in engine.chunks.collect()} == {"p1", "p4"} if engine.refresh() else None
+    assert engine.search_text("sand stores").first().title == "D" and engine.search("Sand stores heat", 1)[0].title == "D"
+    assert engine.scan("filename", "a.pdf").count() == 1 and engine.scan("paper_id", "p4", 1).count() == 1
+    with pytest.raises(ValueError):
+        engine.scan("text", "x")
+    assert {r["table"] for r in engine.schema().collect()} == {"chunks", "papers", "lists"}
+
+
+def test_search_follows_the_snapshot(spark, tmp_path):
+    """A snapshot that is replaced while a search runs gives one more search."""
+    root, runs = str(tmp_path / "kb"), []
+    text = "Salt stores heat for a long time and gives it back at night. " * 3
+    docs = lambda n, t: spark.createDataFrame([(f"/f/{n}.pdf", n, n.upper(), t)], "path string, paper_id string, title string, text string")
+    ingest(spark, root, docs("a", text))
+    engine = Engine(spark, root)
+    inner = engine._search
+
+    def search(*args):
+        runs.append(engine.generation)
+        found = inner(*args)
+        if len(runs) == 1:
+            ingest(spark, root, docs("b", text.replace("Salt", "Sand")))
+        return found
+
+    engine._search = search
+    assert {r.title for r in engine.search("salt stores heat", 2)} == {"A", "B"} and len(set(runs)) == 2
+
+
+def test_watch(spark, tmp_path):
+    files = spark.createDataFrame([("a", 1, 5)], "path string, length long, modificationTime long")
+    assert signature(files) == signature(files) != signature(files.withColumn("length", F.lit(2)))
+    states, runs = iter(["s1", "s1", "s1", "s2", "s3", "s3", "s3", "s3", "s4", "s4", "s4"]), []
+
+    def run():
+        runs.append(1)
+        if len(runs) == 3:
+            raise RuntimeError("locked")
+
+    # first state, none, a change that settles late, none, a change that fails and is run again
+    assert watch(lambda: next(states, "s4"), run, rounds=7, sleep=lambda _: None) == 3 and len(runs) == 4
+
+
 def test_state(spark, tmp_path):
     root = str(tmp_path)
     assert snapshot.load_state(spark, root) == snapshot.EMPTY_STATE
@@ -49,13 +113,13 @@ def test_sync_and_engine(spark, tmp_path):
     assert sync(spark, root, tables, extract, dry_run=True) == {"found": 2, "with_attachment": 1}
     assert sync(spark, root, tables, extract) == {"found": 2, "removed": 0, "imported": 1, "no_attachment": 1}
     state = snapshot.load_state(spark, root)
-    assert (state["last_item_id"], state["last_version"], state["pending_item_ids"]) == (2, 9, [2])
+    assert (state["last_item_id"], state["last_version"]) == (2, 9) and [r.itemID for r in spark.read.parquet(f"{root}/{state['pending']}").collect()] == [2]
     chunks = snapshot.current(spark, root)
     assert chunks.count() == 3 and {r.authors for r in chunks.collect()} == {"A, B; C; D et al."}
     engine = Engine(spark, root)
     assert engine.health()["status"] == "ready"
     assert engine.search_text("storage of heat").first().title == "One"
-    assert engine.search("storage of heat", 2).count() == 2
+    assert len(engine.search("storage of heat", 2)) == 2 == len(engine.search("storage of heat", 2, exact=True))
     with pytest.raises(ValueError):
         engine.search(" ", 2)
     gone = tables | {"deletedItems": spark.createDataFrame([(1, "2025-01-01")], "itemID long, dateDeleted string"), "items": tables["items"].filter("itemID > 1")}
