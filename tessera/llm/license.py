@@ -12,57 +12,46 @@ equi-joins of (directory, ancestor) paths.
 
 Defined results: null text counts as empty and can only inherit; a null path has no ancestors;
 ties between templates go to the first by name, ties between license files of one directory to
-the least path; repeated rows each give a row; empty tables give empty results; extra columns
+the least path; repeated rows each give a row; texts of any length are compared whole, a batch is
+worked on in slices bounded by bytes; empty tables give empty results; extra columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
 from importlib import resources
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, lookup
+from tessera.llm.common import cut, lookup, slices
 
-# Short notices of public licenses.
-TEMPLATES = {
-    "AGPL-3.0": "licensed under the gnu affero general public license version 3 this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license",
-    "Apache-2.0": "licensed under the apache license version 2.0 you may not use this file except in compliance with the license you may obtain a copy of the license",
-    "BSD-3-Clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met released under the bsd license",
-    "CC-BY-4.0": "licensed under cc by 4.0 this work is licensed under a creative commons attribution 4.0 international license",
-    "CC-BY-NC-4.0": "licensed under cc by nc 4.0 this work is licensed under a creative commons attribution noncommercial 4.0 international license",
-    "CC-BY-SA-4.0": "licensed under cc by sa 4.0 this work is licensed under a creative commons attribution sharealike 4.0 international license",
-    "CC0-1.0": "to the extent possible under law the author has waived all copyright and related rights cc0 1.0 universal public domain dedication",
-    "GPL-2.0": "this work is licensed under the gnu general public license version 2 this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2",
-    "GPL-3.0": "this work is licensed under the gnu general public license version 3 this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3",
-    "ISC": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted released under the isc license",
-    "LGPL-3.0": "licensed under the gnu lesser general public license version 3 under the terms of the gnu lesser general public license",
-    "MIT": "released under the mit license permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
-    "MPL-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file",
-}
-# Standard headers and names of the same licenses.
+# Notices, standard headers and names of public licenses, each a template of its own.
 _GNU = "this program is free software you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
-HEADERS = {
-    "AGPL-3.0": [_GNU.format("affero general public license", 3), "agpl 3.0 or later", "agpl 3.0 only", "agplv3", "agpl v3"],
-    "Apache-2.0": ["apache 2.0", "apache license 2.0"],
-    "BSD-3-Clause": ["bsd 3 clause", "bsd 3 clause license", "license bsd"],
-    "CC-BY-4.0": ["cc by 4.0"],
-    "CC-BY-NC-4.0": ["cc by nc 4.0"],
-    "CC-BY-SA-4.0": ["cc by sa 4.0"],
-    "CC0-1.0": ["cc0 1.0", "cc0 1.0 universal", "license cc0"],
-    "GPL-2.0": [_GNU.format("general public license", 2), "gpl 2.0 or later", "gpl 2.0 only", "gplv2", "gpl v2"],
-    "GPL-3.0": [_GNU.format("general public license", 3), "gpl 3.0 or later", "gpl 3.0 only", "gplv3", "gpl v3"],
-    "ISC": ["isc", "license isc", "isc license"],
-    "LGPL-3.0": [_GNU.format("lesser general public license", 3), "lgpl 3.0 or later", "lgpl 3.0 only", "lgplv3", "lgpl v3"],
-    "MIT": ["mit", "license mit", "mit license"],
-    "MPL-2.0": ["mpl 2.0", "mozilla public license version 2.0"],
-}
+_UNDER = "licensed under the gnu {} version {}"
+TEMPLATES = {
+    "AGPL-3.0": [_UNDER.format("affero general public license", 3), _GNU.format("affero general public license", 3), "agpl 3.0 or later", "agpl 3.0 only", "agplv3", "agpl v3"],
+    "Apache-2.0": [
+        "licensed under the apache license version 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license", "apache 2.0", "apache license 2.0",
+        "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www.apache.org licenses license 2.0",
+    ],
+    "BSD-3-Clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "bsd 3 clause", "bsd 3 clause license", "license bsd"],
+    "CC-BY-4.0": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "cc by 4.0"],
+    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "this work is licensed under a creative commons attribution noncommercial 4.0 international license", "cc by nc 4.0"],
+    "CC-BY-SA-4.0": ["licensed under cc by sa 4.0", "this work is licensed under a creative commons attribution sharealike 4.0 international license", "cc by sa 4.0"],
+    "CC0-1.0": ["to the extent possible under law the author has waived all copyright and related rights", "cc0 1.0 universal public domain dedication", "cc0 1.0", "cc0 1.0 universal", "license cc0"],
+    "GPL-2.0": [_UNDER.format("general public license", 2), _GNU.format("general public license", 2), "gpl 2.0 or later", "gpl 2.0 only", "gplv2", "gpl v2"],
+    "GPL-3.0": [_UNDER.format("general public license", 3), _GNU.format("general public license", 3), "gpl 3.0 or later", "gpl 3.0 only", "gplv3", "gpl v3"],
+    "ISC": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "isc", "license isc", "isc license"],
+    "LGPL-3.0": [_UNDER.format("lesser general public license", 3), _GNU.format("lesser general public license", 3), "lgpl 3.0 or later", "lgpl 3.0 only", "lgplv3", "lgpl v3"],
+    "MIT": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "license mit", "mit license"],
+    "MPL-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file", "mpl 2.0", "mozilla public license version 2.0"],
+}
 #: Lines on each side of a marked line that a range takes at most.
 REACH = 3
 BUCKETS = 1 << 18
@@ -118,37 +107,33 @@ def bucket(term: str) -> int:
 
 
 class Matcher:
-    """Cosine of a text to each template. weights: inverse document frequency of terms, or of
-    their buckets. A notice often is a part of its template, so the text's own terms span the
-    space: of a template, the terms that the text lacks count only by their share ``depth``."""
-
-    def __init__(self, weights: dict, usual: float, depth: float = 0.1, full: dict[str, str] | None = None):
-        self.weights, self.usual, self.depth = weights, usual, depth
-        texts = [(n, t) for n in TEMPLATES for t in (TEMPLATES[n], *HEADERS[n], *([full[n]] if n in (full or {}) else []))]
-        self.names, self.total, self.index = [n for n, _ in texts], [], {}
+    """Cosine of a text's term vector to each template's. weights: inverse document frequency of
+    terms, or of their buckets."""
+
+    def __init__(self, weights: dict, usual: float, full: dict[str, str] | None = None):
+        self.weights, self.usual = weights, usual
+        texts = [(n, t) for n in TEMPLATES for t in (*TEMPLATES[n], *([full[n]] if n in (full or {}) else []))]
+        self.names, self.size, self.index = [n for n, _ in texts], [], {}
         for i, (_, text) in enumerate(texts):
             v = self._vector(text)
-            self.total.append(sum(x * x for x in v.values()))
+            self.size.append(math.sqrt(sum(x * x for x in v.values())))
             for t, x in v.items():
                 self.index.setdefault(t, []).append((i, x))
 
     def _vector(self, text: str) -> dict[str, float]:
         weigh = lambda t: self.weights.get(t, self.weights.get(bucket(t), self.usual))
-        return {t: (1 + np.log(n)) * weigh(t) for t, n in Counter(terms(text)).items()}
+        return {t: (1 + math.log(n)) * weigh(t) for t, n in Counter(terms(text)).items()}
 
     def best(self, text: str) -> tuple[float, str | None]:
         v = self._vector(text)
-        norm = np.sqrt(sum(x * x for x in v.values()))
+        norm = math.sqrt(sum(x * x for x in v.values()))
         dots: dict[int, float] = {}
-        both: dict[int, float] = {}
         for t, x in v.items():
             for i, y in self.index.get(t, ()):
                 dots[i] = dots.get(i, 0.0) + x * y
-                both[i] = both.get(i, 0.0) + y * y
         found = (0.0, None)
         for i in sorted(dots):
-            size = np.sqrt(both[i] + self.depth * max(self.total[i] - both[i], 0.0))
-            found = max(found, (float(dots[i] / (norm * size)), self.names[i]), key=lambda f: f[0])
+            found = max(found, (dots[i] / (norm * self.size[i]), self.names[i]), key=lambda f: f[0])
         return found
 
 
@@ -156,7 +141,7 @@ def _frequencies(files: DataFrame) -> tuple[dict[int, float], float]:
     """Inverse document frequencies of the buckets of terms, over all files with a mark."""
 
     def count(batches):
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             sums: Counter[int] = Counter()
             for text in b.column("text").to_pylist():
                 if marked(text):
@@ -165,7 +150,7 @@ def _frequencies(files: DataFrame) -> tuple[dict[int, float], float]:
 
     n = dict(files.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas().itertuples(index=False, name=None))
     total = n.pop(-1, 0)
-    idf = lambda k: float(np.log((1 + total) / (1 + k)) + 1)
+    idf = lambda k: math.log((1 + total) / (1 + k)) + 1
     return {t: idf(k) for t, k in n.items()}, idf(0)
 
 
@@ -175,8 +160,8 @@ def own_licenses(files: DataFrame, threshold: float = 0.5) -> DataFrame:
     full = full_texts()
 
     def run(batches):
-        matcher, seen = Matcher(weights, usual, full=full), {}
-        for b in batches:
+        matcher, seen = Matcher(weights, usual, full), {}
+        for b in (x for batch in batches for x in slices(batch, "text")):
             names, scores, whole = [], [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
                 best: tuple[float, str | None] = (0.0, None)

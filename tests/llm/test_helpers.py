@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -45,10 +46,10 @@ def test_binomial(k, n, p):
     assert math.isclose(quality.binomial_cdf(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
 
 
-def test_cutoffs():
-    grid = [3.0, 2.0, 1.0]
-    assert quality.choose_cutoff(5000, [0, 1, 400], grid, 0.01, 1e-4) == 2.0
-    assert quality.choose_cutoff(50, [0, 0, 0], grid, 0.01, 1e-4) == math.inf and quality.choose_cutoff(0, [0, 0, 0], grid, 0.01, 1e-4) == math.inf
+def test_choose_level():
+    assert quality.choose_level(5000, [0, 1, 400], 0.01, 1e-4) == 1
+    assert quality.choose_level(50, [0, 0, 0], 0.01, 1e-4) == -1 and quality.choose_level(0, [0, 0, 0], 0.01, 1e-4) == -1
+    assert quality.choose_level(5000, [0, 0, 0], 0.01, 1e-4) == 2
 
 
 @given(st.text("abé日", max_size=60), st.text("ab", max_size=40))
@@ -97,7 +98,7 @@ def test_crf_expectations():
     """Forward-backward against the sum over all paths."""
     rng = np.random.default_rng(3)
     scores, moves = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
-    expect, pairs = secret_crf._expected(scores, moves, np.ones((1, 4), bool))
+    expect, pairs, logs = secret_crf._expected(scores, moves, np.ones((1, 4), bool))
     total, want, want_pairs = 0.0, np.zeros((4, 3)), np.zeros((3, 3))
     for p in itertools.product(range(3), repeat=4):
         steps = list(itertools.pairwise((2, *p)))
@@ -107,7 +108,7 @@ def test_crf_expectations():
             want[i, x] += v
         for a, b in steps:
             want_pairs[a, b] += v
-    assert np.allclose(expect[0], want / total) and np.allclose(pairs, want_pairs / total)
+    assert np.allclose(expect[0], want / total) and np.allclose(pairs, want_pairs / total) and np.isclose(logs, math.log(total))
 
 
 def test_crf_learns_and_finds():
@@ -172,10 +173,29 @@ def test_license_templates():
     for text, name in (("Released under the MIT License.", "MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("Licensed under the Apache License, Version 2.0.", "Apache-2.0")):
         score, found = m.best(text)
         assert found == name and score > 0.5
-    assert all(m.best(t)[1] == name and m.best(t)[0] > 0.99 for name, t in license.TEMPLATES.items())
+    assert all(m.best(t)[1] == name and m.best(t)[0] > 0.99 for name, texts in license.TEMPLATES.items() for t in texts)
     assert m.best("The permission of the king was needed.")[0] < 0.5
 
 
+def test_license_cosine():
+    """The index gives the plain cosine to every template."""
+    weights = {license.bucket("mit license"): 2.5, license.bucket("released under"): 0.5}
+    m = license.Matcher(weights, 1.25)
+    weigh = lambda t: weights.get(license.bucket(t), 1.25)
+
+    def vector(text):
+        words = re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", text.lower())
+        pairs = Counter(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)) or Counter(words)
+        return {t: (1 + math.log(n)) * weigh(t) for t, n in pairs.items()}
+
+    def cosine(a, b):
+        return sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    for text in ("Released under the MIT License. MIT license!", "licensed under the apache license", "you may obtain a copy", "isc", "nothing of it here"):
+        want = max(cosine(vector(text), vector(t)) for texts in license.TEMPLATES.values() for t in texts)
+        assert math.isclose(m.best(text)[0], want, abs_tol=1e-12)
+
+
 def test_selected_text():
     text = " a b\n c  d e"
     assert mixing.selected_text(text, [[0, 5]]) == text and mixing.selected_text(text, [[1, 2], [2, 3]]) == "b\n c" and mixing.selected_text(text, [[0, 1], [4, 5]]) == "a\ne"

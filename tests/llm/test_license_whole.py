@@ -1,5 +1,9 @@
 """License scans of whole texts, wrapped headers and bare names."""
 
+import math
+import random
+from collections import Counter
+
 from tessera.llm import license
 
 PROSE = [f"Ordinary words about item number {i} go on here, and on, with no end in sight." for i in range(12)]
@@ -21,3 +25,49 @@ def test_common_words_weigh_less(spark):
     rows = [(f"a/{i}", f"we ask for permission of the owner {i}") for i in range(40)]
     weights, usual = license._frequencies(spark.createDataFrame(rows, "path string, text string"))
     assert weights[license.bucket("we ask")] < weights[license.bucket("owner 7")] < usual
+
+
+def test_tree(spark):
+    """A tree of files against plain loops over lines, templates and parents."""
+    rng = random.Random(8)
+    notices = ["Released under the MIT License.", "SPDX-License-Identifier: GPL-3.0-or-later", "licensed under cc by nc 4.0", "copyright of nobody in particular", "Licensed under the Apache License, Version 2.0"]
+    full, rows = license.full_texts(), []
+    for i in range(150):
+        path = "/".join([*(rng.choice("abc") for _ in range(rng.randint(0, 4))), f"f{i}"])
+        lines = [" ".join(rng.choices("ein zwei drei vier license x".split(), k=rng.randint(0, 9))) for _ in range(rng.randint(0, 8))]
+        if rng.random() < 0.3:
+            lines.insert(rng.randint(0, len(lines)), rng.choice(notices))
+        rows.append((path, "\n".join(lines)))
+        if rng.random() < 0.06:
+            rows.append((path[: path.rfind("/") + 1] + f"COPYING{i}", rng.choice(list(full.values()))))
+    marked = [t for _, t in rows if license.marked(t)]
+    seen = Counter(license.bucket(t) for text in marked for t in set(license.terms(text)))
+    idf = lambda k: math.log((1 + len(marked)) / (1 + k)) + 1
+    vector = lambda text: {t: (1 + math.log(n)) * idf(seen.get(license.bucket(t), 0)) for t, n in Counter(license.terms(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(n, vector(t)) for n in license.TEMPLATES for t in (*license.TEMPLATES[n], *([full[n]] if n in full else []))]
+
+    def best(text):
+        v = vector(text)
+        return max(((sum(x * w.get(t, 0) for t, x in v.items()) / (norm(v) * norm(w)), n) for n, w in known), key=lambda f: f[0]) if v else (0.0, None)
+
+    own, whole = {}, {}
+    for path, text in rows:
+        parts = license.evidence(text)
+        every = best(text) if parts else (0.0, None)
+        found = every if every[0] >= 0.5 else max([every, *map(best, parts)], key=lambda f: f[0])
+        own[path] = found[1] if found[0] >= 0.5 else None
+        whole[path] = every[0] >= 0.5 or own[path] is not None and path.rsplit("/", 1)[-1].startswith("COPYING")
+    want = {}
+    for path in own:
+        at, given = path.rsplit("/", 1)[0] if "/" in path else "", None
+        want[path] = own[path]
+        while own[path] is None and given is None:
+            given = min((p for p in own if whole[p] and (p.rsplit("/", 1)[0] if "/" in p else "") == at), default=None)
+            if given or not at:
+                break
+            at = at.rsplit("/", 1)[0] if "/" in at else ""
+        if own[path] is None and given:
+            want[path] = own[given]
+    got = {r.path: r.license for r in license.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == want and sum(own[p] is None and want[p] is not None for p in want) > 10
