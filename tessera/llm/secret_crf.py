@@ -9,7 +9,11 @@ letters beyond ASCII and words of one case with fewer letters than the shortest
 are outside by construction. A line is left undecoded only if no token's scores can make up for
 leaving the all-outside path, which is exact; all other lines are decoded whole.
 
-Defined results: null text counts as empty; empty texts have no spans; repeated rows each give
+Each sampled line with a span also trains in VARIED copies under other names and, but for one, with
+drawn values of other shapes, as the base patterns know few names and a table may have few shapes.
+
+Defined results: null text counts as empty; empty texts have no spans; texts of any length are
+scanned whole, in slices bounded by bytes; a doc_id that is no number counts as null; repeated rows each give
 a row; ties in Viterbi go to the lower label (begin, inside, outside); if no line of the table
 has a base span, the CRF adds none; empty tables give empty results; extra columns are ignored.
 """
@@ -17,6 +21,7 @@ has a base span, the CRF adds none; empty tables give empty results; extra colum
 from __future__ import annotations
 
 import heapq
+import random
 import re
 import zlib
 
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, masked, slices, unmasked
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -213,6 +218,8 @@ def scan(text: str | None, weights: dict | None, classes: dict) -> list[tuple[in
 
 #: Of each sampled text, at most so many lines with a span and without one, by least seeded hash.
 WITH_SPAN, WITHOUT = 16, 6
+#: Copies of each sampled line with a span, under other names and with other values.
+VARIED = 6
 
 
 def _line_seed(line: str) -> int:
@@ -267,15 +274,44 @@ def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict |
             near = docs.filter(F.col("seed") <= last).join(F.broadcast(marks.filter((F.col("kind") == kind) & (F.col("seed") <= last)).select("seed")), "seed", "left_semi")
             sample = near.dropDuplicates(["seed"]).select("text")
             lines += [(r.seed, r.kinds, r.labels, r.file) for r in sample.mapInArrow(_sample_lines, "kinds array<long>, labels array<long>, file long, seed long").collect() if r.kinds]
-    lines = [x[1:] for x in sorted(lines)[: sample_docs * 16]]
-    if not any(BEGIN in x[1] for x in lines):
+    lines = sorted(lines)[: sample_docs * 16]
+    if not any(BEGIN in x[2] for x in lines):
         return None
-    return fit(lines, rounds)
+    named = [x for x in lines if BEGIN in x[2]]
+    return fit([x[1:] for x in lines] + [_varied(*x, copy) for x in named for copy in range(VARIED)], rounds)
+
+
+_ALPHABETS = ("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
+
+
+#: Token classes of an assignment mark and of a quote.
+_MARK, _QUOTE = 2, 3
+
+
+def _varied(seed: int, kinds: list[int], labels: list[int], file_kind: int, copy: int) -> tuple[list[int], list[int], int]:
+    """A copy of the line with other words in place of its key words and, in all copies but the
+    first, other values in place of its secrets and other marks around them: the model also learns
+    secrets under names and of shapes that the sample does not have."""
+    rng = random.Random(seed * VARIED + copy)
+    out: list[tuple[int, int]] = []
+    for k, y in zip(kinds, labels, strict=True):
+        if k % N_CLASSES == 1:
+            k = N_CLASSES * rng.randrange(2, N_WORDS)
+        elif y == BEGIN and copy:
+            k = token_code("".join(rng.choices(_ALPHABETS[copy % 3], k=rng.randint(16, 48))))
+        if copy > 1 and k % N_CLASSES == _QUOTE:
+            if copy % 2 and out and out[-1][0] % N_CLASSES == _MARK:
+                out[-1] = (token_code('="'), OUTSIDE)
+            elif copy % 2:
+                out.append((k, y))
+            continue
+        out.append((k, y))
+    return [k for k, _ in out], [y for _, y in out], file_kind // 2 * 2
 
 
 def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dict:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam; forward-backward runs over all
-    lines at once."""
+    """Maximum likelihood with an L2 penalty, by full-batch Adam until ten rounds gain less than
+    a thousandth; forward-backward runs over all lines at once."""
     lines = sorted(lines, key=lambda x: (x[0], x[1], x[2]))
     n, width = len(lines), max(len(x[0]) for x in lines)
     kinds, labels, real = np.full((n, width), _BREAK), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
@@ -294,10 +330,14 @@ def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dic
     gold_moves = np.zeros((3, 3))
     np.add.at(gold_moves, (before[real], labels[real]), 1)
     plain = _fixed(kinds)[:, :, None] & (np.arange(3) != OUTSIDE)
+    losses = []
     for t in range(1, rounds + 1):
         score = sum(w[k][i] for k, i in index.items())
         score = np.where(plain, -1e4, score)
-        expect, moves = _expected(score, w["moves"], real)
+        expect, moves, total = _expected(score, w["moves"], real)
+        losses.append(total - (score * gold).sum() - (w["moves"] * gold_moves).sum() + 0.025 * sum((x * x).sum() for x in w.values()))
+        if t > 10 and min(losses[-10:]) > 0.999 * min(losses[:-10]):
+            break
         off = (expect - gold)[real]
         grad = {k: np.stack([np.bincount(i[real], off[:, y], sizes[k]) for y in range(3)], 1) + 0.05 * w[k] for k, i in index.items()}
         grad["moves"] = moves - gold_moves + 0.05 * w["moves"]
@@ -311,8 +351,9 @@ def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dic
     return w
 
 
-def _expected(score: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label and transition expectations of all chains."""
+def _expected(score: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Label and transition expectations of all chains, and the sum of their log partition
+    functions."""
     n, width, _ = score.shape
     lse = lambda x, axis: (top := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis))
     fore = np.zeros((n, width, 3))
@@ -327,7 +368,7 @@ def _expected(score: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[n
     pairs = fore[:, :-1, :, None] + moves + (score[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, :, None, None]
     both = (np.exp(pairs) * real[:, 1:, None, None]).sum((0, 1))
     both[OUTSIDE] += expect[:, 0].sum(0)
-    return expect, both
+    return expect, both, float(total.sum())
 
 
 # ---- Spark ----
@@ -339,35 +380,36 @@ def find_secrets(docs: DataFrame, weights: dict | None) -> DataFrame:
 
     def run(batches):
         classes = _Classes()
-        for b in batches:
+        for b in (x for batch in batches for x in slices(batch, "text")):
             found = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t, weights, classes)] for t in b.column("text").to_pylist()]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, kind)], ["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redact(docs: DataFrame, weights: dict | None, mark: str = "[secret]") -> DataFrame:
     """docs with every found span of text replaced by mark (overlapping spans by one) and
     n_chars, if there is one, counted anew."""
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    plain, masks = masked(docs)
+    names, text = plain.columns, masks["text"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema)
 
-    def clean(text: str | None, classes: dict) -> str | None:
-        if not text:
-            return text
+    def clean(whole: str | None, classes: dict) -> str | None:
+        if not whole:
+            return whole
         out, at = [], 0
-        for s, _, e in scan(text, weights, classes):
+        for s, _, e in scan(whole, weights, classes):
             if s >= at:
-                out += [text[at:s], mark]
+                out += [whole[at:s], mark]
             at = max(at, e)
-        return "".join([*out, text[at:]]) if out else text
+        return "".join([*out, whole[at:]]) if out else whole
 
     def run(batches):
         classes = _Classes()
-        for b in batches:
-            texts = pa.array([clean(t, classes) for t in b.column("text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if n == "text" else b.column(n) for n in names], names)
+        for b in (x for batch in batches for x in slices(batch, text)):
+            texts = pa.array([clean(t, classes) for t in b.column(text).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if n == text else b.column(n) for n in names], names)
 
-    out = docs.mapInArrow(run, fields)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = unmasked(plain.mapInArrow(run, fields), masks)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in masks else out
