@@ -13,7 +13,8 @@ bins and goes on in the bin that holds the cut, so the driver sees nodes x bins
 
 Defined results: null text has no bytes, so size 8, and crc 0; a null doc_id is placed like any
 other row; repeated rows are placed together and get slots of their own; with fewer rows than
-shards some shards stay empty; empty tables give empty results; extra columns are ignored.
+shards some shards stay empty; texts of any length count with all their bytes; a doc_id that is
+no number counts as null; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, slot_rows: int = 2000) -> D
     before give a bucket its first slot."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), *(c.alias(n) for n, c in _coordinates(text).items())
+        F.col("doc_id").try_cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_text"), *(c.alias(n) for n, c in _coordinates(text).items())
     )
     rows = cut(rows)
     totals = rows.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).first()

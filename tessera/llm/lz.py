@@ -6,7 +6,8 @@ Two fingerprints give the likeness |A and B| / |A or B| of the phrase sets, esti
 smallest hashes of the union; it is exact for sets of up to k phrases.
 
 Defined results: null text counts as empty and has the empty fingerprint; two empty fingerprints
-have likeness 1, an empty and another one 0; equal texts have equal fingerprints; rows follow
+have likeness 1, an empty and another one 0; texts of any length are parsed whole;
+a doc_id that is no number counts as null; equal texts have equal fingerprints; rows follow
 each other by descending doc_id, then text, nulls last, and the first follows the last; a single
 row is its own next document; empty tables give empty results; extra columns are ignored.
 """
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, slices
 
 SIZE = 64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -146,7 +147,7 @@ def _walk(batches):
         more = [pa.array([0] * len(rows) + [e[2] for e in edges], pa.int32()), pa.array([None] * len(rows) + [e[1] for e in edges], pa.string())]
         return pa.RecordBatch.from_arrays(columns + more, [*_COLUMNS, "edge", "text"])
 
-    for b in batches:
+    for b in (x for batch in batches for x in slices(batch, "text")):
         rows, edges = [], []
         for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
             text = text or ""
@@ -170,20 +171,21 @@ def _across(batches):
 def fingerprint_chain(docs: DataFrame) -> DataFrame:
     """One row for each of docs(doc_id, text): its fingerprint, that of its edited text (the
     last third replaced by the start of the next document) and the likenesses. Texts are
-    shuffled once, into ranges of descending doc_id; only the two edge rows of each range are
-    handled apart."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shuffled once, into ranges of descending doc_id (rows of one doc_id, or of none, into ranges
+    of their texts' beginnings); only the two edge rows of each range are handled apart."""
+    docs = docs.select(F.col("doc_id").try_cast("long").alias("doc_id"), "text")
     n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2)
     # ~doc_id descends without overflow; nulls come last
-    docs = docs.withColumn("place", F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)))
-    walked = docs.repartitionByRange(n, "place").sortWithinPartitions("place", F.coalesce("text", F.lit(""))).select("doc_id", "text").mapInArrow(_walk, _SCHEMA + ", edge int, text string")
+    docs = docs.withColumns({"place": F.coalesce(F.bitwise_not("doc_id"), F.lit((1 << 63) - 1)), "start": F.coalesce(F.substring("text", 1, 64), F.lit(""))})
+    walked = docs.repartitionByRange(n, "place", "start").sortWithinPartitions("place", F.coalesce("text", F.lit(""))).select("doc_id", "text").mapInArrow(_walk, _SCHEMA + ", edge int, text string")
     walked = cut(walked.withColumn("part", F.spark_partition_id()))
-    # two rows for each range that has rows
+    # two rows for each range that has rows; only the ranges' numbers are put in order
     ends = walked.filter("edge > 0").groupBy("part").agg(
         F.max(F.when(F.col("edge") == 1, F.col("text"))).alias("first"), F.max_by("text", F.col("edge")).alias("text"), F.max_by("doc_id", F.col("edge")).alias("doc_id")
     )
     ring = Window.orderBy("part")
-    head = F.first("first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    across = ends.select("doc_id", "text", F.coalesce(F.lead("first").over(ring), head).alias("following"))
+    least = F.first("part").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    numbers = walked.filter("edge = 2").select("part").withColumn("next", F.coalesce(F.lead("part").over(ring), least))
+    across = ends.join(numbers, "part").join(ends.select(F.col("part").alias("next"), F.col("first").alias("following")), "next").select("doc_id", "text", "following")
     out = walked.filter("edge = 0").select(*_COLUMNS).unionByName(across.mapInArrow(_across, _SCHEMA))
     return out.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
