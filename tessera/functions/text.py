@@ -39,10 +39,13 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({NOT_WS}+)"), 1)
 
 
+#: Collapse line breaks, then spaces, then drop citations, urls and dois.
+CLEANING = ((r"\n+", "\n"), (" {2,}", " "), (rf"\[\p{{Nd}}+(?:,{WS}*\p{{Nd}}+)*\]", ""), (f"https?://{NOT_WS}+", ""), (rf"(?iu){EDGE}doi:{WS}*10\.{NOT_WS}+", ""))
+
+
 def clean_text(text: Column) -> Column:
-    """Collapse line breaks, then spaces, then drop citations, urls and dois; the later steps can
-    leave empty lines, which is what makes paragraphs."""
-    return strip(_all(text, (r"\n+", "\n"), (" {2,}", " "), (rf"\[\p{{Nd}}+(?:,{WS}*\p{{Nd}}+)*\]", ""), (f"https?://{NOT_WS}+", ""), (rf"(?iu){EDGE}doi:{WS}*10\.{NOT_WS}+", "")))
+    """The later steps can leave empty lines, which is what makes paragraphs."""
+    return strip(_all(text, *CLEANING))
 
 
 def dehyphenate(text: Column) -> Column:

@@ -6,9 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of the scratch blocks that are open.
+_open: list[str] = []
+#: Folders that go when the session's file system is closed.
+_marked: set[str] = set()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, or, where it is unset (tests), a temporary one."""
@@ -20,10 +27,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _run_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one; it is deleted when the application ends."""
+    folder = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path, fs = _path(spark, folder)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: the lineage ends there,
     so losing an executor never recomputes what came before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
+    return _written(df, _open[-1] if _open else _run_dir(df.sparkSession))
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is cut in this block is deleted at its end; the function it gives writes a result
+    that stays."""
+    outer = _open[-1] if _open else _run_dir(spark)
+    folder = f"{outer}/scratch-{uuid.uuid4().hex}"
+    _open.append(folder)
+    try:
+        yield lambda df: _written(df, outer)
+    finally:
+        _open.pop()
+        path, fs = _path(spark, folder)
+        fs.delete(path, True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -62,3 +62,24 @@ def collection_info(titles: DataFrame, chunk_count: int, name: str = "My Paper C
     topics = F.when(F.size("keywords") > 0, F.concat(F.lit(" covering topics related to "), F.array_join(F.slice("keywords", 1, 5), ", "), F.lit("."))).otherwise(".")
     said = F.concat(F.lit("A collection of "), F.col("paper_count"), F.lit(" academic papers"), topics)
     return joined.select(F.lit(name).alias("name"), said.alias("description"), "paper_count", F.lit(chunk_count).cast("long").alias("chunk_count"), "keywords", F.when(F.col("zh"), "zh").otherwise("en").alias("language"))
+
+
+def write_info(info: DataFrame, path: str) -> None:
+    info.coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_info(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.json(path)
+
+
+def as_json(df: DataFrame) -> DataFrame:
+    """(value), one JSON object for each row, nulls included."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def grouped_hits(hits: DataFrame, paper: str = "paper_id", order: str = "position") -> DataFrame:
+    """hits(paper, order, section, text) plus is_first, true for the first hit of each paper, with
+    sections of at most 30 and previews of at most 400 characters."""
+    first = F.row_number().over(Window.partitionBy(paper).orderBy(order)) == 1
+    preview = F.when(F.length("text") > 400, F.concat(F.substring("text", 1, 400), F.lit("..."))).otherwise(F.col("text"))
+    return hits.withColumns({"is_first": first, "section": F.substring(F.coalesce("section", F.lit("")), 1, 30), "preview": F.coalesce(preview, F.lit(""))})

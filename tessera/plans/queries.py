@@ -379,10 +379,10 @@ def fulltext_dump(spark, sf_dir):
     return chunk.numbered_dump(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) = 1 AS is_first FROM conversations")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) = 1 AS is_first, substr(role || ' ' || text, 1, 30) AS section, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS preview FROM conversations")
 def hit_grouping(spark, sf_dir):
-    by = Window.partitionBy("conv_id").orderBy(F.desc(F.length("text")), "turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.row_number().over(by) == 1).alias("is_first"))
+    hits = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.struct(-F.length("text"), "turn").alias("position"), F.concat_ws(" ", "role", "text").alias("section"))
+    return papers.grouped_hits(hits, "conv_id").select("conv_id", "turn", "is_first", "section", "preview")
 
 
 def _conversation_chunks(spark, sf_dir) -> DataFrame:

@@ -210,3 +210,43 @@ def test_convert(spark, tmp_path):
             convert.convert(files, converter, **bad)
     md = spark.createDataFrame([("a ![x](p.png) b",)], "md string")
     assert md.select(convert.describe_images(F.col("md"), F.create_map(F.lit("p.png"), F.lit("a cat")))).first()[0] == "a ![x](p.png)\n> VLM description: a cat\n b"
+
+
+def test_sql_functions(spark):
+    from tessera.functions import sql
+    from tessera.functions import text as T
+
+    sql.register(spark)
+    texts = spark.createDataFrame([("a  b [1, 2] see https://x.y/z\n\nDOI: 10.1/x end ", " 10.1/AB.. ")], "t string, d string")
+    texts.createOrReplaceTempView("texts")
+    got = spark.sql("select clean_text(t) c, doi_norm(d) d, paper_id(t) p, cosine(array(3D, 4D), array(4D, 3D)) s, cosine(array(0D), array(1D)) z from texts").first()
+    want = texts.select(T.clean_text(F.col("t")), T.doi_norm(F.col("d")), T.paper_id(F.col("t")), F.lit(0.96), F.lit(0.0)).first()
+    assert tuple(got) == tuple(want)
+
+
+def test_info_and_hits(spark, tmp_path):
+    titles = spark.createDataFrame([(0, "Solar Energy solar")], "place int, title string")
+    papers.write_info(papers.collection_info(titles, 7), str(tmp_path / "info"))
+    assert papers.read_info(spark, str(tmp_path / "info")).first()["paper_count"] == 1
+    assert papers.as_json(titles.withColumn("n", F.lit(None).cast("int"))).first()[0] == '{"place":0,"title":"Solar Energy solar","n":null}'
+    hits = spark.createDataFrame([("p", 2, "s" * 40, "t" * 500), ("p", 1, None, "t"), ("q", 3, "s", None)], "paper_id string, position int, section string, text string")
+    got = {(r.paper_id, r.position): (r.is_first, len(r.section), len(r.preview)) for r in papers.grouped_hits(hits).collect()}
+    assert got == {("p", 1): (True, 0, 1), ("p", 2): (False, 30, 403), ("q", 3): (True, 1, 0)}
+
+
+def test_scratch(spark):
+    """What is cut in a block goes with it; what it keeps stays."""
+    from tessera import lineage
+
+    with lineage.scratch(spark) as keep:
+        inner = lineage.cut(spark.range(5))
+        kept = keep(inner.filter("id > 1"))
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.exist"):
+        inner.count()
+
+
+def test_layout_stops(spark):
+    """Whole pages are dropped once the text before them is long enough."""
+    df = spark.createDataFrame([("d", p, 0, 1.0, 100.0, 110.0, 1000.0, "x" * 60) for p in range(4)], "doc string, page int, type int, x0 double, y0 double, y1 double, height double, text string")
+    assert layout.page_text(df, soft_chars=100).first()["text"] == "\n".join(["x" * 60] * 2)
