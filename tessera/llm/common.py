@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.lineage import cut, shared_dir
+from tessera.lineage import cut, scratch, shared_dir
 
-__all__ = ["SPACES", "WORD", "IdFilter", "cut", "lookup", "masked", "n_words", "shared_dir", "slices", "table", "unmasked"]
+__all__ = ["SPACES", "WORD", "IdFilter", "cut", "lookup", "masked", "n_words", "scratch", "shared_dir", "slices", "table", "unmasked"]
 
 #: The six ASCII white-space characters that separate words. bytes.split() splits at exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -59,6 +59,7 @@ def slices(batch: pa.RecordBatch, *names: str, most_bytes: int = 2 << 20) -> Ite
         if end > at:
             yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 class IdFilter:
