@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import masked, slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 LONGEST = 512
@@ -316,27 +318,30 @@ class Shipped:
         return self._broadcast.value
 
 
+RESULTS = ("n_ids", "ids", "round_trip")
+
+
 def encode(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = MODEL) -> DataFrame:
-    """keep, n_ids, ids and round_trip (whether the ids decode to the text) of each row."""
+    """keep, n_ids, ids and round_trip (whether the ids decode to the text) of each row. A kept
+    column with the name of a result gets an underscore at its end."""
     shipped = Shipped(docs.sparkSession, path)
-    keep = list(keep)
+    plain, names = masked(docs)
+    kept, text = [names[k] for k in keep], names["text"]
 
     def run(batches):
         codec = _codec(shipped)
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            for at in range(0, len(texts), 2000):
-                some = texts[at : at + 2000]
-                packed = codec.encode_packed(some)
-                same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(packed, some, strict=True)]
-                n = np.array([len(x) // 4 for x in packed], np.int64)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                part = b.slice(at, len(some))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(n), ids, pa.array(same, pa.bool_())], [*keep, "n_ids", "ids", "round_trip"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(*keep, "text").mapInArrow(run, ", ".join([*fields, "n_ids long, ids array<int>, round_trip boolean"]))
+        for b in (x for batch in batches for x in slices(batch, text, most_bytes=4 << 20)):
+            some = b.column(text).to_pylist()
+            packed = codec.encode_packed(some)
+            same = [codec.decode(np.frombuffer(x, np.int32).tolist()) == (t or "") for x, t in zip(packed, some, strict=True)]
+            n = np.array([len(x) // 4 for x in packed], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in kept), pa.array(n), ids, pa.array(same, pa.bool_())], [*kept, *RESULTS])
+
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in plain.select(*kept).schema]
+    out = plain.select(*dict.fromkeys([*kept, text])).mapInArrow(run, ", ".join([*fields, "n_ids long, ids array<int>, round_trip boolean"]))
+    return out.select(*(F.col(names[k]).alias(f"{k}_" if k in RESULTS else k) for k in keep), *RESULTS)
 
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), path: str = MODEL) -> DataFrame:

@@ -10,8 +10,9 @@ no rule blocks are examples to allow. Counts are taken over all pages and hashed
 fixed size; each class is scaled to the same number of tokens.
 
 Defined results: a null url or one without ``://`` has empty host and path, fits no rule and is
-allowed; a host's names over 63 letters (longer than a domain label may be) are taken whole; ties
-between rules of one length go to the first given; ties in Viterbi go to the longer last word;
+allowed; names of any length are split; words are of 2 to LONGEST_WORD letters a-z where they are
+counted, and of 1 to LONGEST_WORD where names are split; ties between rules of one length go to
+the first given; ties in Viterbi go to the longer last word;
 repeated rows are judged alike; empty tables give empty results; extra columns are ignored.
 """
 
@@ -41,7 +42,7 @@ SEED_WORDS = (
     "adult", "bet", "betting", "bonus", "casino", "cheap", "clickbait", "escort", "farm", "jackpot", "loan", "loans", "lottery",
     "payday", "pharma", "pharmacy", "pills", "poker", "porn", "replica", "roulette", "seo", "sex", "slots", "spam", "viagra", "win", "xxx",
 )
-LONGEST_WORD, LONGEST_NAME = 20, 63
+LONGEST_WORD = 20
 
 
 def parse(url: Column) -> tuple[Column, Column]:
@@ -68,8 +69,6 @@ def names_of(host: Column) -> Column:
 def segment(name: str, counts: dict[str, int], total: int) -> list[str]:
     """The most likely split of name; an unknown word of n letters has probability
     10**-n / total."""
-    if len(name) > LONGEST_NAME:
-        return [name]
     total = max(total, 2)
     best, back = [0.0], [0]
     for end in range(1, len(name) + 1):
@@ -103,9 +102,9 @@ def segmented_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     total = counts.agg(F.sum("n")).first()[0] or 0
     floor = max(1, total // 100_000)
     names = cut(hosts.select("host", F.posexplode_outer(names_of(F.col("host"))).alias("at", "name")))
-    short = names.filter(F.length("name") <= LONGEST_NAME).select("name").distinct()
+    whole = names.filter("name is not null").select("name").distinct()
     ends = F.sequence(F.col("start"), F.least(F.col("start") + LONGEST_WORD - 1, F.length("name")))
-    parts = short.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name")))).select("name", F.explode(F.transform(ends, lambda e: F.substring("name", F.col("start"), e - F.col("start") + 1))).alias("word")).distinct()
+    parts = whole.withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name")))).select("name", F.explode(F.transform(ends, lambda e: F.substring("name", F.col("start"), e - F.col("start") + 1))).alias("word")).distinct()
     known = parts.join(counts, "word").groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("known"))
 
     def run(batches):
@@ -114,7 +113,7 @@ def segmented_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
             out = [segment(name, seeds | dict(known or ()), total) for name, known in zip(b.column("name").to_pylist(), b.column("known").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(out, pa.list_(pa.string()))], ["name", "words"])
 
-    split = names.filter("name is not null").select("name").distinct().join(known, "name", "left").mapInArrow(run, "name string, words array<string>")
+    split = whole.join(known, "name", "left").mapInArrow(run, "name string, words array<string>")
     joined = names.join(split, "name", "left").groupBy("host").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "words"))), lambda x: F.coalesce(x["words"], F.array().cast("array<string>")))).alias("words"))
     return cut(joined)
 

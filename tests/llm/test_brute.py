@@ -80,7 +80,7 @@ def brute_urls(rows):
         host = "".join(c.lower() if c.isascii() else c for c in host)
         fits = [(len(h) + len(p), h + p, v) for v, h, p in urlfilter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fits)[1:] if fits else (None, None)
-        words = [w for name in re.findall("[a-z]+", host) for w in (split(name)[1] if len(name) <= 63 else (name,))]
+        words = [w for name in re.findall("[a-z]+", host) for w in split(name)[1]]
         tokens = words + [f"path:{len(t)} digits" if t[0].isdigit() else f"path:{t}" for t in re.findall("[a-z]+|[0-9]+", path.lower())]
         judged.append((page, host, path, *rule, words, tokens))
     seen = {True: Counter(urlfilter._bucket(w, 1 << 16) for w in urlfilter.SEED_WORDS), False: Counter()}

@@ -501,15 +501,17 @@ def test_pieces_on_spark(docs, odd):
     assert back == table_of(docs)
     rows = pieces.encode(odd).collect()
     assert len(rows) == 12 and all(r.round_trip for r in rows) and all(r.n_ids == 0 for r in rows if r.doc_id in (1, 2)) and pieces.encode(odd.limit(0)).count() == 0
+    clash = pieces.encode(odd.withColumnsRenamed({"size": "ids", "shard": "od`d"}), keep=("ids", "doc_id", "text", "od`d")).collect()
+    assert {r["ids_"] for r in clash} == {"clash"} == {r["od`d"] for r in clash} and sorted((r.text or "", r.n_ids) for r in clash) == sorted((r.text or "", r.n_ids) for r in pieces.encode(odd, keep=("text",)).collect())
 
 
 def test_stages(spark, odd, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_dedup", "secret_scan", "mix_sources", "encode_pieces"]
     columns = [f.split()[0] for f in DOCS.split(", ")]
     for name, stage in corpus_pipeline.STAGES:
-        for df in (odd.select(*columns), odd.select(*columns).limit(0)):
+        for df in (odd.withColumn("od`d", F.lit(1)), odd.select(*columns).limit(0)):
             out = stage(spark, df, small)
-            assert out.count() >= 0 and (name == "encode_pieces" or out.columns == columns)
+            assert out.count() >= 0 and (name == "encode_pieces" or out.columns == df.columns)
     kept = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, odd.select(*columns), small).collect() if r.doc_id}
     assert len([k for k in kept if k[0] == 3]) == 1 and 4 not in {i for i, _ in kept}
 
