@@ -478,9 +478,11 @@ def store_counts(spark, sf_dir):
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\s+', ' ', 'g') AS k FROM documents) SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS first_id FROM t""")
 def dedup_exact(spark, sf_dir):
-    keyed = documents(spark, sf_dir).select("doc_id", F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256).alias("k"))
-    # the least id per text by partial aggregation, so a large group of copies is no hot task
-    return keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("first_id")), "k").select("doc_id", "first_id")
+    keyed = cut(documents(spark, sf_dir).select("doc_id", F.sha2(F.regexp_replace(F.lower("text"), r"\s+", " "), 256).alias("k")))
+    # the least id per text by partial aggregation, and a join that adaptive execution can split,
+    # so a large group of copies is no hot task
+    firsts = cut(keyed.groupBy("k").agg(F.min("doc_id").alias("first_id")))
+    return keyed.join(firsts, "k").select("doc_id", "first_id")
 
 
 @query(f"""WITH RECURSIVE k AS (SELECT doc_id, {_TITLE} AS t, '10.1/' || CAST(floor(doc_id / 3.0) AS BIGINT) || lang AS d, row_number() OVER (ORDER BY doc_id) AS n FROM documents),

@@ -1,8 +1,10 @@
+import json
 import sqlite3
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.__main__ import answers
 from tessera.plans import snapshot
 from tessera.plans.engine import Engine, clamped, valid_top_k
 from tessera.sources import documents
@@ -57,6 +59,9 @@ def test_ingest(spark, tmp_path):
     assert engine.scan("filename", "a.pdf").count() == 1 and engine.scan("paper_id", "p4", 1).count() == 1
     with pytest.raises(ValueError):
         engine.scan("text", "x")
+    hit = json.loads(answers(spark, [root, "sand stores", "3"])[0])
+    assert hit["title"] == "D" and hit["position"] == 1 and json.loads(answers(spark, [root, "sand stores", "1", "--mode", "semantic"])[0])["title"] == "D"
+    assert json.loads(answers(spark, [root, "--full-text", "p1"])[0])["text"].startswith("Salt")
     assert {r["table"] for r in engine.schema().collect()} == {"chunks", "papers", "lists"}
 
 
