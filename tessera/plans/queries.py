@@ -390,12 +390,23 @@ def _conversation_chunks(spark, sf_dir) -> DataFrame:
     return turns.select(F.col("conv_id").cast("string").alias("paper_id"), F.col("turn").alias("chunk_index"), F.when(F.col("turn") == 0, F.concat(F.lit("ABSTRACT "), "text", F.lit(" KEYWORDS x."))).otherwise(F.col("text")).alias("text"), F.concat(F.lit("t"), "conv_id").alias("title"))
 
 
-@query()
+_BUILT = rf"""
+t AS (SELECT conv_id, string_agg(CASE WHEN turn = 0 THEN 'ABSTRACT ' || text || ' KEYWORDS x.' ELSE text END, ' ' ORDER BY turn, text) AS full_text, trim(regexp_replace(regexp_replace(max(text) FILTER (turn = 0), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\s([\p{{L}}\p{{N}}_])', '\1\2', 'g')) AS own FROM conversations GROUP BY conv_id),
+a AS (SELECT conv_id, full_text, CAST(length(trim(full_text)) >= 50 AND length(own) >= 40 AS INTEGER) AS has_abstract, CASE WHEN length(trim(full_text)) < 50 THEN '' WHEN length(own) >= 40 THEN own ELSE trim(substr(array_to_string(list_slice({_WORDS_SQL.format(x="full_text")}, 1, 100), ' '), 1, 500)) END AS abstract FROM t),
+o AS (SELECT conv_id, CASE WHEN length(abstract) >= 30 THEN abstract ELSE array_to_string(list_filter(string_split(substr(full_text, 1, 5000), chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{_BOILER}')), chr(10)) END AS source FROM a),
+s AS (SELECT conv_id, list_filter(list_transform(string_split(regexp_replace(source, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: {_TRIM.format(x="x")}), lambda x: x <> '') AS ss FROM o),
+u AS (SELECT conv_id, unnest(ss) AS x, generate_subscripts(ss, 1) AS i FROM s),
+b AS (SELECT conv_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u),
+p AS (SELECT CAST(a.conv_id AS VARCHAR) AS paper_id, 't' || a.conv_id AS title, '' AS filename, 'papers' AS source, '' AS doi, '' AS authors, '' AS journal, '' AS collections, '' AS zotero_key, abstract, coalesce(y.summary, '') AS summary, CAST(length(abstract) AS INTEGER) AS abstract_len, has_abstract
+FROM a LEFT JOIN (SELECT conv_id, string_agg(x, ' ' ORDER BY i) AS summary FROM b WHERE before < 200 GROUP BY conv_id) y USING (conv_id))"""
+
+
+@query(f"WITH {_BUILT} SELECT * FROM p")
 def build_papers(spark, sf_dir):
     return papers.papers_of(_conversation_chunks(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_BUILT} SELECT count(*) AS total, count(*) FILTER (has_abstract = 1) AS with_abstract, count(*) FILTER (has_abstract = 0 AND abstract_len > 0) AS fallback, count(*) FILTER (abstract_len = 0) AS empty, 100.0::DOUBLE * count(*) FILTER (has_abstract = 1) / greatest(count(*), 1) AS percent FROM p")
 def build_stats(spark, sf_dir):
     return papers.build_stats(papers.papers_of(_conversation_chunks(spark, sf_dir)))
 
