@@ -10,7 +10,8 @@ are outside by construction. A line is left undecoded only if no token's scores
 leaving the all-outside path, which is exact; all other lines are decoded whole.
 
 Each sampled line with a span also trains in VARIED copies under other names and, but for one, with
-drawn values of other shapes, as the base patterns know few names and a table may have few shapes.
+drawn values of other shapes, as the base patterns know few names and a table may have few shapes;
+a third of those without one also in a copy of drawn words.
 
 Defined results: null text counts as empty; empty texts have no spans; texts of any length are
 scanned whole, in slices bounded by bytes; a doc_id that is no number counts as null; repeated rows each give
@@ -176,18 +177,26 @@ def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
 
 
 def crf_spans(text: str, weights: dict, classes: dict) -> list[tuple[int, int]]:
-    """(start, end) of the tagged secrets. Leaving the all-outside path gains at most most_gain
-    at each token in moves, so a line without a token that makes up for its loss has none."""
+    """(start, end) of the tagged secrets. A line is decoded only if leaving the all-outside path
+    could pay: the best start of a span in it, with all that its tokens could add as later parts
+    of a span and the best way out. All other lines have no span, so skipping them is exact."""
     found = _LINED.findall(text.replace("\n", "\n\n"))
     if not found:
         return []
     file_kind, moves = file_features(text), weights["moves"]
     kinds = np.fromiter(map(classes.__getitem__, found), np.int64, len(found))
     scores = emissions(weights, kinds, file_kind)
-    hot = np.flatnonzero(scores[:, :OUTSIDE].max(1) + weights["most_gain"] >= scores[:, OUTSIDE])
+    loss = scores[:, OUTSIDE] + moves[OUTSIDE, OUTSIDE]
+    start = (scores[:, :OUTSIDE] + moves[OUTSIDE, :OUTSIDE]).max(1) - loss
+    later = np.maximum((scores[:, :OUTSIDE] + moves[:OUTSIDE, :OUTSIDE].max(0)).max(1) - loss, 0)
+    way_out = max(0.0, float(moves[:OUTSIDE, OUTSIDE].max() - moves[OUTSIDE, OUTSIDE]))
+    broken = np.flatnonzero(np.array([x == "\n" for x in found]))[::2]
+    line = np.zeros(len(found), np.int64)
+    line[broken] = 1
+    line = np.cumsum(line) - line
+    hot = np.flatnonzero(start + np.bincount(line, later)[line] + way_out >= 0)
     if not len(hot):
         return []
-    broken = np.flatnonzero(np.array([x == "\n" for x in found]))[::2]
     breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
     spans = []
     for k in np.unique(np.searchsorted(broken, hot)).tolist():
@@ -258,7 +267,7 @@ def _sample_lines(batches):
         yield pa.RecordBatch.from_pydict({"kinds": pa.array([r[0] for r in rows], pa.list_(pa.int64())), "labels": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "file": pa.array([r[2] for r in rows], pa.int64()), "seed": pa.array([r[3] for r in rows], pa.int64())})
 
 
-def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict | None:
+def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 100) -> dict | None:
     """CRF weights from at most sample_docs documents with a base pattern and as many
     without, the smallest by seeded hash, whatever their length; of each, lines by seeded hash.
     None if no line has a span."""
@@ -277,26 +286,30 @@ def train(docs: DataFrame, sample_docs: int = 300, rounds: int = 120) -> dict |
     lines = sorted(lines)[: sample_docs * 16]
     if not any(BEGIN in x[2] for x in lines):
         return None
-    named = [x for x in lines if BEGIN in x[2]]
-    return fit([x[1:] for x in lines] + [_varied(*x, copy) for x in named for copy in range(VARIED)], rounds)
+    # a value that looks like an ordinary word is told by the base patterns' names alone
+    named = [x for x in lines if BEGIN in x[2] and not any(y == BEGIN and k % N_CLASSES in _ORDINARY for k, y in zip(x[1], x[2], strict=True))]
+    worded = [_worded(*x) for x in lines if BEGIN not in x[2] and x[0] % 3 == 0]
+    return fit([x[1:] for x in lines] + [_varied(*x, copy) for x in named for copy in range(VARIED)] + worded, rounds)
 
 
 _ALPHABETS = ("0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 
 
-#: Token classes of an assignment mark and of a quote.
-_MARK, _QUOTE = 2, 3
+#: Token classes of an assignment mark, of a quote and of long words of one case.
+_MARK, _QUOTE, _ORDINARY = 2, 3, range(4 + 6 * 7 * 3, 4 + 7 * 7 * 3)
 
 
 def _varied(seed: int, kinds: list[int], labels: list[int], file_kind: int, copy: int) -> tuple[list[int], list[int], int]:
     """A copy of the line with other words in place of its key words and, in all copies but the
-    first, other values in place of its secrets and other marks around them: the model also learns
-    secrets under names and of shapes that the sample does not have."""
+    first, other values in place of its secrets and other marks around them, in the last two without
+    the rest of the line: the model also learns secrets under names and of shapes that the sample
+    does not have."""
     rng = random.Random(seed * VARIED + copy)
     out: list[tuple[int, int]] = []
     for k, y in zip(kinds, labels, strict=True):
         if k % N_CLASSES == 1:
-            k = N_CLASSES * rng.randrange(2, N_WORDS)
+            # a word or a joined name; few buckets, as real words share them
+            k = token_class(rng.choice(("word", "a_name", "some_name", "longer_name"))) + N_CLASSES * rng.randrange(2, 10)
         elif y == BEGIN and copy:
             k = token_code("".join(rng.choices(_ALPHABETS[copy % 3], k=rng.randint(16, 48))))
         if copy > 1 and k % N_CLASSES == _QUOTE:
@@ -306,13 +319,25 @@ def _varied(seed: int, kinds: list[int], labels: list[int], file_kind: int, copy
                 out.append((k, y))
             continue
         out.append((k, y))
+    if copy > 3:
+        # the name, the mark and the value as a line of its own
+        at = next(i for i, (_, y) in enumerate(out) if y == BEGIN)
+        out = out[max(0, at - 2) : at + 1 + copy % 2]
     return [k for k, _ in out], [y for _, y in out], file_kind // 2 * 2
 
 
-def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dict:
-    """Maximum likelihood with an L2 penalty, by full-batch Adam until ten rounds gain less than
-    a thousandth; forward-backward runs over all lines at once."""
-    lines = sorted(lines, key=lambda x: (x[0], x[1], x[2]))
+def _worded(seed: int, kinds: list[int], labels: list[int], file_kind: int) -> tuple[list[int], list[int], int]:
+    """A copy of a line without a span, of other words: the model also learns that words of one
+    case are none, of any length."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.choice((4, 9, 14, 20, 28, 40)) + rng.randrange(6)))
+    return [token_code(word()) if k % N_CLASSES == 0 and k or k % N_CLASSES in _ORDINARY else k for k in kinds], labels, file_kind
+
+
+def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 100) -> dict:
+    """Maximum likelihood with an L2 penalty, by full-batch Adam, after 50 rounds only until
+    ten rounds gain less than a hundredth; the best round's weights count. Forward-backward runs over all lines at once."""
+    lines = sorted(lines)
     n, width = len(lines), max(len(x[0]) for x in lines)
     kinds, labels, real = np.full((n, width), _BREAK), np.full((n, width), OUTSIDE), np.zeros((n, width), bool)
     for i, (k, y, _) in enumerate(lines):
@@ -320,55 +345,59 @@ def fit(lines: list[tuple[list[int], list[int], int]], rounds: int = 120) -> dic
     files = np.array([x[2] for x in lines])[:, None].repeat(width, 1)
     # two edges after each line, so that the lines can stand in one row
     flat = _neighbours(np.pad(kinds, ((0, 0), (0, 2)), constant_values=_BREAK).ravel())
-    index = {k: i.reshape(n, width + 2)[:, :width] for k, i in flat.items()} | {"file": files}
+    index = {k: i.reshape(n, width + 2)[:, :width][real] for k, i in flat.items()} | {"file": files[real]}
     sizes = {k: N_FILE if k == "file" else N_WORDS if k in _WORDS else N_CLASSES for k in index}
     w = {k: np.zeros((size, 3)) for k, size in sizes.items()} | {"moves": np.zeros((3, 3))}
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v2 = {k: np.zeros_like(v) for k, v in w.items()}
-    gold = np.eye(3)[labels] * real[:, :, None]
+    gold = np.eye(3)[labels[real]]
     before = np.concatenate([np.full((n, 1), OUTSIDE), labels[:, :-1]], 1)
     gold_moves = np.zeros((3, 3))
     np.add.at(gold_moves, (before[real], labels[real]), 1)
-    plain = _fixed(kinds)[:, :, None] & (np.arange(3) != OUTSIDE)
-    losses = []
+    plain = _fixed(kinds[real])
+    score = np.zeros((n, width, 3))
+    losses, best = [], None
     for t in range(1, rounds + 1):
-        score = sum(w[k][i] for k, i in index.items())
-        score = np.where(plain, -1e4, score)
+        own = sum(w[k][i] for k, i in index.items())
+        own[plain, :OUTSIDE] = -1e4
+        score[real] = own
         expect, moves, total = _expected(score, w["moves"], real)
-        losses.append(total - (score * gold).sum() - (w["moves"] * gold_moves).sum() + 0.025 * sum((x * x).sum() for x in w.values()))
-        if t > 10 and min(losses[-10:]) > 0.999 * min(losses[:-10]):
+        losses.append(total - (own * gold).sum() - (w["moves"] * gold_moves).sum() + 0.025 * sum((x * x).sum() for x in w.values()))
+        if losses[-1] <= min(losses):
+            best = {k: v.copy() for k, v in w.items()}
+        # the first rounds overshoot
+        if t > 50 and min(losses[-10:]) > 0.99 * min(losses[:-10]):
             break
-        off = (expect - gold)[real]
-        grad = {k: np.stack([np.bincount(i[real], off[:, y], sizes[k]) for y in range(3)], 1) + 0.05 * w[k] for k, i in index.items()}
+        off = expect[real] - gold
+        grad = {k: np.stack([np.bincount(i, off[:, y], sizes[k]) for y in range(3)], 1) + 0.05 * w[k] for k, i in index.items()}
         grad["moves"] = moves - gold_moves + 0.05 * w["moves"]
         for k, g in grad.items():
             m[k] = 0.9 * m[k] + 0.1 * g
             v2[k] = 0.99 * v2[k] + 0.01 * g * g
-            w[k] = w[k] - 0.2 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-8)
-    moves = w["moves"]
-    # leaving the all-outside path can gain at most this at each token
-    w["most_gain"] = 2 * float(np.maximum(moves.max() - moves[OUTSIDE, OUTSIDE], 0))
-    return w
+            w[k] = w[k] - 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v2[k] / (1 - 0.99**t)) + 1e-8)
+    return best or w
 
 
 def _expected(score: np.ndarray, moves: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Label and transition expectations of all chains, and the sum of their log partition
     functions."""
     n, width, _ = score.shape
-    lse = lambda x, axis: (top := x.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - top).sum(axis))
-    fore = np.zeros((n, width, 3))
-    fore[:, 0] = score[:, 0] + moves[OUTSIDE]
-    for t in range(1, width):
-        fore[:, t] = np.where(real[:, t, None], lse(fore[:, t - 1, :, None] + moves, 1) + score[:, t], fore[:, t - 1])
-    back = np.zeros((n, width, 3))
+    # chances instead of logs, scaled to a sum of one at each step
+    top = score.max(2)
+    here, step = np.exp(score - top[:, :, None]), np.exp(moves)
+    fore, back, scale = np.empty((n, width, 3)), np.ones((n, width, 3)), np.ones((n, width))
+    for t in range(width):
+        found = (fore[:, t - 1] @ step if t else step[OUTSIDE]) * here[:, t]
+        scale[:, t] = np.where(real[:, t], found.sum(1), 1.0)
+        fore[:, t] = np.where(real[:, t, None], found / scale[:, t, None], fore[:, t - 1]) if t else found / scale[:, :1]
+    ahead = here / scale[:, :, None]
     for t in range(width - 2, -1, -1):
-        back[:, t] = np.where(real[:, t + 1, None], lse(moves + (score[:, t + 1] + back[:, t + 1])[:, None, :], 2), 0.0)
-    total = lse(fore[:, -1], 1)[:, None]
-    expect = np.exp(fore + back - total[:, :, None]) * real[:, :, None]
-    pairs = fore[:, :-1, :, None] + moves + (score[:, 1:] + back[:, 1:])[:, :, None, :] - total[:, :, None, None]
-    both = (np.exp(pairs) * real[:, 1:, None, None]).sum((0, 1))
+        back[:, t] = np.where(real[:, t + 1, None], (ahead[:, t + 1] * back[:, t + 1]) @ step.T, 1.0)
+    expect = fore * back * real[:, :, None]
+    after = (ahead * back)[:, 1:] * real[:, 1:, None]
+    both = step * (fore[:, :-1].reshape(-1, 3).T @ after.reshape(-1, 3))
     both[OUTSIDE] += expect[:, 0].sum(0)
-    return expect, both, float(total.sum())
+    return expect, both, float(((np.log(scale) + top) * real).sum())
 
 
 # ---- Spark ----
