@@ -163,49 +163,53 @@ def _fixed(codes: np.ndarray) -> np.ndarray:
     return (kinds == 0) | (kinds == EDGE)
 
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> list[int]:
-    """Best labels of a chain; the label before the first token is outside."""
+def viterbi(scores: np.ndarray, moves: np.ndarray, goes_on: bool = False) -> list[int]:
+    """Best labels of a chain; the label before the first token is outside, and so is the one after
+    the last where the line goes on."""
     best, back = scores[0] + moves[OUTSIDE], []
     for row in scores[1:]:
         all_moves = best[:, None] + moves
         back.append(all_moves.argmax(0))
         best = all_moves.max(0) + row
-    path = [int(best.argmax())]
+    path = [int((best + moves[:, OUTSIDE] if goes_on else best).argmax())]
     for b in reversed(back):
         path.append(int(b[path[-1]]))
     return path[::-1]
 
 
 def crf_spans(text: str, weights: dict, classes: dict) -> list[tuple[int, int]]:
-    """(start, end) of the tagged secrets. A line is decoded only if leaving the all-outside path
-    could pay: the best start of a span in it, with all that its tokens could add as later parts
-    of a span and the best way out. All other lines have no span, so skipping them is exact."""
+    """(start, end) of the tagged secrets. Tokens that can only be outside cut a line into parts
+    that are decoded one by one, which is exact. A part is decoded only if leaving the all-outside
+    path could pay: some start of a span with the best run of later tokens and the best way out.
+    All other parts have no span, so passing them over is exact too."""
     found = _LINED.findall(text.replace("\n", "\n\n"))
     if not found:
         return []
-    file_kind, moves = file_features(text), weights["moves"]
+    moves = weights["moves"]
     kinds = np.fromiter(map(classes.__getitem__, found), np.int64, len(found))
-    scores = emissions(weights, kinds, file_kind)
+    scores = emissions(weights, kinds, file_features(text))
     loss = scores[:, OUTSIDE] + moves[OUTSIDE, OUTSIDE]
     start = (scores[:, :OUTSIDE] + moves[OUTSIDE, :OUTSIDE]).max(1) - loss
-    later = np.maximum((scores[:, :OUTSIDE] + moves[:OUTSIDE, :OUTSIDE].max(0)).max(1) - loss, 0)
+    later = np.maximum((scores[:, :OUTSIDE] + moves[:OUTSIDE, :OUTSIDE].max(0)).max(1) - loss, -1e5)
+    sums = np.cumsum(later)
+    run = np.maximum.accumulate(sums[::-1])[::-1] - sums
     way_out = max(0.0, float(moves[:OUTSIDE, OUTSIDE].max() - moves[OUTSIDE, OUTSIDE]))
-    broken = np.flatnonzero(np.array([x == "\n" for x in found]))[::2]
-    line = np.zeros(len(found), np.int64)
-    line[broken] = 1
-    line = np.cumsum(line) - line
-    hot = np.flatnonzero(start + np.bincount(line, later)[line] + way_out >= 0)
+    hot = np.flatnonzero(start + run + way_out >= -1e-3)
     if not len(hot):
         return []
-    breaks = [-1, *(m.start() for m in re.finditer("\n", text)), len(text)]
+    fixed = np.flatnonzero(_fixed(kinds))
+    places = [m.span() for m in _LINED.finditer(text)]
+    # each line break was there twice
+    breaks = np.cumsum([x == "\n" for x in found]) // 2
     spans = []
-    for k in np.unique(np.searchsorted(broken, hot)).tolist():
-        at = breaks[k] + 1
-        starts, ends, kinds = tokens_of(text[at : breaks[k + 1]], classes)
+    for part in np.unique(np.searchsorted(fixed, hot)).tolist():
+        a = int(fixed[part - 1]) + 1 if part else 0
+        b = int(fixed[part]) if part < len(fixed) else len(found)
+        shift = int(breaks[a])
         open_at = None
-        for i, label in enumerate([*viterbi(emissions(weights, kinds, file_kind), moves), OUTSIDE]):
+        for i, label in enumerate([*viterbi(scores[a:b], moves, b < len(found) and found[b] != "\n"), OUTSIDE], a):
             if open_at is not None and label != INSIDE:
-                spans.append((at + starts[open_at], at + ends[i - 1]))
+                spans.append((places[open_at - shift][0], places[i - 1 - shift][1]))
                 open_at = None
             if label == BEGIN:
                 open_at = i
