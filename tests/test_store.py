@@ -161,3 +161,17 @@ def test_folders(spark, tmp_path):
     assert documents.listing(spark, str(tmp_path), most_bytes=1).count() == 1
     row = documents.markdown(spark, str(tmp_path)).first()
     assert row.text == "T\n\nb" and row.pages == 2
+
+
+def test_outputs_and_inputs(spark):
+    """The first output by name of each stem; supported inputs by path; block texts."""
+    from tessera.functions import text as T
+    from tessera.operators import convert
+
+    files = spark.createDataFrame([("/o/b/x.md",), ("/o/a/x.md",), ("/o/y.md",), ("/o/z.md",)], "path string")
+    found = documents.find_output(files, spark.createDataFrame([("x",), ("y",), ("x",), ("none",)], "stem string"))
+    assert {tuple(r) for r in found.collect()} == {("x", "/o/a/x.md"), ("y", "/o/y.md")}
+    names = spark.createDataFrame([(p,) for p in ("b.PDF", "a.docx", "c.txt", "d.tiff", "pdf", ".pdf")], "path string")
+    assert [r.path for r in convert.supported(names).collect()] == ["a.docx", "b.PDF", "d.tiff"]
+    blocks = spark.sql("select array(named_struct('spans', array(named_struct('text', 'exam-'))), named_struct('spans', array(named_struct('text', '\nple'), named_struct('text', ' end - \nx')))) as lines")
+    assert blocks.select(T.block_text(F.col("lines"))).first()[0] == "example end - \nx"
