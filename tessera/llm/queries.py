@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import kdshard, license, lz, minhash, mixing, pieces, quality, secret_crf, substring, urlfilter
+from tessera.llm import kdshard, license, lz, minhash, mixing, pieces, quality, secret_crf, substring, tokencount, trie, urlfilter, whitening
 from tessera.llm.common import table
 
 
@@ -62,7 +62,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.METRICS, "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_license_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op7_sentencepiece, op8_sharding, op9_fingerprints, op10_quality_rules)}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = found.select("vec_id", F.posexplode_outer("whitened").alias("at", "whitened"), "n", "deviation", "explained", "identity_error")
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.col("explained")[F.col("at")].alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_secret_scans, op3_license_scans, op4_minhash_near_dedup, op5_mixing, op6_substring_dedup, op7_sentencepiece, op8_sharding, op9_fingerprints, op10_quality_rules, op11_token_counts, op12_prefix_trie, op13_embedding_whitening)}
 _WORDS = r"list_filter(regexp_split_to_array({x}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +98,17 @@ x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS at FROM v JOIN f USING
 u AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS at FROM w),
 k AS (SELECT u.doc_id, count(x.at) AS gone, string_agg(word, ' ' ORDER BY u.at) FILTER (x.at IS NULL) AS kept FROM u LEFT JOIN x ON x.doc_id = u.doc_id AND x.at = u.at GROUP BY u.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op12_prefix_trie": """
+WITH t AS MATERIALIZED (SELECT conv_id, key, size, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) - 1 AS i FROM (SELECT conv_id, turn, length(coalesce(text, '')) AS size, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS key FROM conversations WHERE conv_id IS NOT NULL)),
+d AS MATERIALIZED (SELECT conv_id AS base, count(*) AS held FROM t GROUP BY conv_id),
+c AS MATERIALIZED (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(s) + 1), lambda i: ascii(substr(s, i, 1))::BIGINT)), lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM t)),
+r AS MATERIALIZED (SELECT c.conv_id, t.i AS pos, key, size FROM c JOIN t ON t.conv_id = c.base AND t.i < c.h
+  UNION ALL SELECT c.conv_id, t.i - c.h + least(c.h, coalesce(held, 0)), key, size FROM c JOIN t ON t.conv_id = c.conv_id AND t.i >= c.h LEFT JOIN d ON d.base = c.base),
+p AS MATERIALIZED (SELECT conv_id, pos + 1 AS depth, string_agg(key, '') OVER (PARTITION BY conv_id ORDER BY pos) AS path, size FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+l AS (SELECT conv_id, max(depth) AS turns FROM p GROUP BY conv_id),
+n AS MATERIALIZED (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(size) AS size, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (turns = depth), '')) AS ends_sha256 FROM p JOIN l USING (conv_id) GROUP BY path, depth),
+k AS MATERIALIZED (SELECT left(path, length(path) - 32) AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+u AS (SELECT a.path, count(*) FILTER (k.path IS NULL) AS n_leaves, sum((b.n_convs - 1) * b.size) AS saved_tokens FROM n a JOIN n b ON starts_with(b.path, a.path) LEFT JOIN k ON k.path = b.path GROUP BY a.path)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM n JOIN u USING (path) LEFT JOIN k USING (path) LEFT JOIN n m ON n.depth > 0 AND m.path = left(n.path, length(n.path) - 32)""",
 }
