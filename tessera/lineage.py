@@ -68,3 +68,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         _open.pop()
         path, fs = _path(spark, folder)
         fs.delete(path, True)
+
+
+def delete(spark: SparkSession, folder: str, keep: set[str]) -> int:
+    """Delete what lies in a folder, but for the names to keep; the number of what went."""
+    path, fs = _path(spark, folder)
+    gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in keep] if fs.exists(path) else []
+    for p in gone:
+        fs.delete(p, True)
+    return len(gone)
+
+
+def session_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that goes with the application."""
+    return f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,32 +3,40 @@
 from __future__ import annotations
 
 import re
+from typing import TYPE_CHECKING
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.lineage import cut
+from tessera.operators import matching
+from tessera.operators.matching import Node, Phrase
 
-FIELDS = ("title", "abstract", "summary")
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+if TYPE_CHECKING:
+    from tessera.operators.textindex import Index
 
-def _fold(x: Column) -> Column:
-    """ASCII letters only, as LIKE ignores case."""
-    return F.translate(x, _UPPER, _LOWER)
+FIELDS = ("title", "abstract", "summary")
 
 
 def _quoted(x: str) -> str:
     return "\\Q" + x.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+# Expressions are put together as SQL: a search has many, and each Column operation is a call.
+
+
+def literal(x: object) -> str:
+    return str(x) if isinstance(x, int) else "'" + str(x).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def like_score(query: str) -> Column:
     """10, 7 or 5 for the first of title, abstract and summary that is LIKE %query%, else 0;
-    % and _ in the query are wildcards."""
-    pattern = "%" + query.translate(str.maketrans(_UPPER, _LOWER)).replace("'", "''") + "%"
-    hit = lambda f: F.expr(f"translate({f}, '{_UPPER}', '{_LOWER}') LIKE '{pattern.replace(chr(92), chr(92) * 2)}' ESCAPE '\\u0001'")
-    return F.when(hit("title"), 10).when(hit("abstract"), 7).when(hit("summary"), 5).otherwise(0)
+    % and _ in the query are wildcards. Java ignores the case of ASCII letters alone, as LIKE."""
+    parts = (".*" if c == "%" else "." if c == "_" else _quoted(c) for c in re.split("([%_])", query) if c)
+    pattern = literal("(?is)" + "".join(parts))
+    return F.expr(f"CASE WHEN title RLIKE {pattern} THEN 10 WHEN abstract RLIKE {pattern} THEN 7 WHEN summary RLIKE {pattern} THEN 5 ELSE 0 END")
 
 
 def like_search(papers: DataFrame, query: str, limit: int) -> DataFrame:
@@ -37,58 +45,96 @@ def like_search(papers: DataFrame, query: str, limit: int) -> DataFrame:
     return hits.orderBy(F.desc("base_score"), "title", "paper_id").limit(limit)
 
 
-_PART = re.compile(r'(?:(\w+):)?(?:"((?:[^"]|"")*)"|(\w+))(\*?)')
-
-
-def parse(query: str) -> tuple[list[tuple[str, str | None]], list] | None:
-    """(phrases, tree) of an index query: words and quoted phrases, AND, OR, NOT, column:word and
-    word*. phrases are (lower-cased text, column or None) of three characters and more; shorter
-    ones take part in nothing. Words side by side bind closest, then NOT, AND, OR: the tree is a
-    list of alternatives, each a list of conditions, each a list of number lists of which the
-    first must all be there and none of the others may be there as a whole. None if the query
-    has anything else, which makes the index unusable."""
-    phrases: list[tuple[str, str | None]] = []
-    tree: list[list[list[list[int]]]] = [[[[]]]]
-    at, words = 0, 0
-    while at < len(query):
-        if query[at].isspace():
-            at += 1
-            continue
-        m = _PART.match(query, at)
-        if m is None or m.end() < len(query) and not query[m.end()].isspace():
-            return None
-        at, operator = m.end(), m[0] if m[0] in ("AND", "OR", "NOT") else ""
-        if m[0] == "NEAR" or operator and not words:
-            return None
-        if operator:
-            words = 0
-            if operator == "OR":
-                tree.append([[[]]])
-            elif operator == "AND":
-                tree[-1].append([[]])
-            else:
-                tree[-1][-1].append([])
-            continue
-        words += 1
-        column = (m[1] or "").lower() or None
-        if column and column not in FIELDS:
-            return None
-        text = (m[3] if m[2] is None else m[2].replace('""', '"')).lower()
-        if len(text) >= 3:
-            tree[-1][-1][-1].append(len(phrases))
-            phrases.append((text, column))
-    return (phrases, tree) if phrases and words else None
-
-
-def _frequency(phrase: tuple[str, str | None]) -> Column:
-    """Overlapping occurrences in all fields, or in the phrase's own."""
-    fields = [f for f in FIELDS if phrase[1] in (None, f)]
-    return sum((F.regexp_count(F.lower(F.coalesce(f, F.lit(""))), F.lit(f"(?={_quoted(phrase[0])})")) for f in map(F.col, fields)), F.lit(0))
+def parse(query: str) -> tuple[list[Phrase], Node] | None:
+    return matching.parse(query, FIELDS)
+
+
+def _field(f: str) -> str:
+    return f"lower(coalesce({f}, ''))"
+
+
+def _frequency(phrase: Phrase) -> str:
+    """Overlapping occurrences in the phrase's fields; for one that must stand first, the fields
+    that start with it."""
+    if phrase.text is None or not phrase.fields:
+        return "0"
+    text = literal(phrase.text)
+    if phrase.first:
+        return " + ".join(f"cast(startswith({_field(f)}, {text}) as int)" for f in phrase.fields)
+    overlapping = literal(f"(?={_quoted(phrase.text)})")
+    return " + ".join(f"CASE WHEN contains({_field(f)}, {text}) THEN regexp_count({_field(f)}, {overlapping}) ELSE 0 END" for f in phrase.fields)
+
+
+def _near(phrases: list[Phrase], distance: int) -> Column:
+    """For each of the phrases, its occurrences that are near all the others; null where one is
+    missing. Only texts that have them all reach Python."""
+    texts = [p.text for p in phrases]
+    if None in texts or not phrases[0].fields:
+        return F.lit(None).cast("array<int>")
+    fields = phrases[0].fields
+    sizes = [len(t) - 2 for t in texts]
+
+    def counts(*columns: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(*columns, strict=True):
+            found = [matching.near_counts([matching.places_of(x, t) for t in texts], sizes, distance) for x in row if x]
+            out.append([sum(c) for c in zip(*found, strict=True)] or [0] * len(texts))
+        return pd.Series(out)
+
+    # a field without all of them cannot have them near
+    whole = [F.expr(f"CASE WHEN {' AND '.join(f'contains({_field(f)}, {literal(t)})' for t in texts)} THEN {_field(f)} END") for f in fields]
+    return F.when(F.coalesce(*whole).isNotNull(), F.pandas_udf(counts, "array<int>")(*whole))
+
+
+def _nears(node: Node) -> list[tuple]:
+    if node is None or node[0] == "phrase":
+        return []
+    return [node] if node[0] == "near" else [n for x in node[1:] for n in _nears(x)]
+
+
+_SIZE = " + ".join(f"greatest(length(coalesce({f}, '')) - 2, 0)" for f in FIELDS)
 
 
 def sized(papers: DataFrame) -> DataFrame:
     """papers plus d, the number of their trigrams."""
-    return papers.withColumn("d", sum((F.greatest(F.length(F.coalesce(f, F.lit(""))) - 2, F.lit(0)) for f in map(F.col, FIELDS)), F.lit(0)))
+    return papers.withColumn("d", F.expr(_SIZE))
+
+
+def counted(papers: DataFrame, phrases: list[Phrase], tree: Node, *others: Column) -> DataFrame:
+    """papers plus d, f0, f1, ..., the frequencies of the phrases, near0, near1, ..., and others."""
+    nears = [_near([phrases[k] for k in n[1]], n[2]).alias(f"near{g}") for g, n in enumerate(_nears(tree))]
+    size = [] if "d" in papers.columns else [F.expr(_SIZE).alias("d")]
+    return papers.select("*", *size, *(F.expr(_frequency(p)).alias(f"f{k}") for k, p in enumerate(phrases)), *nears, *others)
+
+
+def _matches(node: Node, groups: dict[tuple, int]) -> str:
+    if node is None:
+        return "false"
+    if node[0] == "phrase":
+        return f"f{node[1]} > 0"
+    if node[0] == "near":
+        return f"coalesce(near{groups[node]}[0] > 0, false)"
+    parts = [f"({_matches(x, groups)})" for x in node[1:]]
+    return f"{parts[0]} AND NOT {parts[1]}" if node[0] == "not" else f" {node[0].upper()} ".join(parts)
+
+
+def _counting(node: Node, groups: dict[tuple, int], given: str = "") -> list[tuple[int, str]]:
+    """(phrase, frequency) of the phrases that count for the rank of a paper that matches: those
+    below alternatives that match, not those that must be absent."""
+    if node is None:
+        return []
+    where = lambda x: f"CASE WHEN {given} THEN {x} ELSE 0 END" if given else x
+    if node[0] == "phrase":
+        return [(node[1], where(f"f{node[1]}"))]
+    if node[0] == "near":
+        return [(k, where(f"coalesce(near{groups[node]}[{i}], 0)")) for i, k in enumerate(node[1])]
+    if node[0] == "not":
+        return _counting(node[1], groups, given)
+    out = []
+    for x in node[1:]:
+        own = _matches(x, groups) if node[0] == "or" and x[0] in ("and", "not") else ""
+        out += _counting(x, groups, " AND ".join(f"({c})" for c in (given, own) if c))
+    return out
 
 
 def totals(papers: DataFrame) -> tuple[int, float]:
@@ -97,38 +143,39 @@ def totals(papers: DataFrame) -> tuple[int, float]:
     return found["n"], found["avg_d"] or 1.0
 
 
-def bm25(papers: DataFrame, query: str, known: tuple[int, float] | None = None) -> DataFrame:
-    """(paper_id, rank) of the papers that match an index query; rank is negative, the best
-    least. known are the totals of all papers where papers has only those with any phrase.
-    The statistics are one row, then the formula has them as constants."""
-    phrases, tree = parse(query) or ([], [])
-    counted = sized(papers).select("paper_id", "d", *(_frequency(p).alias(f"f{k}") for k, p in enumerate(phrases)))
-    if known is not None:
-        counted = cut(counted)
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("avg_d"), *(F.count_if(F.col(f"f{k}") > 0).alias(f"n{k}") for k in range(len(phrases)))).first()
-    n, avg_d = known or (stats["n"], stats["avg_d"] or 1.0)
-    rank = F.lit(0.0)
-    for k in range(len(phrases)):
-        f = F.col(f"f{k}")
-        idf = F.log((n - F.lit(stats[f"n{k}"]) + 0.5) / (stats[f"n{k}"] + 0.5))
-        rank = rank - F.when(idf <= 0, 1e-6).otherwise(idf) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("d") / F.lit(avg_d)))
-
-    def all_of(ks: list[int]) -> Column:
-        out = F.lit(bool(ks))
-        for k in ks:
-            out = out & (F.col(f"f{k}") > 0)
-        return out
-
-    match = F.lit(False)
-    for alternative in tree:
-        every = F.lit(any(ks[0] for ks in alternative))
-        for wanted, *unwanted in alternative:
-            if wanted or unwanted:
-                every = every & all_of(wanted)
-                for ks in unwanted:
-                    every = every & ~all_of(ks)
-        match = match | every
-    return counted.filter(match).select("paper_id", rank.alias("rank"))
+def ranked(rows: DataFrame, parsed: tuple[list[Phrase], Node], known: tuple[int, float] | None = None, small: bool = False) -> DataFrame:
+    """rows of counted() plus rank, null where the tree does not match; the best rank is least.
+    known are the totals of all papers where rows has only those with any phrase. The statistics
+    are one row, which a job of its own finds, or, for a small number of rows, a window."""
+    phrases, tree = parsed
+    numbers = [f"count_if(f{k} > 0)" for k in range(len(phrases))]
+    if small:
+        n, mean = known
+        rows = rows.selectExpr("*", *(f"{x} OVER () AS n{k}" for k, x in enumerate(numbers)))
+        held = [f"n{k}" for k in range(len(phrases))]
+    else:
+        stats = rows.selectExpr("count(*) AS n", "avg(d) AS avg_d", *(f"{x} AS n{k}" for k, x in enumerate(numbers))).first()
+        n, mean = known or (stats["n"], stats["avg_d"] or 1.0)
+        held = [str(stats[f"n{k}"]) for k in range(len(phrases))]
+    groups = {g: i for i, g in enumerate(_nears(tree))}
+    rank = "0D"
+    for k, f in _counting(tree, groups):
+        idf = f"ln(({n} - {held[k]} + 0.5D) / ({held[k]} + 0.5D))"
+        rank += f" - CASE WHEN {idf} <= 0 THEN 1e-6D ELSE {idf} END * ({f}) * 2.2D / (({f}) + 1.2D * (0.25D + 0.75D * d / {mean!r}D))"
+    made = {f"{c}{k}" for c in "nf" for k in range(len(phrases))} | {f"near{g}" for g in range(len(groups))}
+    return rows.select(*(c for c in rows.columns if c not in made), F.expr(f"CASE WHEN {_matches(tree, groups)} THEN {rank} END").alias("rank"))
+
+
+def bm25(papers: DataFrame, query: str, known: tuple[int, float] | None = None, small: bool = False) -> DataFrame:
+    """(paper_id, rank) of the papers that match an index query."""
+    parsed = parse(query) or ([], None)
+    rows = counted(papers, *parsed)
+    rows = rows.select("paper_id", *(c for c in rows.columns if c == "d" or c not in papers.columns))
+    if small:
+        rows = rows.repartition(1)
+    elif parsed[0]:
+        rows = cut(rows)
+    return ranked(rows, parsed, known, small).filter("rank is not null").select("paper_id", "rank")
 
 
 def match_type(query: str, whole_words: bool = False) -> Column:
@@ -150,6 +197,30 @@ def highlight(text: Column, query: str, most: int = 300) -> Column:
     return F.when(at < 0, F.substring(text, 1, most)).otherwise(F.concat(F.when(start > 0, "...").otherwise(""), snippet, F.when(end < F.length(text), "...").otherwise("")))
 
 
+def _placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows of a small number with like_at and fts_at, their places by score and by rank; those
+    within the limit in either."""
+    rows = rows.selectExpr(
+        "* EXCEPT (base_score, rank)", "CASE WHEN base_score > 0 THEN base_score END AS base_score", "rank",
+        "row_number() OVER (ORDER BY base_score > 0 DESC, base_score DESC, title, paper_id) AS like_at", "row_number() OVER (ORDER BY rank NULLS LAST, paper_id) AS fts_at",
+    )
+    inside = {"base_score": f"base_score IS NOT NULL AND like_at <= {limit}", "rank": f"rank IS NOT NULL AND fts_at <= {limit}"}
+    rows = rows.selectExpr("* EXCEPT (base_score, rank, like_at, fts_at)", *(f"CASE WHEN {inside[v]} THEN {c} END AS {c}" for v, c in (("base_score", "base_score"), ("base_score", "like_at"), ("rank", "rank"), ("rank", "fts_at"))))
+    return rows.filter("like_at IS NOT NULL OR fts_at IS NOT NULL")
+
+
+def _found(papers: DataFrame, query: str, parsed: tuple[list[Phrase], Node] | None, limit: int, known: tuple[int, float] | None) -> DataFrame:
+    """The same for any number of papers: the limit of each kind, then their full join."""
+    by_like = like_search(papers, query, limit).withColumn("like_at", F.row_number().over(Window.orderBy(F.desc("base_score"), "title", "paper_id")))
+    if parsed is None:
+        return by_like.withColumns({"rank": F.lit(None).cast("double"), "fts_at": F.lit(None).cast("int")})
+    by_index = bm25(papers, query, known).orderBy("rank", "paper_id").limit(limit)
+    by_index = by_index.withColumn("fts_at", F.row_number().over(Window.orderBy("rank", "paper_id")))
+    # at most 2 * limit rows from here on
+    found = by_like.select("paper_id", "base_score", "like_at").join(F.broadcast(by_index), "paper_id", "full_outer")
+    return papers.join(F.broadcast(found), "paper_id")
+
+
 def search(papers: DataFrame, query: str, top_k: int = 10, index: Index | None = None) -> DataFrame:
     """(position, paper_id, title, filename, abstract_preview, summary, match_type, score). With
     an index of the papers, only those that its lists give are read."""
@@ -157,23 +228,18 @@ def search(papers: DataFrame, query: str, top_k: int = 10, index: Index | None =
     if not query or top_k < 1:
         papers, index = papers.limit(0), None
     limit = top_k + 10
-    by_like = like_search(index.papers_like(query) if index else papers, query, limit)
-    order = Window.orderBy(F.desc("base_score"), "title", "paper_id")
-    by_like = by_like.withColumn("like_at", F.row_number().over(order))
     parsed = parse(query) if len(query) >= 3 else None
-    if parsed:
-        among = index.papers_with([t for t, _ in parsed[0]]) if index else papers
-        by_index = bm25(among, query, index.totals if index else None).orderBy("rank", "paper_id").limit(limit)
-        by_index = by_index.withColumn("fts_at", F.row_number().over(Window.orderBy("rank", "paper_id")))
-        # at most 2 * limit rows from here on
-        found = by_like.select("paper_id", "base_score", "like_at").join(F.broadcast(by_index), "paper_id", "full_outer")
-        score = F.greatest("base_score", 15 - (F.col("rank") + 1))
-        found = (index.papers_of(cut(found)) if index else papers.join(F.broadcast(found), "paper_id")).withColumn("score", score)
-        place = [F.desc("score"), F.col("like_at").asc_nulls_last(), F.col("fts_at").asc_nulls_last()]
+    if index:
+        papers, small = index.rows(parsed[0] if parsed else [], query)
+    if index and small:
+        rows = counted(papers, *(parsed or ([], None)), like_score(query).alias("base_score"))
+        rows = rows.filter(" OR ".join(["base_score > 0", *(f"f{k} > 0" for k in range(len(parsed[0]) if parsed else 0))])).repartition(1)
+        found = _placed(ranked(rows, parsed, index.totals, True) if parsed else rows.withColumn("rank", F.lit(None).cast("double")), limit)
     else:
-        found = by_like.withColumn("score", F.col("base_score").cast("double"))
-        place = [F.col("like_at")]
-    found = found.orderBy(*place).limit(top_k).withColumn("place", F.row_number().over(Window.orderBy(*place)))
+        found = _found(papers, query, parsed, limit, index.totals if index else None)
+    score = F.greatest(F.col("base_score").cast("double"), 15 - (F.col("rank") + 1))
+    place = [F.desc("score"), F.col("like_at").asc_nulls_last(), F.col("fts_at").asc_nulls_last()]
+    found = found.withColumn("score", score).orderBy(*place).limit(top_k).withColumn("place", F.row_number().over(Window.orderBy(*place)))
     out = found.withColumn("abstract_preview", highlight(F.col("abstract"), query)).withColumn("match_type", match_type(query))
     if len(query) <= 4 and query.isascii():
         # whole-word hits first; the others stay after them
@@ -185,80 +251,3 @@ def search(papers: DataFrame, query: str, top_k: int = 10, index: Index | None =
         out = out.withColumn("position", F.col("place"))
     columns = ["position", "paper_id", "title", *(["filename"] if "filename" in papers.columns else []), "abstract_preview", "summary", "match_type", F.round("score", 1).alias("score")]
     return out.select(*columns)
-
-
-# ---- the index: which papers have a trigram ----
-
-
-def _trigrams(text: str) -> list[str]:
-    """Trigrams of a lower-cased text whose lists can be relied on: lowering other letters than
-    ASCII may depend on what is beside them, so trigrams with those are passed over."""
-    usable = lambda g: all(c.isascii() or c.lower() == c == c.upper() for c in g)
-    return sorted({g for g in (text[i : i + 3] for i in range(len(text) - 2)) if usable(g)})
-
-
-def write_index(papers: DataFrame, folder: str, lists: int = 64) -> None:
-    """The papers in ranges of paper_id, the lists (trigram, paper_id) in folders by a hash of
-    the trigram and in its order, and the totals. Posting is one shuffle of distinct pairs."""
-    sized(papers).repartitionByRange("paper_id").sortWithinPartitions("paper_id").write.mode("overwrite").parquet(f"{folder}/papers")
-    papers = papers.sparkSession.read.parquet(f"{folder}/papers")
-    low = [F.lower(F.coalesce(f, F.lit(""))) for f in map(F.col, FIELDS)]
-    grams = F.flatten(F.array(*map(_grams_of, low)))
-    posted = papers.select("paper_id", F.explode(F.array_distinct(grams)).alias("gram")).filter(F.length("gram") == 3)
-    posted = posted.withColumn("list", F.pmod(F.xxhash64("gram"), F.lit(lists)).cast("int"))
-    posted.repartition("list", F.pmod(F.xxhash64("paper_id"), F.lit(8))).sortWithinPartitions("list", "gram").write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
-    papers.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("d"), F.lit(1.0)).alias("avg_d")).write.mode("overwrite").parquet(f"{folder}/totals")
-
-
-def _grams_of(text: Column) -> Column:
-    """All runs of three characters; one pass over the text."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), 1)
-
-
-class Index:
-    """What write_index wrote. A search reads the lists of a phrase's trigrams and then only the
-    papers that are in all of them."""
-
-    def __init__(self, spark: SparkSession, folder: str, lists: int = 64, most_lists: int = 8):
-        self.papers = spark.read.parquet(f"{folder}/papers")
-        # the schema is given, as an index of no papers has no lists
-        self.lists = spark.read.schema(f"paper_id {self.papers.schema['paper_id'].dataType.simpleString()}, gram string, list int").parquet(f"{folder}/lists")
-        self.most, self.numbers = most_lists, lists
-        found = spark.read.parquet(f"{folder}/totals").first()
-        self.totals = (found["n"], found["avg_d"] or 1.0)
-        self.spark = spark
-
-    def _among(self, phrase: str) -> DataFrame | None:
-        """Ids of the papers in the lists of some of a phrase's trigrams, at even distances over
-        it; None where it has no usable one."""
-        grams = _trigrams(phrase)
-        if not grams:
-            return None
-        grams = grams[:: -(-len(grams) // self.most)]
-        hashes = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(g)), F.lit(self.numbers)).cast("int") for g in grams)).first()
-        here = self.lists.filter(F.col("list").isin(*set(hashes)) & F.col("gram").isin(*grams))
-        return here.groupBy("paper_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(grams)).select("paper_id")
-
-    def papers_of(self, ids: DataFrame, most_rows: int = 10_000) -> DataFrame:
-        """The papers joined with ids(paper_id, ...). While they are few, the papers' files are
-        read only where their statistics allow the ids."""
-        if ids.limit(most_rows + 1).count() > most_rows:
-            return self.papers.join(ids, "paper_id")
-        ends = ids.agg(F.min("paper_id").alias("a"), F.max("paper_id").alias("b")).first()
-        return self.papers.filter(F.col("paper_id").between(ends["a"], ends["b"])).join(F.broadcast(ids), "paper_id")
-
-    def papers_with(self, phrases: list[str]) -> DataFrame:
-        """Papers that may have any of the phrases."""
-        among = [self._among(p) for p in phrases]
-        if any(x is None for x in among):
-            return self.papers
-        out = among[0]
-        for x in among[1:]:
-            out = out.unionByName(x)
-        return self.papers_of(cut(out.distinct() if len(among) > 1 else out))
-
-    def papers_like(self, query: str) -> DataFrame:
-        """Papers that may be LIKE %query%: by its longest part without a wildcard."""
-        part = max(re.split("[%_]", query.lower()), key=len)
-        among = self._among(part)
-        return self.papers if among is None else self.papers_of(cut(among))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -94,31 +95,55 @@ def centres_of(sample: np.ndarray, lists: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def write_index(corpus: DataFrame, folder: str, key: str = "vec_id", vector: str = "embedding", lists: int = 64, sample_rows: int = 20_000) -> None:
-    """Every vector of corpus(key, vector) in the folder of its nearest centre. The centres are
-    fitted on at most sample_rows vectors, the least by a seeded hash of the key; null vectors
-    are left out."""
+def write_index(corpus: DataFrame, folder: str, key: str = "vec_id", vector: str = "embedding", lists: int = 64, sample_rows: int = 20_000) -> dict:
+    """Every vector of corpus(key, vector) in the folder of its nearest centre; the index's state.
+    The centres are fitted on at most sample_rows vectors, the least by a seeded hash of the key;
+    null vectors are left out."""
     rows = corpus.filter(F.col(vector).isNotNull()).select(key, vector)
     sample = np.array([r[0] for r in rows.orderBy(F.xxhash64(key, F.lit(3)), key).select(vector).limit(sample_rows).collect()], np.float64)
     centres = centres_of(sample, lists) if len(sample) else np.zeros((1, 1))
     spark = corpus.sparkSession
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "list int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{folder}/centres")
+    return {"segments": [_place(rows, centres, folder)], "dead": []}
+
+
+def _place(rows: DataFrame, centres: np.ndarray, folder: str) -> str:
+    """Write rows(key, vector) as a segment; its name."""
+    key, vector = rows.columns
+    name = uuid.uuid4().hex[:12]
 
     @F.pandas_udf("int")
     def nearest_centre(x: pd.Series) -> pd.Series:
         return pd.Series((_unit(np.stack(x.to_numpy()).astype(np.float64)) @ centres.T).argmax(1)) if len(x) else pd.Series([], dtype="int32")
 
     placed = rows.withColumn("list", nearest_centre(F.col(vector)))
-    placed.repartition("list", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists")
+    placed.repartition("list", F.pmod(F.xxhash64(key), F.lit(8))).write.mode("overwrite").partitionBy("list").parquet(f"{folder}/lists/segment={name}")
+    return name
+
+
+def update_index(spark: SparkSession, folder: str, state: dict, corpus: DataFrame, gone: DataFrame, key: str = "chunk_id", vector: str = "embedding") -> dict:
+    """The segments and dead lists after a delta: corpus(key, vector) is new, and the rows so far
+    of the papers in gone(paper_id, ...), whose keys are paper_id#number, are dead. Writes the new
+    vectors and the dead keys."""
+    index = Index(spark, folder, state)
+    dead = uuid.uuid4().hex[:12]
+    owned = index.rows.select("segment", key, F.regexp_replace(key, "#[^#]*$", "").alias("paper_id"))
+    owned.join(gone.select("paper_id"), "paper_id", "left_semi").select("segment", key).coalesce(4).write.parquet(f"{folder}/dead/{dead}")
+    new = _place(corpus.filter(F.col(vector).isNotNull()).select(key, vector), index.centres, folder)
+    return {"segments": [*state["segments"], new], "dead": [*state["dead"], dead]}
 
 
 class Index:
     """What write_index wrote. A query reads the lists whose centres are nearest to it. The usual
     40 of 64 are for vectors without clusters; vectors of texts need fewer."""
 
-    def __init__(self, spark: SparkSession, folder: str, key: str | None = None, vector: str | None = None):
-        self.spark, self.rows = spark, spark.read.parquet(f"{folder}/lists")
-        self.key, self.vector = self.rows.columns[:2]
+    def __init__(self, spark: SparkSession, folder: str, state: dict | None = None):
+        rows = spark.read.option("basePath", f"{folder}/lists").parquet(*([f"{folder}/lists/segment={n}" for n in state["segments"]] if state else [f"{folder}/lists"]))
+        self.spark, (self.key, self.vector) = spark, rows.columns[:2]
+        if state and state["dead"]:
+            dead = spark.read.parquet(*(f"{folder}/dead/{n}" for n in state["dead"]))
+            rows = rows.join(dead, ["segment", self.key], "left_anti").select(*rows.columns)
+        self.rows = rows
         found = spark.read.parquet(f"{folder}/centres").orderBy("list").collect()
         self.centres = np.array([r["centre"] for r in found])
 

@@ -3,10 +3,13 @@ embeddings, which follows the snapshot's generation."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import chunk, lexical, vector
+from tessera.lineage import cut, delete
+from tessera.operators import chunk, lexical, textindex, vector
 from tessera.operators.papers import papers_of
 from tessera.plans import snapshot
 
@@ -29,19 +32,53 @@ def clamped(top_k: object) -> int:
 KEYS = ("doi", "paper_id", "filename", "item_id")
 
 
-def build_index(spark: SparkSession, root: str) -> str:
-    """Write the papers, their trigram lists and, where chunks have embeddings, the vector index
-    of the current snapshot beside it. Readers find it by the generation, so a failed build
+#: Vector segments after which the vectors are written anew, with new centres.
+MOST_SEGMENTS = 16
+
+
+def index_state(spark: SparkSession, root: str, generation: str) -> dict | None:
+    found = snapshot.read_text(spark, f"{root}/index/{generation}.json")
+    return json.loads(found) if found else None
+
+
+def build_index(spark: SparkSession, root: str, base: dict | None = None, changed: DataFrame | None = None) -> str:
+    """Write the index of the current snapshot: the papers' texts and trigrams and, where chunks
+    have embeddings, the vectors. With base, the manifest before, and changed(paper_id), the
+    papers that are new, changed or gone since then, base's index is carried on by a segment of
+    these papers; else all is written. Readers find an index by the generation, so a failed build
     leaves what they have."""
     state = snapshot.manifest(spark, root)
-    chunks, folder = snapshot.read(spark, root, state), f"{root}/index/{state['generation']}"
-    lexical.write_index(papers_of(chunks), folder)
-    if "embedding" in chunks.columns and chunks.limit(1).count():
-        vector.write_index(chunks.select("chunk_id", "embedding"), f"{folder}/vectors", "chunk_id")
-    snapshot.write_text(spark, f"{folder}/READY", state["generation"])
+    before = index_state(spark, root, base["generation"]) if base and changed is not None else None
+    chunks = snapshot.read(spark, root, state)
+    texts = f"{root}/index/texts"
+    if before is None:
+        made = {"texts": textindex.write_index(papers_of(chunks), texts)}
+    else:
+        changed = cut(changed.select("paper_id").distinct())
+        new = cut(snapshot.of_keys(spark, root, state, changed))
+        made = {"texts": textindex.update_index(spark, texts, before["texts"], papers_of(new), changed)}
+    if "embedding" in chunks.columns:
+        vectors = (before or {}).get("vectors")
+        if vectors and len(vectors["segments"]) < MOST_SEGMENTS:
+            made["vectors"] = vectors | vector.update_index(spark, f"{root}/index/{vectors['folder']}", vectors, new, changed)
+        elif chunks.limit(1).count():
+            folder = f"vectors-{state['generation']}"
+            made["vectors"] = {"folder": folder} | vector.write_index(chunks.select("chunk_id", "embedding"), f"{root}/index/{folder}", "chunk_id")
+    snapshot.write_text(spark, f"{root}/index/{state['generation']}.json", json.dumps(made))
     return state["generation"]
 
 
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete folders of snapshots and indexes that none of the last keep generations has; readers
+    of those are not disturbed. Returns the number of folders that went."""
+    states = snapshot.last(spark, root, keep)
+    made = [x for s in states if (x := index_state(spark, root, s["generation"]))]
+    gone = snapshot.vacuum(spark, root, states)
+    gone += textindex.vacuum(spark, f"{root}/index/texts", [m["texts"] for m in made])
+    kept = {f"vectors-{s['generation']}" for s in states} | {m["vectors"]["folder"] for m in made if "vectors" in m}
+    return gone + delete(spark, f"{root}/index", kept | {"texts"} | {f"{s['generation']}.json" for s in states})
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, encoder=None):
         self.spark, self.root = spark, root
@@ -54,11 +91,12 @@ class Engine:
         state = snapshot.manifest(self.spark, self.root)
         now = state["generation"]
         if now != self.generation:
-            folder = f"{self.root}/index/{now}"
-            if snapshot.read_text(self.spark, f"{folder}/READY") is None:
+            made = index_state(self.spark, self.root, now)
+            if made is None:
                 build_index(self.spark, self.root)
-            self.chunks, self.folder = snapshot.read(self.spark, self.root, state), folder
-            self.index = lexical.Index(self.spark, folder)
+                made = index_state(self.spark, self.root, now)
+            self.chunks, self.vectors = snapshot.read(self.spark, self.root, state), made.get("vectors")
+            self.index = textindex.Index(self.spark, f"{self.root}/index/texts", made["texts"])
             self.generation = now
         return now
 
@@ -88,13 +126,13 @@ class Engine:
         return rows
 
     def _search(self, query: str, top_k: int, scorer, exact: bool) -> DataFrame:
-        if "embedding" not in self.chunks.columns:
+        if self.vectors is None:
             raise LookupError("the snapshot has no embeddings; sync with an encoder")
         wanted, among = self.encoder([query])[0].tolist(), max(2 * top_k, 20)
         if exact:
             near = vector.nearest(self.chunks, wanted, among, "chunk_id")
         else:
-            near = vector.Index(self.spark, f"{self.folder}/vectors").nearest(wanted, among)
+            near = vector.Index(self.spark, f"{self.root}/index/{self.vectors['folder']}", self.vectors).nearest(wanted, among)
         hits = self.chunks.join(F.broadcast(near), "chunk_id").withColumn("query", F.lit(query))
         hits = hits if "filename" in hits.columns else hits.withColumn("filename", F.lit(""))
         return vector.result_rows(vector.rerank(hits, top_k, scorer, ties=("chunk_id",)))

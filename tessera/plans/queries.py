@@ -3,15 +3,14 @@ DuckDB SQL for the same rows where SQL can say it."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.lineage import cut, shared_dir
-from tessera.operators import catalog, chunk, convert, dedup, layout, lexical, papers, vector
+from tessera.lineage import cut, session_dir
+from tessera.operators import catalog, chunk, convert, dedup, layout, lexical, papers, textindex, vector
 from tessera.plans import snapshot
 from tessera.streaming.sync import drive
 
@@ -217,22 +216,27 @@ def _like_sql(q: str) -> str:
     return f"CASE WHEN {hit('title')} THEN 10 WHEN {hit('abstract')} THEN 7 WHEN {hit('summary')} THEN 5 ELSE 0 END"
 
 
-_indexes: dict[tuple[str, str], lexical.Index] = {}
+_indexes: dict[tuple[str, str], textindex.Index] = {}
 
 
-def doc_index(spark, sf_dir) -> lexical.Index:
+def doc_index(spark, sf_dir) -> textindex.Index:
     """The search index of the documents, written once in a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _indexes:
-        folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        lexical.write_index(doc_papers(spark, sf_dir), folder)
-        _indexes[key] = lexical.Index(spark, folder)
+        folder = session_dir(spark, "index")
+        _indexes[key] = textindex.Index(spark, folder, textindex.write_index(doc_papers(spark, sf_dir), folder))
     return _indexes[key]
 
 
+def _bm25(spark, sf_dir, q: str) -> DataFrame:
+    index = doc_index(spark, sf_dir)
+    rows, small = index.rows(lexical.parse(q)[0])
+    return lexical.bm25(rows, q, index.totals, small).select("paper_id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"WITH {_PAPERS_SQL} SELECT paper_id, {_like_sql('ther_ble')} AS base_score FROM p WHERE {_like_sql('ther_ble')} > 0 ORDER BY 2 DESC, title, paper_id LIMIT 20")
 def like_search(spark, sf_dir):
-    return lexical.like_search(doc_index(spark, sf_dir).papers_like("theR_ble"), "theR_ble", 20).select("paper_id", "base_score")
+    return lexical.like_search(doc_index(spark, sf_dir).rows([], "theR_ble")[0], "theR_ble", 20).select("paper_id", "base_score")
 
 
 def _match_sql(q: str) -> str:
@@ -252,21 +256,29 @@ def highlights(spark, sf_dir):
     return doc_papers(spark, sf_dir).select("paper_id", lexical.highlight(F.col("abstract"), "ntble").alias("preview"))
 
 
-def _bm25_sql(terms: list[str]) -> str:
-    f = lambda t: " + ".join(f"(length({c}) - length(replace(lower({c}), '{t}', ''))) // {len(t)}" for c in ("title", "abstract", "summary"))
-    counts = ", ".join(f"{f(t)} AS f{k}" for k, t in enumerate(terms))
-    stats = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in range(len(terms)))
+_TEXTS = ("title", "abstract", "summary")
+
+
+def _found_sql(t: str, fields: tuple[str, ...] = _TEXTS) -> str:
+    return " + ".join(f"(length({c}) - length(replace(lower({c}), '{t}', ''))) // {len(t)}" for c in fields)
+
+
+def _bm25_sql(counts: list[str], where: str | None = None, counting: list[str] | None = None) -> str:
+    """Ranks of the papers by the counts f0, f1, ... (terms, or SQL for the number of times they
+    occur) where the condition holds; counting: what enters the rank in place of the counts."""
+    counts = [c if " " in c else _found_sql(c) for c in counts]
+    counting = counting or [f"f{k}" for k in range(len(counts))]
+    stats = ", ".join(f"count(*) FILTER (f{k} > 0) AS n{k}" for k in range(len(counts)))
     idf = lambda k: f"CASE WHEN ln((n - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{k} + 0.5) / (n{k} + 0.5)) END"
-    rank = " - ".join(["0.0", *(f"({idf(k)}) * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * d / ad))" for k in range(len(terms)))])
-    return f"""{_PAPERS_SQL}, c AS (SELECT paper_id, greatest(length(title) - 2, 0) + greatest(length(abstract) - 2, 0) + greatest(length(summary) - 2, 0) AS d, {counts} FROM p),
+    rank = " - ".join(["0.0", *(f"({idf(k)}) * ({f}) * 2.2 / (({f}) + 1.2 * (0.25 + 0.75 * d / ad))" for k, f in enumerate(counting))])
+    return f"""{_PAPERS_SQL}, c AS (SELECT *, greatest(length(title) - 2, 0) + greatest(length(abstract) - 2, 0) + greatest(length(summary) - 2, 0) AS d, {", ".join(f"{x} AS f{k}" for k, x in enumerate(counts))} FROM p),
 st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(d) AS ad, {stats} FROM c),
-r AS (SELECT paper_id, {rank} AS rank FROM c, st WHERE {" AND ".join(f"f{k} > 0" for k in range(len(terms)))})"""
+r AS (SELECT paper_id, {rank} AS rank FROM c, st WHERE {where or " AND ".join(f"f{k} > 0" for k in range(len(counts)))})"""
 
 
 @query(f"WITH {_bm25_sql(['thwhwh', 'onthe'])} SELECT paper_id, round(rank, 6) AS rank FROM r")
 def bm25_search(spark, sf_dir):
-    index = doc_index(spark, sf_dir)
-    return lexical.bm25(index.papers_with(["thwhwh", "onthe"]), "thwhwh onthe", index.totals).select("paper_id", F.round("rank", 6).alias("rank"))
+    return _bm25(spark, sf_dir, "thwhwh onthe")
 
 
 @query(f"""WITH {_bm25_sql(['thwhwh'])}, l AS (SELECT paper_id, {_like_sql('thwhwh')} AS base FROM p WHERE {_like_sql('thwhwh')} > 0 ORDER BY base DESC, title, paper_id LIMIT 20),
@@ -278,10 +290,45 @@ def hybrid_search(spark, sf_dir):
     return lexical.search(index.papers, "thwhwh", 10, index).select("paper_id", F.col("score").cast("double").alias("score"))
 
 
-@query(f"WITH {_bm25_sql(['thwhwh', 'onthe', 'leenè', 'erly'])} SELECT paper_id, round(rank, 6) AS rank FROM r".replace("WHERE f0 > 0 AND f1 > 0 AND f2 > 0 AND f3 > 0", "WHERE (f0 > 0 AND f1 > 0) OR (f2 > 0 AND NOT f3 > 0)"))
+_EITHER = "CASE WHEN f0 > 0 AND f1 > 0 THEN f{k} ELSE 0 END"
+
+
+@query(f"WITH {_bm25_sql(['thwhwh', 'onthe', 'leenè', 'erly'], '(f0 > 0 AND f1 > 0) OR (f2 > 0 AND NOT f3 > 0)', [_EITHER.format(k=0), _EITHER.format(k=1), 'CASE WHEN f3 > 0 THEN 0 ELSE f2 END', '0'])} SELECT paper_id, round(rank, 6) AS rank FROM r")
 def bm25_boolean(spark, sf_dir):
-    index = doc_index(spark, sf_dir)
-    return lexical.bm25(index.papers_with(["thwhwh", "onthe", "leenè", "erly"]), 'thwhwh AND onthe* OR "leenè" NOT erly', index.totals).select("paper_id", F.round("rank", 6).alias("rank"))
+    return _bm25(spark, sf_dir, 'thwhwh AND onthe* OR "leenè" NOT erly')
+
+
+_BODY = ("title", "abstract")
+
+
+@query(f"WITH {_bm25_sql([_found_sql('erly', _BODY), _found_sql('thwhwh', _BODY), _found_sql('onthe', _BODY), _found_sql('src1 ', ('summary',))], '(f0 > 0 OR f1 > 0) AND f2 > 0 AND NOT f3 > 0', ['f0', 'f1', 'f2', '0'])} SELECT paper_id, round(rank, 6) AS rank FROM r")
+def bm25_grouped(spark, sf_dir):
+    """Parentheses and column filters, given and excluded."""
+    return _bm25(spark, sf_dir, '{title abstract}:(erly OR thwhwh) AND -summary:onthe NOT summary:"src1 "')
+
+
+_STARTS = " + ".join(f"CAST(starts_with(lower({c}), 'anh') AS INTEGER)" for c in _TEXTS)
+
+
+@query(f"WITH {_bm25_sql([_STARTS, 'onthe', 'thwhwh'], 'f0 > 0 OR (f1 > 0 AND f2 > 0)', ['f0', 'CASE WHEN f2 > 0 THEN f1 ELSE 0 END', 'CASE WHEN f1 > 0 THEN f2 ELSE 0 END'])} SELECT paper_id, round(rank, 6) AS rank FROM r")
+def bm25_anchored(spark, sf_dir):
+    """A phrase at the start of a field; strings joined by +, which overlap in two characters."""
+    return _bm25(spark, sf_dir, "^anh OR (ont + nthe AND thwhwh)")
+
+
+def _places_sql(t: str) -> str:
+    """Where t starts in the fields that have both texts; t does not overlap itself."""
+    return f"(SELECT paper_id, c, sum(length(part)) OVER (PARTITION BY paper_id, c ORDER BY i) + (i - 1) * {len(t)} AS at FROM (SELECT paper_id, c, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM (SELECT paper_id, c, string_split(x, '{t}') AS parts FROM both_in)) QUALIFY i < n)"
+
+
+_NEAR = f"""both_in AS (SELECT * FROM ({" UNION ALL ".join(f"SELECT paper_id, '{c}' AS c, lower({c}) AS x FROM p" for c in _TEXTS)}) WHERE contains(x, 'ther') AND contains(x, 'onthe')),
+near AS (SELECT paper_id, count(DISTINCT a.c || a.at) AS m0, count(DISTINCT b.c || b.at) AS m1 FROM {_places_sql("ther")} a JOIN {_places_sql("onthe")} b USING (paper_id, c) WHERE a.at <= b.at AND b.at - a.at <= 42 OR b.at < a.at AND a.at - b.at <= 43 GROUP BY paper_id)"""
+
+
+@query(f"WITH {_bm25_sql(['ther', 'onthe'], 'true', ['m0', 'm1']).replace(', c AS', f', {_NEAR}, c AS').replace('FROM c, st', 'FROM c JOIN near USING (paper_id), st')} SELECT paper_id, round(rank, 6) AS rank FROM r")
+def bm25_near(spark, sf_dir):
+    """Phrases within a distance; only the places that are near count."""
+    return _bm25(spark, sf_dir, "NEAR(ther onthe, 40)")
 
 
 _WHOLE = "CASE WHEN regexp_matches(lower({x}), '(^|[^\\p{{L}}\\p{{N}}_])erly([^\\p{{L}}\\p{{N}}_]|$)') THEN '{c}' END"
@@ -327,7 +374,7 @@ def knn_ivf(spark, sf_dir):
     """knn_batch by an index of every vector that is written once in a session."""
     vectors, key = table(spark, sf_dir, "embeddings"), (spark.sparkContext.applicationId, sf_dir)
     if key not in _vectors:
-        folder = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
+        folder = session_dir(spark, "vectors")
         vector.write_index(vectors, folder)
         _vectors[key] = vector.Index(spark, folder)
     return _vectors[key].nearest_batch(vectors.filter("vec_id % 20 = 0"), 10).select("query_id", "vec_id", F.round("score", 6).alias("score"))
@@ -521,7 +568,7 @@ def dedup_probe(spark, sf_dir):
 def upsert_snapshot(spark, sf_dir):
     """Publish all documents, replace the English ones and delete the French ones in the buckets
     that have such, read back."""
-    root = f"{shared_dir(spark)}/papers-{uuid.uuid4().hex}"
+    root = session_dir(spark, "papers")
     docs = documents(spark, sf_dir).select("doc_id", "lang", "text")
     snapshot.publish(docs.withColumn("version", F.lit(1)), root, "doc_id")
     new = docs.filter("lang = 'en'").withColumn("version", F.lit(2))
@@ -573,7 +620,7 @@ def batch_convert(spark, sf_dir):
 def stream_incremental(spark, sf_dir):
     """Micro-batches of events add their partial sums to a table; the sums of those are the
     result."""
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = session_dir(spark, "stream")
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*").parquet(sf_dir)
 

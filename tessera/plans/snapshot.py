@@ -7,6 +7,7 @@ stay where they were."""
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -127,6 +128,32 @@ def read(spark: SparkSession, root: str, state: dict, buckets: list[int] | None
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def of_keys(spark: SparkSession, root: str, state: dict, keys: DataFrame) -> DataFrame:
+    """The rows of some keys, from the buckets that hold them."""
+    key = state["key"]
+    touched = [r[0] for r in keys.select(_bucket(key).alias("b")).distinct().collect()]
+    return read(spark, root, state, touched).join(keys.select(key), key, "left_semi")
+
+
+def last(spark: SparkSession, root: str, n: int) -> list[dict]:
+    """The last n states that were published."""
+    return [json.loads(read_text(spark, f"{root}/{LOG}/{i:012}.json") or "{}") | {"number": i} for i in sorted(_numbers(spark, root))[-n:]]
+
+
+def vacuum(spark: SparkSession, root: str, states: list[dict]) -> int:
+    """Delete the folders of rows that none of the states has, but for those written since the
+    last of them; their number."""
+    used = {p.split("/")[0] for s in states for p in s["parts"].values()}
+    folder, fs = _path(spark, root)
+    names = [s.getPath().getName() for s in fs.listStatus(folder) if s.isDirectory()]
+    # a folder begins with the time of its writing
+    newest = max((int(s["generation"].split("-")[0]) for s in states), default=0)
+    old = [n for n in names if re.fullmatch(r"\d+-[0-9a-f]{8}", n) and n not in used and int(n.split("-")[0]) < newest]
+    for n in old:
+        fs.delete(_path(spark, f"{root}/{n}")[0], True)
+    return len(old)
+
+
 def current(spark: SparkSession, root: str) -> DataFrame | None:
     return read(spark, root, manifest(spark, root))
 

@@ -71,7 +71,7 @@ def _sync(spark, root, tables, extract, full_rescan, dry_run, load_encoder, inde
     )
     counts = {r["outcome"]: r["count"] for r in delta.groupBy("outcome").count().collect()}
     chunks = cut(vector.embed(chunks, load_encoder))
-    removed = 0
+    removed, changed = 0, chunks.select("paper_id")
     if store is None:
         if counts.get("imported"):
             snapshot.publish(chunks, root, "paper_id", base)
@@ -80,9 +80,11 @@ def _sync(spark, root, tables, extract, full_rescan, dry_run, load_encoder, inde
         removed = snapshot.removed_papers(store, gone, "item_id").agg(F.coalesce(F.sum("papers"), F.lit(0))).first()[0]
         if counts.get("imported") or removed:
             dropped = store.join(gone.filter("dateDeleted is not null").select("item_id").distinct(), "item_id", "left_semi").select("paper_id")
+            dropped = cut(dropped.distinct())
+            changed = changed.unionByName(dropped)
             snapshot.update(chunks, dropped, root, base)
     if index and (counts.get("imported") or removed):
-        build_index(spark, root)
+        build_index(spark, root, base, changed)
     last = items.agg(F.max("itemID")).first()[0] or 0
     waiting = f"pending/{time.time_ns()}"
     delta.filter(F.col("outcome").isin(*RETRY)).select("itemID").write.parquet(f"{root}/{waiting}")
@@ -112,7 +114,7 @@ def ingest(spark: SparkSession, root: str, documents: DataFrame, least_chars: in
         else:
             snapshot.update(chunks, chunks.select("paper_id").limit(0), root, base)
         if index:
-            build_index(spark, root)
+            build_index(spark, root, base, chunks.select("paper_id"))
     return {"found": sum(counts.values())} | counts
 
 

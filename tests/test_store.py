@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.__main__ import answers
 from tessera.plans import snapshot
-from tessera.plans.engine import Engine, clamped, valid_top_k
+from tessera.plans.engine import Engine, build_index, clamped, vacuum, valid_top_k
 from tessera.sources import documents
 from tessera.sources.sqlite import SqliteSource
 from tessera.streaming.sync import ingest, signature, sync, watch
@@ -85,6 +85,32 @@ def test_search_follows_the_snapshot(spark, tmp_path):
     assert {r.title for r in engine.search("salt stores heat", 2)} == {"A", "B"} and len(set(runs)) == 2
 
 
+def test_index_follows_a_delta(spark, tmp_path):
+    """One more document writes a small part of what the first ones wrote; searches equal those of
+    an index that is written whole; older generations go, those kept go on answering."""
+    root = str(tmp_path / "kb")
+    body = lambda i: f"Document {i} tells of item{i * 37} and of salt. " + " ".join(f"w{(i * j) % 997}" for j in range(150))
+    docs = lambda ids: spark.createDataFrame([(f"/f/d{i}.pdf", f"d{i}", f"Title {i}", body(i)) for i in ids], "path string, paper_id string, title string, text string")
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "kb" / "index").rglob("*.parquet"))
+    ingest(spark, root, docs(range(150)))
+    first = size()
+    ingest(spark, root, docs([500]))
+    assert size() - first < first / 5
+    engine = Engine(spark, root)
+    followed = {q: [r.asDict() for r in engine.search_text(q, 5).collect()] for q in ("item18500", "item3700 OR item74", "salt NOT item37")}
+    near = engine.search("Document 500 tells of item18500", 3, exact=True)
+    assert followed["item18500"][0]["title"] == "Title 500" and engine.search("Document 500 tells of item18500", 3)[0] == near[0]
+    folders = sum(1 for f in (tmp_path / "kb").iterdir() if f.is_dir())
+    ingest(spark, root, docs([501]))
+    assert vacuum(spark, root, keep=2) >= 0 and sum(1 for f in (tmp_path / "kb").iterdir() if f.is_dir()) <= folders + 1
+    assert engine.index.papers.count() == 151  # the generation before is kept
+    build_index(spark, root)
+    engine.refresh()
+    ingest(spark, root, docs([]))
+    whole = Engine(spark, root)
+    assert [r.asDict() for r in whole.search_text("item18500", 5).collect()] == followed["item18500"] and whole.index.papers.count() == 152
+
+
 def test_watch(spark, tmp_path):
     files = spark.createDataFrame([("a", 1, 5)], "path string, length long, modificationTime long")
     assert signature(files) == signature(files) != signature(files.withColumn("length", F.lit(2)))
