@@ -10,6 +10,9 @@ counted over all files with a mark, hashed into BUCKETS counters. A file with it
 keeps it; any other inherits that of the nearest ancestor directory with a license file, by
 equi-joins of (directory, ancestor) paths.
 
+Relatives differ in few words: a whole text that has words which tell the licenses of its family
+apart, but not those of the one it is nearest to, gets none.
+
 Defined results: null text counts as empty and can only inherit; a null path has no ancestors;
 ties between templates go to the first by name, ties between license files of one directory to
 the least path; repeated rows each give a row; texts of any length are compared whole, a batch is
@@ -55,6 +58,8 @@ TEMPLATES = {
 #: Lines on each side of a marked line that a range takes at most.
 REACH = 3
 BUCKETS = 1 << 18
+#: Code points of evidence whose scores a task keeps.
+KEPT_BYTES = 16 << 20
 _MARK = re.compile(r"licen[sc]e|copyright|permission|redistribut|public domain|spdx|(?<![a-z0-9])(?:(?:[al]?gpl|mpl|apache|bsd)[- ]?v?[0-9]|gnu [al]?gpl|cc0|cc[- ]by(?![a-z0-9]))", re.I)
 #: Of every mark, a part in lower case: a text without any of them has no mark.
 _PARTS = ("licen", "copyright", "permission", "redistribut", "public domain", "spdx", "gpl", "mpl", "apache", "bsd", "cc0", "cc-by", "cc by")
@@ -96,10 +101,29 @@ def evidence(text: str | None) -> list[str]:
     return list(parts)
 
 
+#: Licenses without a text in licenses/: their nearest relative, and what its names turn into.
+RELATIVES = {
+    "AGPL-3.0": ("GPL-3.0", r"(?i)\b(GNU)(\s+)(?=General Public License)", r"\1 Affero\2"),
+    "CC-BY-4.0": ("CC-BY-SA-4.0", r"(?i)-?Share-?Alike", ""),
+    "CC-BY-NC-4.0": ("CC-BY-SA-4.0", r"(?i)Share-?Alike", "NonCommercial"),
+}
+#: What tells the licenses of the CC-BY family apart; a text has all words of its license and no other.
+QUALIFIERS = {"CC-BY-4.0": set(), "CC-BY-NC-4.0": {"noncommercial"}, "CC-BY-SA-4.0": {"sharealike"}}
+_QUALIFIER = re.compile(r"non-?commercial|share-?alike|no-?deriv", re.I)
+
+
 def full_texts() -> dict[str, str]:
-    """The full texts of licenses, by name."""
+    """The full texts of licenses, by name; those of RELATIVES are the relative's text under their
+    own names, which is nearer to their true text than the relative is."""
     folder = resources.files("tessera.llm") / "licenses"
-    return {f.name.removesuffix(".txt"): f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+    found = {f.name.removesuffix(".txt"): f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name)}
+    return found | {n: re.sub(pattern, by, found[of]) for n, (of, pattern, by) in RELATIVES.items()}
+
+
+def contradicted(name: str | None, text: str, full: dict[str, str]) -> bool:
+    """Whether a text of a license's length, at least half of it, has words that its name rules
+    out; short names and notices abbreviate them."""
+    return name in QUALIFIERS and 2 * len(text) >= len(full[name]) and {q.lower().replace("-", "") for q in _QUALIFIER.findall(text)} != QUALIFIERS[name]
 
 
 def bucket(term: str) -> int:
@@ -160,27 +184,32 @@ def own_licenses(files: DataFrame, threshold: float = 0.5) -> DataFrame:
     full = full_texts()
 
     def run(batches):
-        matcher, seen = Matcher(weights, usual, full), {}
+        matcher, seen, held = Matcher(weights, usual, full), {}, 0
         for b in (x for batch in batches for x in slices(batch, "text")):
             names, scores, whole = [], [], []
             for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
                 best: tuple[float, str | None] = (0.0, None)
                 parts = evidence(text)
                 for part in parts:
-                    if part not in seen:
-                        if len(seen) > 10_000:
-                            seen.clear()
-                        seen[part] = matcher.best(part)
-                    best = max(best, seen[part], key=lambda f: f[0])
+                    score = seen.get(part)
+                    if score is None:
+                        score = matcher.best(part)
+                        held += len(part) + 200
+                        if held > KEPT_BYTES:
+                            seen, held = {}, len(part) + 200
+                        seen[part] = score
+                    best = max(best, score, key=lambda f: f[0])
                 stem = (path or "").rsplit("/", 1)[-1].upper()
                 named = stem.startswith(("LICENSE", "LICENCE", "COPYING"))
                 every = matcher.best(text) if text and (parts or named) else (0.0, None)
                 # a text that is a license as a whole quotes others only in passing
                 best = every if every[0] >= threshold else max(best, every, key=lambda f: f[0])
-                ok = best[0] >= threshold
+                if every[0] >= threshold and contradicted(every[1], text, full):
+                    best = every = (best[0], None)
+                ok = best[0] >= threshold and best[1] is not None
                 names.append(best[1] if ok else None)
                 scores.append(best[0])
-                whole.append(every[0] >= threshold or ok and named)
+                whole.append(ok and (every[0] >= threshold or named))
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(whole, pa.bool_())], ["path", "own_license", "own_score", "is_license_file"])
 
     return files.select("path", "text").mapInArrow(run, "path string, own_license string, own_score double, is_license_file boolean")

@@ -20,6 +20,19 @@ def test_whole_texts(spark):
     assert not got["n/15"].is_license_file and not got["w/10"].is_license_file
 
 
+def test_relatives(spark):
+    """A license without a template of its own text is not named after its relative."""
+    full = license.full_texts()
+    affero = full["GPL-3.0"].replace("GNU General Public License", "GNU Affero General Public License").replace("GNU GENERAL PUBLIC LICENSE", "GNU AFFERO GENERAL PUBLIC LICENSE")
+    sa = full["CC-BY-SA-4.0"]
+    both = sa.replace("Attribution-ShareAlike", "Attribution-NonCommercial-ShareAlike")
+    rows = [("a/LICENSE", affero), ("a/x", "code"), ("b/y", both), ("b/x", "code"), ("c/COPYING", sa.replace("ShareAlike", "NoDerivatives")), ("c/x", "code"), ("d/z", sa.replace("ShareAlike", "NonCommercial")), ("e/z", sa), ("f/z", full["GPL-3.0"])]
+    got = {r.path: (r.own_license, r.is_license_file, r.license) for r in license.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/LICENSE"] == ("AGPL-3.0", True, "AGPL-3.0") and got["a/x"] == (None, False, "AGPL-3.0")
+    assert all(got[p] == (None, False, None) for p in ("b/y", "b/x", "c/COPYING", "c/x"))
+    assert got["d/z"][0] == "CC-BY-NC-4.0" and got["e/z"] == ("CC-BY-SA-4.0", True, "CC-BY-SA-4.0") and got["f/z"] == ("GPL-3.0", True, "GPL-3.0")
+
+
 def test_common_words_weigh_less(spark):
     """Terms that all evidence has weigh less than those of one file, whatever the templates say."""
     rows = [(f"a/{i}", f"we ask for permission of the owner {i}") for i in range(40)]
