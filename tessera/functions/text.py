@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,16 +141,14 @@ SPACED_WORDS = frozenset({
 })
 
 
+#: The words read backwards, longest first, so that a scan of reversed letters takes from the right.
+_BACKWARDS = re.compile("|".join(sorted((w[::-1] for w in SPACED_WORDS if 4 <= len(w) <= 12), key=lambda w: (-len(w), w))))
+
+
 def known_words(letters: str) -> list[str]:
     """Words of 4 to 12 letters, the longest first, taken from the right; other letters are
     passed over."""
-    found, end = [], len(letters)
-    while end:
-        size = next((n for n in range(12, 3, -1) if n <= end and letters[end - n : end] in SPACED_WORDS), 0)
-        if size:
-            found.insert(0, letters[end - size : end])
-        end -= size or 1
-    return found
+    return [w[::-1] for w in _BACKWARDS.findall(letters[::-1])][::-1]
 
 
 def _join_spaced(run: str) -> str:

@@ -1,15 +1,15 @@
 """The trigram index of papers, in segments.
 
 A segment holds papers in blocks by a hash of paper_id (some thousand papers each), and for each
-trigram and block the ids of the block's papers that have it; lists lie in folders by a hash of
+trigram and block the numbers (in the block) of its papers that have it; lists lie in folders by a hash of
 the trigram. A delta is a new segment with the new and changed papers, and a list of the rows of
 older segments that it replaces or deletes, so it writes in proportion to itself. Segments of
 like size are merged into one when there are several.
 
 A search takes the rarest trigrams of each phrase (by stored sizes, summed in a table of fixed
 size), reads their lists, meets them block by block, and reads the blocks that are left. While
-the lists are short by those sizes, the ids come to the driver and the papers are read by them;
-beyond that, ids and papers are joined where they lie.
+the lists are short by those sizes, they come to the driver and the papers are read by number;
+beyond that, lists and papers are joined where they lie.
 
 The state (which segments there are, their sizes) is a small dictionary that the writer returns
 and whoever publishes the index keeps; a reader with an older state goes on reading its own
@@ -22,7 +22,7 @@ import uuid
 import zlib
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -31,7 +31,7 @@ from tessera.operators.lexical import FIELDS, Phrase, literal, sized
 
 #: Papers of a block, about, up to this number of blocks of a segment; then blocks grow.
 BLOCK_ROWS, MOST_BLOCKS, SIZES = 1024, 50_000, 1 << 16
-#: Ids that a search may bring to the driver, ids that a scan is given one by one, trigrams of a
+#: Places that a search may bring to the driver, papers that a scan is given one by one, trigrams of a
 #: phrase whose lists are read.
 MOST_IDS, NAMED_IDS, MOST_GRAMS = 200_000, 2_000, 4
 #: Segments of one size class (powers of this) that are merged.
@@ -65,23 +65,25 @@ def usable_trigrams(text: str) -> list[str]:
 def _write_segment(papers: DataFrame, folder: str) -> dict | None:
     """Write papers as a segment; what the state keeps of it."""
     spark = papers.sparkSession
-    papers = papers.drop("segment", "block", "d")
+    papers = papers.drop("segment", "block", "pos", "d")
     n = papers.count()
     if not n:
         return None
     name, blocks = uuid.uuid4().hex[:12], min(-(-n // BLOCK_ROWS), MOST_BLOCKS)
     lists = min(4096, max(8, n // 2_000))
     place = f"{folder}/papers/segment={name}"
-    sized(papers).withColumn("block", _block(blocks)).repartition("block").sortWithinPartitions("block", "paper_id").write.partitionBy("block").parquet(place)
-    written = spark.read.schema(_schema(sized(papers).schema, block=IntegerType())).parquet(place)
+    placed = sized(papers).withColumn("block", _block(blocks)).repartition("block")
+    # papers are numbered in their block, so that lists are of small numbers and not of ids
+    placed.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy("paper_id"))).write.partitionBy("block").parquet(place)
+    written = spark.read.schema(_schema(sized(papers).schema, pos=IntegerType(), block=IntegerType())).parquet(place)
     low = [F.lower(F.coalesce(f, F.lit(""))) for f in map(F.col, FIELDS)]
-    posted = written.select("block", "paper_id", F.explode(F.array_distinct(F.flatten(F.array(*map(_grams_of, low))))).alias("gram")).filter(F.length("gram") == 3)
+    posted = written.select("block", "pos", F.explode(F.array_distinct(F.flatten(F.array(*map(_grams_of, low))))).alias("gram")).filter(F.length("gram") == 3)
     # a list has one row for each block, of at most the block's papers; a block's file is read by
     # one task, so nearly all of a row comes together before the shuffle
-    rows = posted.groupBy("gram", "block").agg(F.collect_list("paper_id").alias("ids")).withColumn("hash", F.crc32(F.encode("gram", "UTF-8")))
+    rows = posted.groupBy("gram", "block").agg(F.collect_list("pos").alias("places")).withColumn("hash", F.crc32(F.encode("gram", "UTF-8")))
     rows = rows.withColumn("list", (F.col("hash") % lists).cast("int"))
-    rows.select("gram", "block", "ids", "list").repartition("list").sortWithinPartitions("list", "gram", "block").write.partitionBy("list").parquet(f"{folder}/lists/segment={name}")
-    sizes = spark.read.parquet(f"{folder}/lists/segment={name}").groupBy((F.crc32(F.encode("gram", "UTF-8")) % SIZES).cast("int").alias("bucket")).agg(F.sum(F.size("ids")).alias("n"))
+    rows.select("gram", "block", "places", "list").repartition("list").sortWithinPartitions("list", "gram", "block").write.partitionBy("list").parquet(f"{folder}/lists/segment={name}")
+    sizes = spark.read.parquet(f"{folder}/lists/segment={name}").groupBy((F.crc32(F.encode("gram", "UTF-8")) % SIZES).cast("int").alias("bucket")).agg(F.sum(F.size("places")).alias("n"))
     sizes.coalesce(1).write.parquet(f"{folder}/sizes/segment={name}")
     total = written.agg(F.sum("d")).first()[0]
     return {"name": name, "rows": n, "size": int(total), "lists": lists, "dead": 0, "dead_size": 0}
@@ -101,7 +103,7 @@ def _read(spark: SparkSession, folder: str, kind: str, names: list[str], schema:
 
 def _papers(spark: SparkSession, folder: str, state: dict) -> DataFrame:
     """All rows of the segments, dead ones too."""
-    schema = _schema(StructType.fromJson(state["schema"]), segment=StringType(), block=IntegerType())
+    schema = _schema(StructType.fromJson(state["schema"]), pos=IntegerType(), segment=StringType(), block=IntegerType())
     return _read(spark, folder, "papers", [s["name"] for s in state["segments"]], schema)
 
 
@@ -163,9 +165,7 @@ class Index:
     def __init__(self, spark: SparkSession, folder: str, state: dict):
         self.spark, self.state, self.segments = spark, state, {s["name"]: s for s in state["segments"]}
         self.all, self.dead = _papers(spark, folder, state), _dead(spark, folder, state)
-        key = self.all.schema["paper_id"].dataType
-        self.named = key.simpleString() in ("string", "bigint", "int")
-        schema = _schema(StructType(), gram=StringType(), block=IntegerType(), ids=ArrayType(key), segment=StringType(), list=IntegerType())
+        schema = _schema(StructType(), gram=StringType(), block=IntegerType(), places=ArrayType(IntegerType()), segment=StringType(), list=IntegerType())
         self.lists = _read(spark, folder, "lists", list(self.segments), schema)
         n = sum(s["rows"] - s["dead"] for s in self.segments.values())
         self.totals = (n, sum(s["size"] - s["dead_size"] for s in self.segments.values()) / n or 1.0) if n else (0, 1.0)
@@ -176,7 +176,7 @@ class Index:
 
     @property
     def papers(self) -> DataFrame:
-        return _live(self.all, self.dead).drop("segment", "block")
+        return _live(self.all, self.dead).drop("segment", "block", "pos")
 
     def _rarest(self, *parts: str) -> list[str] | None:
         grams = sorted({g for p in parts for g in usable_trigrams(p)}, key=lambda g: (self.sizes[_hash(g) % SIZES], g))[:MOST_GRAMS]
@@ -188,8 +188,9 @@ class Index:
         return self.lists.filter(F.expr(f"({where}) AND gram IN ({said})"))
 
     def candidates(self, phrases: list[str], like: str | None = None) -> dict[tuple[str, int], set] | DataFrame | None:
-        """Papers that may have one of the phrases, or be LIKE %like%: ids by segment and block, or, where the lists
-        are long, a DataFrame(segment, block, paper_id); None if a phrase has no usable trigram."""
+        """Papers that may have one of the phrases, or be LIKE %like%: their numbers by segment
+        and block, or, where the lists are long, a DataFrame(segment, block, pos); None if a
+        phrase has no usable trigram."""
         chosen = [self._rarest(p) for p in phrases] + ([self._rarest(*re.split("[%_]", like.lower()))] if like is not None else [])
         if any(c is None for c in chosen):
             return None
@@ -199,8 +200,8 @@ class Index:
         rows = self._postings(grams)
         if sum(int(self.sizes[_hash(g) % SIZES]) for g in grams) <= MOST_IDS:
             held: dict[tuple[str, int], dict[str, list]] = {}
-            for r in rows.select("segment", "block", "gram", "ids").toArrow().to_pylist():
-                held.setdefault((r["segment"], r["block"]), {})[r["gram"]] = r["ids"]
+            for r in rows.select("segment", "block", "gram", "places").toArrow().to_pylist():
+                held.setdefault((r["segment"], r["block"]), {})[r["gram"]] = r["places"]
             out = {}
             for place, lists in held.items():
                 some: set = set()
@@ -210,7 +211,7 @@ class Index:
                 if some:
                     out[place] = some
             return out
-        each = [rows.filter(F.col("gram").isin(*c)).select("segment", "block", F.explode("ids").alias("paper_id")).groupBy("segment", "block", "paper_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(c)).drop("n") for c in chosen]
+        each = [rows.filter(F.col("gram").isin(*c)).select("segment", "block", F.explode("places").alias("pos")).groupBy("segment", "block", "pos").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == len(c)).drop("n") for c in chosen]
         out = each[0]
         for x in each[1:]:
             out = out.unionByName(x)
@@ -220,15 +221,13 @@ class Index:
         """The live papers of the blocks of candidates; while they are few, only they."""
         if not found:
             return self.papers.limit(0)
-        by_segment: dict[str, list[int]] = {}
-        for segment, block in found:
-            by_segment.setdefault(segment, []).append(block)
-        where = " OR ".join(f"(segment = '{s}' AND block IN ({', '.join(map(str, sorted(bs)))}))" for s, bs in by_segment.items())
-        rows, dead, ids = self.all.filter(where), self.dead, set().union(*found.values())
-        if self.named and len(ids) <= NAMED_IDS:
-            only = f"paper_id IN ({', '.join(sorted(map(literal, ids)))})"
-            rows, dead = rows.filter(only), None if dead is None else dead.filter(only)
-        return _live(rows, dead).drop("segment", "block")
+        by_segment: dict[str, list[str]] = {}
+        named = sum(map(len, found.values())) <= NAMED_IDS
+        for (segment, block), places in sorted(found.items()):
+            by_segment.setdefault(segment, []).append(f"(block = {block} AND pos IN ({', '.join(map(str, sorted(places)))}))" if named else str(block))
+        said = (lambda x: f"({' OR '.join(x)})") if named else (lambda x: f"block IN ({', '.join(x)})")
+        rows = self.all.filter(" OR ".join(f"(segment = '{s}' AND {said(x)})" for s, x in by_segment.items()))
+        return _live(rows, self.dead).drop("segment", "block", "pos")
 
     def rows(self, phrases: list[Phrase], like: str | None = None) -> tuple[DataFrame, bool]:
         """(papers that may have any of the phrases or be LIKE %like%, whether they are few). A
@@ -239,5 +238,5 @@ class Index:
         if isinstance(found, dict):
             return self.read(found), True
         rows = _live(self.all, self.dead)
-        return rows.join(found, ["segment", "block", "paper_id"], "left_semi").select(*(c for c in rows.columns if c not in ("segment", "block"))), False
+        return rows.join(found, ["segment", "block", "pos"], "left_semi").select(*(c for c in rows.columns if c not in ("segment", "block", "pos"))), False
 

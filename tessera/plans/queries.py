@@ -110,25 +110,21 @@ def _rewritten(x: str, rewrites) -> str:
     return x
 
 
-def twice(name: str):
-    """Register a query under a second name that it had."""
-
-    def add(f):
-        QUERIES[name] = f
-        if f.__name__ in ORACLE_SQL:
-            ORACLE_SQL[name] = ORACLE_SQL[f.__name__]
-        return f
-
-    return add
-
-
-@twice("markdown_to_text_all")
 @query(f"SELECT doc_id, {_TRIM.format(x=_rewritten(_MD, _REWRITES))} AS plain FROM documents")
 def markdown_to_text(spark, sf_dir):
     md = F.concat(F.lit("# Title\n![alt](a.png) and [link](http://x)\n**bold** x_y\n~~~\ncode\n~~~\n---\n\n\n"), "text")
     return documents(spark, sf_dir).select("doc_id", T.markdown_to_text(md).alias("plain"))
 
 
+_TURN = "coalesce(text, '')"
+
+
+@query(f"SELECT conv_id, turn, {_TRIM.format(x=_rewritten(_TURN, _REWRITES))} AS plain FROM conversations")
+def markdown_to_text_all(spark, sf_dir):
+    """Every turn of every conversation, as it stands."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.markdown_to_text(F.coalesce("text", F.lit(""))).alias("plain"))
+
+
 @query(r"SELECT page_id, length(regexp_replace(html, '<[^>]+>', '', 'g')) AS text_chars, CAST(len(regexp_extract_all(html, '<[^>]+>')) AS BIGINT) AS tags FROM pages")
 def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(F.regexp_replace("html", "<[^>]+>", "")).cast("long").alias("text_chars"), F.regexp_count("html", F.lit("<[^>]+>")).cast("long").alias("tags"))
@@ -149,12 +145,17 @@ def strip_header(spark, sf_dir):
 _BOILER = r"(?i)^\s*(?:journal of|international|applied|energy|thermal|heat and mass|electrochimica|renewable|sustainable|©|copyright|published by|elsevier|springer|mdpi|http|doi:|vol\.|pp\.|issn|isbn)"
 
 
-@twice("clean_abstract_all")
 @query(rf"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(' pre' || chr(10) || ' fi- xed  ' || coalesce(text, '') || ' Keywords: a, b' || chr(10) || 'c', '(?is)\b(?:Keywords?|K E Y W O R D S?|Key words?)\b[:\s]*.*$', ''), '\s+', ' ', 'g'), '([\p{{L}}\p{{N}}_])-\s([\p{{L}}\p{{N}}_])', '\1\2', 'g')) AS abstract FROM documents""")
 def clean_abstract(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), "text", F.lit(" Keywords: a, b\nc"))).alias("abstract"))
 
 
+@query(ORACLE_SQL["clean_abstract"].replace("doc_id", "item_id").replace("documents", "benchmark"))
+def clean_abstract_all(spark, sf_dir):
+    """The benchmark's passages."""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.clean_abstract(F.concat(F.lit(" pre\n fi- xed  "), F.coalesce("text", F.lit("")), F.lit(" Keywords: a, b\nc"))).alias("abstract"))
+
+
 @query(rf"""SELECT doc_id, 'The study of ' || doc_id || ' shows that all of it holds.' AS abstract, true AS found FROM documents WHERE doc_id % 2 = 0
 UNION ALL SELECT doc_id, 'We ask how item ' || doc_id || ' behaves under a heavy load.', true FROM documents WHERE doc_id % 2 = 1""")
 def extract_abstract(spark, sf_dir):
@@ -165,7 +166,6 @@ def extract_abstract(spark, sf_dir):
     return found.select("doc_id", "a.abstract", "a.found")
 
 
-@twice("summaries_all")
 @query(rf"""
 WITH d AS (SELECT doc_id, {_TRIM.format(x="coalesce(text, '')")} AS own, substr(coalesce(text, ''), 1, 5000) AS head FROM documents),
 t AS (SELECT doc_id, CASE WHEN length(own) >= 30 THEN own ELSE array_to_string(list_filter(string_split(head, chr(10)), lambda x: {_TRIM.format(x="x")} <> '' AND NOT regexp_matches(x, '{_BOILER}')), chr(10)) END AS t FROM d),
@@ -178,6 +178,12 @@ def summaries(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.summarize(F.col("text"), F.col("text")).alias("summary"))
 
 
+@query(ORACLE_SQL["summaries"].replace("doc_id", "item_id").replace("documents", "benchmark"))
+def summaries_all(spark, sf_dir):
+    """The benchmark's passages."""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.summarize(F.coalesce("text", F.lit("")), F.coalesce("text", F.lit(""))).alias("summary"))
+
+
 @query("SELECT lang, count(*) AS n, count(*) FILTER (regexp_matches(text, '[一-鿿㐀-䶿]')) AS chinese FROM documents GROUP BY lang")
 def chinese_documents(spark, sf_dir):
     return documents(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.has_chinese(F.col("text"))).alias("chinese"))
@@ -186,12 +192,17 @@ def chinese_documents(spark, sf_dir):
 _TITLE = r"trim(regexp_replace(replace(replace(lower(regexp_replace(split_part(coalesce(text, ''), chr(10), 1), '[^\p{L}\p{N}_\s]', ' ', 'g')), 'ß', 'ss'), 'ſ', 's'), '\s+', ' ', 'g'))"
 
 
-@twice("title_norms_all")
 @query(f"SELECT doc_id, {_TITLE} AS title_norm FROM documents")
 def title_norms(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.normalize_title(F.substring_index("text", "\n", 1)).alias("title_norm"))
 
 
+@query(f"SELECT conv_id, turn, {_TITLE} AS title_norm FROM conversations")
+def title_norms_all(spark, sf_dir):
+    """The first lines of all turns."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize_title(F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)).alias("title_norm"))
+
+
 @query("SELECT doc_id, CASE WHEN 100 * n_chars < 1024 THEN (100 * n_chars) || ' B' WHEN 100 * n_chars < 1048576 THEN printf('%.1f', 100 * n_chars / 1024.0) || ' KB' ELSE printf('%.1f', 100 * n_chars / 1048576.0) || ' MB' END AS size, CASE WHEN n_chars < 60 THEN n_chars || 's' ELSE (n_chars // 60) || 'm ' || (n_chars % 60) || 's' END AS elapsed, CAST(n_chars AS INTEGER) AS page, CAST(n_chars + 1 AS INTEGER) AS pages FROM documents")
 def display_values(spark, sf_dir):
     n = F.col("n_chars")
