@@ -245,6 +245,22 @@ def test_greedy_dedup(spark):
     assert got == {1: True, 2: False, 3: True, 4: True, 5: True, 6: False}
 
 
+def test_greedy_follows_long_chains(spark, monkeypatch):
+    """Ten thousand items of which each shares a key with the next; a chain with side branches."""
+    steps, plain = [], dedup.cut
+    monkeypatch.setattr(dedup, "cut", lambda df: steps.append(1) or plain(df))
+    for n, branched in ((10_000, False), (120, True)):
+        steps.clear()
+        rows = [(i, f"d{i // 2}", f"t{(i + 1) // 2}", f"b{i // 50}" if branched and i % 50 in (3, 20) else None) for i in range(n)]
+        seen, want = set(), {}
+        for i, *ks in rows:
+            own = {(j, k) for j, k in enumerate(ks) if k}
+            want[i] = not own & seen
+            seen |= own if want[i] else set()
+        got = dedup.greedy(spark.createDataFrame(rows, "id long, doi string, title string, branch string"), ["doi", "title", "branch"], "id").collect()
+        assert {r.id: r.accepted for r in got} == want and len(steps) < 40
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5)), min_size=1, max_size=14))
 def test_greedy_equals_fold(spark, keys):
