@@ -38,11 +38,12 @@ def squeeze(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """str.split()."""
-    return F.regexp_extract_all(text, F.lit(f"({NOT_WS}+)"), 1)
+    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
 
 
-#: Collapse line breaks, then spaces, then drop citations, urls and dois.
-CLEANING = ((r"\n+", "\n"), (" {2,}", " "), (rf"\[\p{{Nd}}+(?:,{WS}*\p{{Nd}}+)*\]", ""), (f"https?://{NOT_WS}+", ""), (rf"(?iu){EDGE}doi:{WS}*10\.{NOT_WS}+", ""))
+#: Collapse line breaks, then spaces, then drop citations, urls and dois. A doi: stands at the
+#: start of a word, which is looked at only where a d is.
+CLEANING = ((r"\n+", "\n"), (" {2,}", " "), (rf"\[\p{{Nd}}+(?:,{WS}*\p{{Nd}}+)*\]", ""), (f"https?://{NOT_WS}+", ""), (rf"(?iu)d(?<!{WORD}d)oi:{WS}*10\.{NOT_WS}+", ""))
 
 
 def clean_text(text: Column) -> Column:
