@@ -97,7 +97,7 @@ class Engine:
                 made = index_state(self.spark, self.root, now)
             self.chunks, self.vectors = snapshot.read(self.spark, self.root, state), made.get("vectors")
             self.index = textindex.Index(self.spark, f"{self.root}/index/texts", made["texts"])
-            self.generation = now
+            self.generation, self.state = now, state
         return now
 
     def health(self) -> dict:
@@ -146,7 +146,7 @@ class Engine:
         if key not in KEYS:
             raise ValueError(f"{key} is none of {', '.join(KEYS)}")
         self.refresh()
-        found = self.chunks.filter(F.col(key) == F.lit(value))
+        found = snapshot.of_value(self.spark, self.root, self.state, key, value)
         return found if limit is None else found.limit(limit)
 
     def schema(self) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql.types import StructType
 from tessera.lineage import cut
 
 LOG, BUCKETS = "manifests", 64
+#: Columns that rows are looked up by, beside the key.
+LOOKUPS = ("doi", "filename", "item_id")
 
 
 def _path(spark: SparkSession, path: str):
@@ -103,7 +105,12 @@ def _write(df: DataFrame, root: str, key: str) -> tuple[str, dict[str, str]]:
     """Write df in folders by a hash of the key; their places by bucket."""
     spark, name = df.sparkSession, f"{time.time_ns()}-{uuid.uuid4().hex[:8]}"
     placed = df.withColumn("_bucket", _bucket(key))
-    placed.repartition("_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16))).write.partitionBy("_bucket").parquet(f"{root}/{name}")
+    writer = placed.repartition("_bucket", F.pmod(F.xxhash64(key, F.lit(1)), F.lit(16))).sortWithinPartitions("_bucket", key).write.partitionBy("_bucket")
+    # a scan by one of these passes over row groups whose Bloom filter has no such value
+    for column in LOOKUPS:
+        if column in df.columns:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(f"{root}/{name}")
     folder, fs = _path(spark, f"{root}/{name}")
     found = [s.getPath().getName() for s in fs.listStatus(folder)]
     return name, {n.removeprefix("_bucket="): f"{name}/{n}" for n in found if n.startswith("_bucket=")}
@@ -135,6 +142,17 @@ def of_keys(spark: SparkSession, root: str, state: dict, keys: DataFrame) -> Dat
     return read(spark, root, state, touched).join(keys.select(key), key, "left_semi")
 
 
+def of_value(spark: SparkSession, root: str, state: dict, column: str, value: object) -> DataFrame:
+    """The rows where a column equals a value: of the key, its bucket is read alone; of others,
+    the row groups whose statistics and Bloom filters allow it."""
+    rows = read(spark, root, state)
+    wanted = F.lit(value).cast(rows.schema[column].dataType)
+    if column == state["key"] and value is not None:
+        bucket = spark.range(1).select(F.pmod(F.xxhash64(wanted), F.lit(BUCKETS)).cast("int")).first()[0]
+        rows = read(spark, root, state, [bucket])
+    return rows.filter(F.col(column) == wanted)
+
+
 def last(spark: SparkSession, root: str, n: int) -> list[dict]:
     """The last n states that were published."""
     return [json.loads(read_text(spark, f"{root}/{LOG}/{i:012}.json") or "{}") | {"number": i} for i in sorted(_numbers(spark, root))[-n:]]

@@ -100,6 +100,9 @@ def test_index_follows_a_delta(spark, tmp_path):
     followed = {q: [r.asDict() for r in engine.search_text(q, 5).collect()] for q in ("item18500", "item3700 OR item74", "salt NOT item37")}
     near = engine.search("Document 500 tells of item18500", 3, exact=True)
     assert followed["item18500"][0]["title"] == "Title 500" and engine.search("Document 500 tells of item18500", 3)[0] == near[0]
+    assert len(engine.scan("paper_id", "d7").inputFiles()) < 4 < len(engine.chunks.inputFiles())
+    assert {r.title for r in engine.scan("paper_id", "d7").collect()} == {"Title 7"} == {r.title for r in engine.scan("filename", "d7.pdf").collect()}
+    assert engine.scan("filename", "none").count() == 0 == engine.scan("paper_id", None).count()
     folders = sum(1 for f in (tmp_path / "kb").iterdir() if f.is_dir())
     ingest(spark, root, docs([501]))
     assert vacuum(spark, root, keep=2) >= 0 and sum(1 for f in (tmp_path / "kb").iterdir() if f.is_dir()) <= folders + 1
