@@ -154,3 +154,17 @@ def drive(stream: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint
     """Run batch for each micro-batch of stream: all that is there, or at intervals."""
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def follow(spark: SparkSession, root: str, changes: DataFrame, tables: Callable[[], dict[str, DataFrame]], extract: Callable[[DataFrame], DataFrame], checkpoint: str, every: str | None = None, **options):
+    """Synchronise for each micro-batch of a stream of catalog changes. A batch only says that
+    there are changes: what they are, and which items of earlier syncs wait to be tried again,
+    comes from the saved state, so a batch that is run again after a failure does no harm, and a
+    stream that goes on from its checkpoint goes on with the waiting items too. tables reads the
+    catalog as it is then; options are sync's."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if rows.limit(1).count():
+            sync(spark, root, tables(), extract, **options)
+
+    return drive(changes, batch, checkpoint, every)

@@ -9,7 +9,7 @@ from tessera.plans import snapshot
 from tessera.plans.engine import Engine, build_index, clamped, vacuum, valid_top_k
 from tessera.sources import documents
 from tessera.sources.sqlite import SqliteSource
-from tessera.streaming.sync import ingest, signature, sync, watch
+from tessera.streaming.sync import follow, ingest, signature, sync, watch
 from tests.test_operators import catalog_tables
 
 
@@ -162,6 +162,29 @@ def test_sync_and_engine(spark, tmp_path):
     engine.close()
 
 
+def test_sync_follows_a_stream(spark, tmp_path):
+    """A failed item waits; the stream that goes on from its checkpoint tries it again."""
+    root, tables, works = str(tmp_path / "kb"), catalog_tables(spark), []
+
+    def extract(wanted):
+        text = "ABSTRACT The first paper studies the storage of heat in salt. KEYWORDS heat. " + "More words follow here. " * 20
+        return wanted.select("itemID", F.lit(text if works else None).cast("string").alias("text"))
+
+    def run(name):
+        spark.createDataFrame([(name,)], "change string").coalesce(1).write.mode("append").parquet(str(tmp_path / "changes"))
+        changes = spark.readStream.schema("change string").parquet(str(tmp_path / "changes"))
+        query = follow(spark, root, changes, lambda: tables, extract, str(tmp_path / "at"), index=False)
+        assert query.awaitTermination(120) and query.exception() is None
+        return snapshot.load_state(spark, root)
+
+    state = run("a")
+    waiting = {r.itemID for r in spark.read.parquet(f"{root}/{state['pending']}").collect()}
+    assert waiting == {1, 2} and snapshot.current(spark, root) is None
+    works.append(1)
+    state = run("b")
+    assert {r.itemID for r in spark.read.parquet(f"{root}/{state['pending']}").collect()} == {2} and snapshot.current(spark, root).count() > 0
+
+
 def test_top_k():
     assert valid_top_k(100) == 100 and clamped("7") == 7 and clamped(None) == 5 and clamped(1000) == 100
     for bad in (0, 101, True, "5"):
