@@ -70,10 +70,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         fs.delete(path, True)
 
 
-def delete(spark: SparkSession, folder: str, keep: set[str]) -> int:
-    """Delete what lies in a folder, but for the names to keep; the number of what went."""
+def delete(spark: SparkSession, folder: str, keep: set[str], before: int | None = None) -> int:
+    """Delete what lies in a folder, but for the names to keep and, with before, those that as
+    numbers are not below it; the number of what went."""
     path, fs = _path(spark, folder)
     gone = [s.getPath() for s in fs.listStatus(path) if s.getPath().getName() not in keep] if fs.exists(path) else []
+    gone = [p for p in gone if before is None or int(p.getName()) < before]
     for p in gone:
         fs.delete(p, True)
     return len(gone)

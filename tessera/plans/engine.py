@@ -4,12 +4,14 @@ embeddings, which follows the snapshot's generation."""
 from __future__ import annotations
 
 import json
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.lineage import cut, delete
-from tessera.operators import chunk, lexical, textindex, vector
+from tessera.operators import chunk, lexical, semantic, textindex, vector
 from tessera.operators.papers import papers_of
 from tessera.plans import snapshot
 
@@ -68,12 +70,56 @@ def build_index(spark: SparkSession, root: str, base: dict | None = None, change
     return state["generation"]
 
 
+def encoder_of(spark: SparkSession, root: str, state: dict) -> Callable | None:
+    """The encoder that a snapshot's embeddings were made with, if it was trained for the store."""
+    return semantic.load(spark, f"{root}/{state['encoder']}") if "encoder" in state else None
+
+
+def encoder_loader(spark: SparkSession, root: str, state: dict) -> Callable[[], Callable]:
+    """What gives the workers the snapshot's encoder; the usual one where none was trained."""
+    model = encoder_of(spark, root, state)
+    if model is None:
+        return vector.trigram_encoder
+    shared = spark.sparkContext.broadcast(model)
+    return lambda: shared.value
+
+
+def train_encoder(spark: SparkSession, root: str, index: bool = True, **options) -> str:
+    """Train an encoder on the store's chunks, embed all of them anew and publish them with the
+    encoder's place; later syncs and searches use it. options are those of semantic.fit. Returns
+    the new generation."""
+    base = snapshot.manifest(spark, root)
+    chunks = snapshot.read(spark, root, base)
+    if chunks is None:
+        raise LookupError("no snapshot is published")
+    place = f"encoders/{time.time_ns()}"
+    semantic.save(spark, semantic.fit(chunks, **options), f"{root}/{place}")
+    load = encoder_loader(spark, root, {"encoder": place})
+    now = snapshot.publish(cut(vector.embed(chunks.drop("embedding"), load)), root, base["key"], base, encoder=place)
+    if index:
+        build_index(spark, root)
+    return now
+
+
+def statistics(spark: SparkSession, root: str) -> DataFrame:
+    """One row of the current snapshot's counted rows and estimated distinct values; no data file
+    is opened."""
+    state = snapshot.manifest(spark, root)
+    if not state["number"]:
+        raise LookupError("no snapshot is published")
+    return snapshot.statistics(spark, root, state)
+
+
 def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
     """Delete folders of snapshots and indexes that none of the last keep generations has; readers
     of those are not disturbed. Returns the number of folders that went."""
     states = snapshot.last(spark, root, keep)
     made = [x for s in states if (x := index_state(spark, root, s["generation"]))]
     gone = snapshot.vacuum(spark, root, states)
+    # an encoder younger than the newest generation may be on its way into one
+    newest = max((int(s["generation"].split("-")[0]) for s in states), default=0)
+    models = {s["encoder"].split("/")[1] for s in states if "encoder" in s}
+    gone += delete(spark, f"{root}/encoders", models, before=newest)
     gone += textindex.vacuum(spark, f"{root}/index/texts", [m["texts"] for m in made])
     kept = {f"vectors-{s['generation']}" for s in states} | {m["vectors"]["folder"] for m in made if "vectors" in m}
     return gone + delete(spark, f"{root}/index", kept | {"texts"} | {f"{s['generation']}.json" for s in states})
@@ -82,7 +128,8 @@ def vacuum(spark: SparkSession, root: str, keep: int = 2) -> int:
 class Engine:
     def __init__(self, spark: SparkSession, root: str, encoder=None):
         self.spark, self.root = spark, root
-        self.encoder = encoder or vector.trigram_encoder()
+        self.encoder, self._given = encoder or vector.trigram_encoder(), encoder is not None
+        self.place = None
         self.generation, self.chunks, self.index = "0", None, None
 
     def refresh(self) -> str:
@@ -97,6 +144,8 @@ class Engine:
                 made = index_state(self.spark, self.root, now)
             self.chunks, self.vectors = snapshot.read(self.spark, self.root, state), made.get("vectors")
             self.index = textindex.Index(self.spark, f"{self.root}/index/texts", made["texts"])
+            if not self._given and state.get("encoder") != self.place:
+                self.encoder, self.place = encoder_of(self.spark, self.root, state) or vector.trigram_encoder(), state.get("encoder")
             self.generation, self.state = now, state
         return now
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.lineage import cut, session_dir
-from tessera.operators import catalog, chunk, convert, dedup, layout, lexical, papers, textindex, vector
+from tessera.operators import catalog, chunk, convert, dedup, layout, lexical, papers, semantic, textindex, vector
 from tessera.plans import snapshot
+from tessera.sources import documents as folders
+from tessera.sources import markdown_folder as markdown_files
 from tessera.streaming.sync import drive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -419,6 +421,16 @@ def embed_chunks(spark, sf_dir):
     return embedded.select("doc_id", "chunk_index", F.round(vector.dot(F.col("embedding"), F.col("embedding")), 3).alias("norm"))
 
 
+@query()
+def latent_search(spark, sf_dir):
+    """The documents nearest to the text of document 7 by an encoder trained on all of them."""
+    docs = documents(spark, sf_dir)
+    shared = spark.sparkContext.broadcast(semantic.fit(docs))
+    wanted = shared.value([docs.filter("doc_id = 7").agg(F.min("text")).first()[0]])[0]
+    embedded = vector.embed(docs.select("doc_id", "text"), lambda: shared.value).select("doc_id", "embedding")
+    return vector.nearest(embedded, wanted.tolist(), 20, "doc_id").select("doc_id", F.round("score", 4).alias("score"))
+
+
 # ---- chunks of papers: conversations and their turns ----
 
 
@@ -627,6 +639,30 @@ def batch_convert(spark, sf_dir):
     return convert.convert(files, converter).select(F.col("output_name").cast("long").alias("doc_id"), "success", F.length("markdown").cast("long").alias("chars"))
 
 
+@query("SELECT s_suppkey, 'Page of ' || coalesce(s_name, '') AS text FROM supplier")
+def markdown_folder(spark, sf_dir):
+    """A folder of files for each supplier: the page with the image that it shows, and not the one
+    that it does not; read back."""
+    folder = session_dir(spark, "files")
+    name = F.col("s_suppkey").cast("string")
+    page = F.concat(F.lit("# Page of "), F.coalesce("s_name", F.lit("")), F.lit("\n\n![](images/"), name, F.lit(".png)"))
+    pictures = F.transform(F.array(name, F.concat(name, F.lit("-unseen"))), lambda n: F.struct(F.concat(n, F.lit(".png")).alias("name"), n.cast("binary").alias("content")))
+    rows = table(spark, sf_dir, "supplier").select(name.alias("output_name"), F.lit(True).alias("success"), page.alias("markdown"), pictures.alias("images"))
+    markdown_files.write(rows, folder, "images")
+    return folders.markdown(spark, folder).select(T.stem(F.col("path")).cast("long").alias("s_suppkey"), "text")
+
+
+@query("SELECT count(*) AS rows, true AS near FROM documents")
+def store_statistics(spark, sf_dir):
+    """The counted rows of a published store, and whether the estimate of distinct keys is within
+    5 % of their exact number."""
+    root, docs = session_dir(spark, "counted"), documents(spark, sf_dir).select("doc_id", "lang")
+    snapshot.publish(docs, root, "doc_id")
+    found = snapshot.statistics(spark, root, snapshot.manifest(spark, root))
+    exact = docs.agg(F.count_distinct("doc_id").alias("exact"))
+    return found.join(exact).select("rows", (F.abs(F.col("doc_id") - F.col("exact")) <= F.col("exact") * 0.05).alias("near"))
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY event_type")
 def stream_incremental(spark, sf_dir):
     """Micro-batches of events add their partial sums to a table; the sums of those are the

@@ -20,6 +20,10 @@ from tessera.lineage import cut
 LOG, BUCKETS = "manifests", 64
 #: Columns that rows are looked up by, beside the key.
 LOOKUPS = ("doi", "filename", "item_id")
+#: What a snapshot is marked with and its successors inherit.
+MARKS = ("encoder",)
+#: Columns whose distinct values are estimated, beside the key.
+SKETCHED = ("paper_id", *LOOKUPS)
 
 
 def _path(spark: SparkSession, path: str):
@@ -113,17 +117,49 @@ def _write(df: DataFrame, root: str, key: str) -> tuple[str, dict[str, str]]:
     writer.parquet(f"{root}/{name}")
     folder, fs = _path(spark, f"{root}/{name}")
     found = [s.getPath().getName() for s in fs.listStatus(folder)]
-    return name, {n.removeprefix("_bucket="): f"{name}/{n}" for n in found if n.startswith("_bucket=")}
+    parts = {n.removeprefix("_bucket="): f"{name}/{n}" for n in found if n.startswith("_bucket=")}
+    if parts:
+        _summarize(spark, f"{root}/{name}", placed.schema, key)
+    return name, parts
 
 
-def publish(df: DataFrame, root: str, key: str | None = None, base: dict | None = None) -> str:
+def _summarize(spark: SparkSession, folder: str, schema: StructType, key: str) -> None:
+    """Write, beside the buckets of a folder, the rows of each and sketches of their values; of
+    the buckets only these columns are read."""
+    columns = [c for c in dict.fromkeys((key, *SKETCHED)) if c in schema.names]
+    rows = spark.read.schema(schema).parquet(folder)
+    sketches = (F.hll_sketch_agg(F.col(c).cast("string"), F.lit(12)).alias(c) for c in columns)
+    rows.groupBy("_bucket").agg(F.count(F.lit(1)).alias("rows"), *sketches).coalesce(1).write.parquet(f"{folder}/_stats")
+
+
+def statistics(spark: SparkSession, root: str, state: dict) -> DataFrame:
+    """One row: rows, counted, and for the key and each of SKETCHED that there is the estimated
+    number of distinct values. Only what was written beside the buckets is read."""
+    schema = StructType.fromJson(state["schema"])
+    columns = [c for c in dict.fromkeys((state["key"], *SKETCHED)) if c in schema.names]
+    fields = "_bucket int, rows long, " + ", ".join(f"`{c}` binary" for c in columns)
+    merged = [F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *(F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns)]
+    if not state["parts"]:
+        return spark.createDataFrame([], fields).agg(*merged)
+    folders = sorted({p.split("/")[0] for p in state["parts"].values()})
+    live = F.array(*(F.lit(p.replace("/_bucket=", "/")) for p in state["parts"].values()))
+    found = spark.read.schema(fields).parquet(*(f"{root}/{f}/_stats" for f in folders))
+    place = F.concat(F.regexp_extract(F.input_file_name(), "([^/]+)/_stats/[^/]+$", 1), F.lit("/"), F.col("_bucket"))
+    return found.withColumn("_place", place).filter(F.array_contains(live, F.col("_place"))).agg(*merged)
+
+
+def _state(base: dict, df: DataFrame, name: str, key: str, parts: dict[str, str], **marks: str) -> dict:
+    return {m: base[m] for m in MARKS if m in base} | marks | {"generation": name, "key": key, "schema": df.schema.jsonValue(), "parts": parts}
+
+
+def publish(df: DataFrame, root: str, key: str | None = None, base: dict | None = None, **marks: str) -> str:
     """Make df the whole content. With base, the manifest that df was made from, another writer's
-    publication since then is a Conflict."""
+    publication since then is a Conflict. marks are those of MARKS that change."""
     spark = df.sparkSession
     base = base or manifest(spark, root)
     key = key or base.get("key") or df.columns[0]
     name, parts = _write(df, root, key)
-    return _commit(spark, root, base, {"generation": name, "key": key, "schema": df.schema.jsonValue(), "parts": parts})
+    return _commit(spark, root, base, _state(base, df, name, key, parts, **marks))
 
 
 def read(spark: SparkSession, root: str, state: dict, buckets: list[int] | None = None) -> DataFrame | None:
@@ -186,7 +222,7 @@ def update(new: DataFrame, gone: DataFrame, root: str, base: dict) -> str:
     rows = replaced(old.join(gone, key, "left_anti").select(*old.columns), new, key)
     name, parts = _write(rows, root, key)
     kept = {b: p for b, p in base["parts"].items() if int(b) not in touched}
-    return _commit(spark, root, base, {"generation": name, "key": key, "schema": rows.schema.jsonValue(), "parts": kept | parts})
+    return _commit(spark, root, base, _state(base, rows, name, key, kept | parts))
 
 
 def replaced(old: DataFrame, new: DataFrame, key: str = "paper_id") -> DataFrame:

@@ -15,7 +15,7 @@ from tessera.lineage import cut
 from tessera.operators import catalog, dedup, vector
 from tessera.operators.chunk import chunk_documents
 from tessera.plans import snapshot
-from tessera.plans.engine import build_index
+from tessera.plans.engine import build_index, encoder_loader
 
 #: Outcomes that are tried again at the next sync.
 RETRY = ("no_attachment", "extract_fail")
@@ -42,9 +42,9 @@ def plan_delta(items: DataFrame, texts: DataFrame, store: DataFrame | None) -> D
     return final.drop("accepted", "has_file", "existing_id", "existing_item")
 
 
-def sync(spark: SparkSession, root: str, tables: dict[str, DataFrame], extract: Callable[[DataFrame], DataFrame], full_rescan: bool = False, dry_run: bool = False, load_encoder: Callable[[], Callable] = vector.trigram_encoder, index: bool = True) -> dict:
+def sync(spark: SparkSession, root: str, tables: dict[str, DataFrame], extract: Callable[[DataFrame], DataFrame], full_rescan: bool = False, dry_run: bool = False, load_encoder: Callable[[], Callable] | None = None, index: bool = True) -> dict:
     """One synchronisation. extract turns the wanted items into (itemID, text); new chunks get
-    their embeddings here. Returns the counts by outcome and removed papers. If another writer
+    their embeddings here, by the store's own encoder unless another is given. Returns the counts by outcome and removed papers. If another writer
     published meanwhile, all is planned once more on what it left."""
     try:
         return _sync(spark, root, tables, extract, full_rescan, dry_run, load_encoder, index)
@@ -70,7 +70,7 @@ def _sync(spark, root, tables, extract, full_rescan, dry_run, load_encoder, inde
         "title", F.col("doi_norm").alias("doi"), F.col("itemID").alias("item_id"), F.col("key").alias("zotero_key"), F.coalesce("authors", F.lit("")).alias("authors"), "journal", T.year(F.col("date")).alias("year"), F.coalesce("collections", F.lit("")).alias("collections"),
     )
     counts = {r["outcome"]: r["count"] for r in delta.groupBy("outcome").count().collect()}
-    chunks = cut(vector.embed(chunks, load_encoder))
+    chunks = cut(vector.embed(chunks, load_encoder or encoder_loader(spark, root, base)))
     removed, changed = 0, chunks.select("paper_id")
     if store is None:
         if counts.get("imported"):
@@ -92,7 +92,7 @@ def _sync(spark, root, tables, extract, full_rescan, dry_run, load_encoder, inde
     return {"found": sum(counts.values()), "removed": removed} | counts
 
 
-def ingest(spark: SparkSession, root: str, documents: DataFrame, least_chars: int = 50, load_encoder: Callable[[], Callable] = vector.trigram_encoder, index: bool = True) -> dict:
+def ingest(spark: SparkSession, root: str, documents: DataFrame, least_chars: int = 50, load_encoder: Callable[[], Callable] | None = None, index: bool = True) -> dict:
     """Add a folder's documents(path, paper_id, title, text) to the store: those whose paper_id it
     has are skipped, and so are texts below least_chars; contents are not compared. Returns the
     counts."""
@@ -106,7 +106,7 @@ def ingest(spark: SparkSession, root: str, documents: DataFrame, least_chars: in
     rows = decided.filter("outcome = 'imported'")
     chunks = chunk_documents(rows, "paper_id").join(rows.select("paper_id", "title", F.substring_index("path", "/", -1).alias("filename")), "paper_id")
     chunks = chunks.select(F.concat_ws("#", "paper_id", "chunk_index").alias("chunk_id"), "paper_id", "chunk_index", "total_chunks", "section", "text", "title", "filename", F.lit("papers").alias("source"))
-    chunks = cut(vector.embed(chunks, load_encoder))
+    chunks = cut(vector.embed(chunks, load_encoder or encoder_loader(spark, root, base)))
     counts = {r["outcome"]: r["count"] for r in decided.groupBy("outcome").count().collect()}
     if counts.get("imported"):
         if store is None:
