@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +25,35 @@ from pyspark.sql import functions as F
 
 from tessera.lineage import cut
 
-BUCKETS, BLOCKS, PARTS = 1 << 15, 64, 16
+BUCKETS, BLOCKS, PARTS = 1 << 15, 64, 8
 _WORD = re.compile(r"\w+")
 #: Entries of sparse rows that are multiplied at once.
 _SLICE = 1 << 14
+#: Entries after which a batch of sparse rows is full.
+_FULL = 1 << 19
+
+
+class _Buckets(dict):
+    """Words to buckets; at most 2^17 words of at most 32 characters are remembered."""
+
+    def __missing__(self, word: str) -> int:
+        out = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+        if len(word) <= 32 and len(self) < 1 << 17:
+            self[word] = out
+        return out
+
+
+_buckets = _Buckets()
 
 
 def _entries(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's words, rising, and how often each occurs."""
-    found = [zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in _WORD.findall((text or "").lower())]
-    return np.unique(np.array(found, np.int64), return_counts=True)
+    words = Counter(_WORD.findall((text or "").lower()))
+    found, counts = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words)), np.fromiter(words.values(), np.float64, len(words))
+    order = np.argsort(found)
+    found, counts = found[order], counts[order]
+    starts = np.flatnonzero(np.diff(found, prepend=-1))
+    return found[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
 def _weighted(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +75,7 @@ def _slices(ends: np.ndarray):
 
 def _times(buckets: np.ndarray, weights: np.ndarray, rows: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
     """The n sparse rows times the basis; rows is the row of each entry, rising."""
-    out = np.zeros((n, basis.shape[1]))
+    out = np.zeros((n, basis.shape[1]), np.float32)
     if len(rows):
         starts = np.flatnonzero(np.diff(rows, prepend=-1))
         out[rows[starts]] = np.add.reduceat(weights[:, None] * basis[buckets], starts)
@@ -80,8 +100,8 @@ class LatentEncoder:
 def _frequencies(batches):
     n, found = 0, np.zeros(BUCKETS, np.int64)
     for b in batches:
-        for text in b.column(0).to_pylist():
-            found[_entries(text)[0]] += 1
+        for text in b.column(0):
+            found[_entries(text.as_py())[0]] += 1
             n += 1
     at = np.flatnonzero(found)
     # bucket -1: the number of texts
@@ -90,12 +110,12 @@ def _frequencies(batches):
 
 def _gram(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
     """The transposed rows times the rows times the basis."""
-    shared, k, per = sparse.sparkSession.sparkContext.broadcast(basis), basis.shape[1], BUCKETS // BLOCKS
+    shared, k, per = sparse.sparkSession.sparkContext.broadcast(basis.astype(np.float32)), basis.shape[1], BUCKETS // BLOCKS
 
     def multiply(batches):
         basis, total = shared.value, np.zeros((BUCKETS, k))
         for batch in batches:
-            lists, weights = batch.column("buckets"), batch.column("weights").flatten().to_numpy().astype(np.float64)
+            lists, weights = batch.column("buckets"), batch.column("weights").flatten().to_numpy()
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             buckets = lists.flatten().to_numpy()
             for a, b in _slices(ends):
@@ -107,14 +127,14 @@ def _gram(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
                 order = np.argsort(own, kind="stable")
                 starts = np.flatnonzero(np.diff(own[order], prepend=-1))
                 total[own[order][starts]] += np.add.reduceat(w[order, None] * y[rows[order]], starts)
-        blocks = [(i, x.tobytes()) for i, x in enumerate(total.reshape(BLOCKS, per, k)) if x.any()]
+        blocks = [(i, x.astype(np.float32).tobytes()) for i, x in enumerate(total.reshape(BLOCKS, per, k)) if x.any()]
         for i, x in blocks:
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([x], pa.binary())], ["block", "part"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(per * k)
         for x in table.column("part"):
-            total += np.frombuffer(x.as_buffer(), np.float64)
+            total += np.frombuffer(x.as_buffer(), np.float32)
         return pa.table({"block": table.column("block").slice(0, 1), "part": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((BLOCKS, per, k))
@@ -124,7 +144,7 @@ def _gram(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
     return out.reshape(BUCKETS, k)
 
 
-def fit(texts: DataFrame, text: str = "text", width: int = 64, extra: int = 16, rounds: int = 4, sample_rows: int = 200_000, seed: int = 0) -> LatentEncoder:
+def fit(texts: DataFrame, text: str = "text", width: int = 64, extra: int = 16, rounds: int = 2, sample_rows: int = 50_000, seed: int = 0) -> LatentEncoder:
     """The encoder of these texts."""
     rows = texts.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     counted = {r[0]: r[1] for r in rows.mapInArrow(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect()}
@@ -132,11 +152,21 @@ def fit(texts: DataFrame, text: str = "text", width: int = 64, extra: int = 16,
     seen[list(counted)] = list(counted.values())
     idf = np.log((1 + n) / (1 + seen))
 
+    def batch(found: list) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *(len(b) for b, _ in found)]), pa.int32())
+        flat = [np.concatenate(x) for x in zip(*found, strict=True)] or [np.zeros(0)] * 2
+        return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.astype(t))) for x, t in zip(flat, (np.int32, np.float32), strict=True)], ["buckets", "weights"])
+
     def weigh(batches):
+        found, held = [], 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                buckets, w = _weighted(text, idf)
-                yield pa.RecordBatch.from_arrays([pa.array([buckets.tolist()], pa.list_(pa.int32())), pa.array([w.tolist()], pa.list_(pa.float32()))], ["buckets", "weights"])
+            for text in b.column(0):
+                found.append(_weighted(text.as_py(), idf))
+                held += len(found[-1][0]) + 1
+                if held >= _FULL:
+                    yield batch(found)
+                    found, held = [], 0
+        yield batch(found)
 
     hashed = rows.withColumn("h", F.xxhash64("text", F.lit(seed)))
     share = int(min(1.0, sample_rows / max(n, 1)) * (1 << 32))
