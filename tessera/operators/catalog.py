@@ -13,6 +13,8 @@ ITEM_TYPES = ("journalArticle", "conferencePaper", "preprint", "thesis", "comput
 FIELDS = {1: "title", 2: "abstract_note", 59: "doi", 38: "journal", 6: "date", 13: "url"}
 ATTACHMENT_TYPES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document")
 AUTHOR_TYPE = 1
+#: Attributes of a part, about, that one task sorts by item.
+PART_ROWS = 200_000
 
 
 def not_deleted(items: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
@@ -31,8 +33,11 @@ def changed(items: DataFrame, since_id: int, since_version: int, pending: DataFr
 
 def pivot_attributes(data: DataFrame, values: DataFrame, fields: dict[int, str] = FIELDS, key: str = "itemID") -> DataFrame:
     """(key, one column per field) from (key, fieldID, valueID) and (valueID, value): one join
-    and one aggregation. Of several values the one with the least valueID counts."""
-    joined = data.filter(F.col("fieldID").isin(*fields)).join(values, "valueID")
+    and one aggregation. Of several values the one with the least valueID counts. Attributes are
+    as many as values, so neither is broadcast; the parts follow the number of attributes, so what
+    a task sorts does not grow with them."""
+    data = data.filter(F.col("fieldID").isin(*fields))
+    joined = data.join(values.hint("merge"), "valueID").repartition(1 + data.count() // PART_ROWS, key)
     return joined.groupBy(key).agg(*(F.coalesce(F.min_by("value", F.when(F.col("fieldID") == i, F.col("valueID"))), F.lit("")).alias(n) for i, n in fields.items()))
 
 

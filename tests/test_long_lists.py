@@ -1,8 +1,13 @@
-"""The index where lists are long: lists in several rows, places sent to the papers, scans."""
+"""Steps whose memory or traffic must not grow faster than the input: the index where lists are
+long (lists in several rows, places sent to the papers, scans), attributes, spaced words."""
 
 import random
+import re
 
-from tessera.operators import lexical, textindex
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.operators import catalog, lexical, textindex
 
 QUERIES = ("abc NOT fed", "NEAR(abc def, 20) OR ^fed", "c_e")
 
@@ -62,3 +67,36 @@ def test_no_text_is_shuffled(spark, tmp_path, monkeypatch):
         rows, _ = index.rows(lexical.parse("abc")[0])
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "abstract" in plan
+
+
+def test_pivot_in_parts(spark, monkeypatch):
+    """Attributes are not broadcast, and many are sorted in several parts."""
+    monkeypatch.setattr(catalog, "PART_ROWS", 20)
+    data = spark.range(60).selectExpr("id % 20 AS itemID", "element_at(array(1, 6, 99), cast(id % 3 + 1 as int)) AS fieldID", "id AS valueID")
+    values = spark.range(60).selectExpr("id AS valueID", "concat('v', id) AS value").filter("valueID != 3")
+    got = catalog.pivot_attributes(data, values)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString() and got.rdd.getNumPartitions() == 3
+    want = {}
+    for v in range(60):
+        if v % 3 < 2 and v != 3:
+            want.setdefault(v % 20, {}).setdefault(("title", "date")[v % 3], f"v{v}")
+    assert {r.itemID: {k: v for k, v in r.asDict().items() if v and k != "itemID"} for r in got.collect()} == want
+
+
+def test_spaced_words_without_python(spark):
+    """Joined spaced words equal the plain rule on odd texts, a run of any length included, and no
+    Python worker is needed."""
+    def plain(text):
+        def join(m):
+            found = T.known_words("".join(m[0].split()))
+            return f" {' '.join(found)} " if found else m[0]
+        return re.sub(r"(?:[A-Z](?:\s+|$)){2,}", join, text)
+
+    draw = random.Random(11)
+    pieces = ["A B S T R A C T", "K E Y W O R D S", "I N F O", "X Y", "Ab", "A", " ", "\n", "\u00a0", "\x1c", "x", "é", "R E V I E W A B C", "$1", "\\", "W O R K\n"]
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " ", "  "]) for _ in range(draw.randrange(8))) for _ in range(300)]
+    texts += ["A " * 20_000, "A B S T R A C T" + " W O R K" * 3000, "", "A\n", "A B", "A B\n"]
+    out = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.normalize_spaced(F.col("t")).alias("x"), T.extract_abstract(F.col("t")).alias("a"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.x for r in out.collect()}
+    assert [t for i, t in enumerate(texts) if got[i] != plain(t)] == []
