@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -235,15 +236,39 @@ def embed(df: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]],
 
 
 def trigram_encoder(width: int = 384) -> Callable[[list[str]], np.ndarray]:
-    """The default model: hashed counts of character trigrams."""
-    import zlib
+    """The default model: hashed counts of character trigrams (CRC-32 of their UTF-8), all texts
+    of a call at once."""
 
     def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), width))
-        for row, t in zip(out, texts, strict=True):
-            t = t.lower()
-            for i in range(len(t) - 2):
-                row[zlib.crc32(t[i : i + 3].encode()) % width] += 1
-        return out
+        low = [t.lower() for t in texts]
+        x = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+        rows = np.repeat(np.arange(len(low)), [len(t) for t in low])
+        # starts of trigrams within one text
+        at = np.flatnonzero(rows[:-2] == rows[2:]) if len(x) > 2 else np.zeros(0, np.int64)
+        crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+        for k in range(3):
+            crc = _crc_character(crc, x[at + k])
+        return np.bincount(rows[at] * width + ~crc % np.uint32(width), minlength=len(low) * width).reshape(len(low), width).astype(np.float64)
 
     return encode
+
+
+#: CRC-32 steps by byte: of byte b, what zlib's register goes through from 0.
+_CRC = np.array([zlib.crc32(bytes([b])) ^ zlib.crc32(b"\0") for b in range(256)], np.uint32)
+_CRC ^= _CRC[0]
+
+
+def _crc_character(crc: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """CRC-32 registers after the UTF-8 bytes of one more character each."""
+    step = lambda c, b: _CRC[(c ^ b) & 0xFF] ^ (c >> 8)
+    wide = np.flatnonzero(x > 0x7F)
+    out = step(crc, x)
+    if len(wide):
+        c, y = crc[wide], x[wide]
+        two, three = y < 0x800, y < 0x10000
+        c = step(c, np.where(two, 0xC0 | y >> 6, np.where(three, 0xE0 | y >> 12, 0xF0 | y >> 18)))
+        for shift, has in ((12, ~three), (6, ~two), (0, None)):
+            then = step(c, 0x80 | y >> shift & 0x3F)
+            c = then if has is None else np.where(has, then, c)
+        out[wide] = c
+    return out

@@ -3,11 +3,13 @@ long (lists in several rows, places sent to the papers, scans), attributes, spac
 
 import random
 import re
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import catalog, lexical, textindex
+from tessera.operators import catalog, lexical, textindex, vector
 
 QUERIES = ("abc NOT fed", "NEAR(abc def, 20) OR ^fed", "c_e")
 
@@ -100,3 +102,17 @@ def test_spaced_words_without_python(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     got = {r.i: r.x for r in out.collect()}
     assert [t for i, t in enumerate(texts) if got[i] != plain(t)] == []
+
+
+def test_trigram_encoder():
+    """All texts at once give the counts of one trigram after the other."""
+    draw = random.Random(5)
+    alphabet = "abcXYZ 0é\u00dfİ能\uffff\U0001d4b6\U0010ffff\x7f\x80\u07ff\u0800\u3042\n"
+    texts = ["", "ab", "abc", "É", *("".join(draw.choice(alphabet) for _ in range(draw.randrange(60))) for _ in range(200)), ""]
+    for width in (64, 384):
+        want = np.zeros((len(texts), width))
+        for row, t in zip(want, texts, strict=True):
+            t = t.lower()
+            for i in range(len(t) - 2):
+                row[zlib.crc32(t[i : i + 3].encode()) % width] += 1
+        assert (vector.trigram_encoder(width)(texts) == want).all() and vector.trigram_encoder(width)([]).shape == (0, width)
