@@ -33,13 +33,19 @@ _SLICE = 1 << 14
 _FULL = 1 << 19
 
 
-class _Buckets(dict):
-    """Words to buckets; at most 2^17 words of at most 32 characters are remembered."""
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
 
-    def __missing__(self, word: str) -> int:
-        out = zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        if len(word) <= 32 and len(self) < 1 << 17:
-            self[word] = out
+class _Buckets(dict):
+    """What stands between white space to the bucket of its word, -1 unless it has just one; at
+    most 2^17 of at most 32 characters are remembered."""
+
+    def __missing__(self, token: str) -> int:
+        words = _WORD.findall(token)
+        out = _bucket(words[0]) if len(words) == 1 else -1
+        if len(token) <= 32 and len(self) < 1 << 17:
+            self[token] = out
         return out
 
 
@@ -48,8 +54,13 @@ _buckets = _Buckets()
 
 def _entries(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text's words, rising, and how often each occurs."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    found, counts = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words)), np.fromiter(words.values(), np.float64, len(words))
+    tokens = Counter((text or "").lower().split())
+    found, counts = np.fromiter(map(_buckets.__getitem__, tokens), np.int64, len(tokens)), np.fromiter(tokens.values(), np.float64, len(tokens))
+    if len(found) and found.min() < 0:
+        # no word, or several
+        more = [(_bucket(w), n) for (t, n), b in zip(tokens.items(), found, strict=True) if b < 0 for w in _WORD.findall(t)]
+        kept = found >= 0
+        found, counts = (np.concatenate([x[kept], np.array(y, x.dtype)]) for x, y in ((found, [b for b, _ in more]), (counts, [n for _, n in more])))
     order = np.argsort(found)
     found, counts = found[order], counts[order]
     starts = np.flatnonzero(np.diff(found, prepend=-1))

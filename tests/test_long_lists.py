@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import catalog, lexical, textindex, vector
+from tessera.operators import catalog, lexical, semantic, textindex, vector
 
 QUERIES = ("abc NOT fed", "NEAR(abc def, 20) OR ^fed", "c_e")
 
@@ -116,3 +116,21 @@ def test_trigram_encoder():
             for i in range(len(t) - 2):
                 row[zlib.crc32(t[i : i + 3].encode()) % width] += 1
         assert (vector.trigram_encoder(width)(texts) == want).all() and vector.trigram_encoder(width)([]).shape == (0, width)
+
+
+def test_entries():
+    """Counting what stands between white space gives the counts of the words."""
+    draw = random.Random(6)
+    pieces = ["word", "Wörd", "don't", "a_b", "--", "…", " ", " ", "\n", "\x1c", "\u00a0", "能源", "x" * 40, "Σας", "1,2", "word."]
+    texts = [None, "", " ", *("".join(draw.choice(pieces) for _ in range(draw.randrange(40))) for _ in range(300))]
+    for t in texts:
+        want: dict[int, int] = {}
+        for w in re.findall(r"\w+", (t or "").lower()):
+            b = zlib.crc32(w.encode()) % semantic.BUCKETS
+            want[b] = want.get(b, 0) + 1
+        found, counts = semantic._entries(t)
+        assert found.tolist() == sorted(want) and counts.tolist() == [want[b] for b in sorted(want)], t
+    # the regular expression sees a token once, then it is remembered
+    semantic._buckets.clear()
+    semantic._entries("again, again, again,")
+    assert semantic._buckets == {"again,": zlib.crc32(b"again") % semantic.BUCKETS}
