@@ -71,6 +71,15 @@ def test_no_text_is_shuffled(spark, tmp_path, monkeypatch):
         assert "SortMergeJoin" not in plan and "abstract" in plan
 
 
+def test_texts_are_lowered_once(spark):
+    """However many phrases are counted, and with a filter on their counts above."""
+    df = _papers(spark)
+    for q in ("abc AND def OR fed NOT ccd", "NEAR(abc def, 20)", "^abc OR fed"):
+        rows = lexical.bm25(df.withColumn("d", F.length("abstract")), q, (300, 40.0), True)
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 3, plan
+
+
 def test_pivot_in_parts(spark, monkeypatch):
     """Attributes are not broadcast, and many are sorted in several parts."""
     monkeypatch.setattr(catalog, "PART_ROWS", 20)
