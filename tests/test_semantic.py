@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import semantic, vector
 from tessera.plans import snapshot
@@ -66,6 +67,42 @@ def test_basis_is_that_of_a_full_decomposition(spark):
     assert np.allclose(model(texts), full @ model.basis, atol=1e-4)
 
 
+def test_no_text_is_left_out_of_the_basis(spark):
+    """A topic is learnt of 60,000 texts whose texts a sample of 50,000 by their hash would leave out."""
+    rare = " ".join(word(8, i) for i in range(10))
+    drawn = F.md5(F.col("id").cast("string"))
+    filler = spark.range(60_000).select(F.concat_ws(" ", F.substring(drawn, 1, 6), F.substring(drawn, 7, 6)).alias("text"))
+    left_out = F.pmod(F.xxhash64("text", F.lit(0)), F.lit(1 << 32)) >= int(50_000 / 60_000 * (1 << 32))
+    topic = spark.createDataFrame([(f"{rare} {word(7, i)}",) for i in range(500)], "text string").filter(left_out).limit(40)
+    texts = [r.text for r in topic.collect()]
+    assert len(texts) == 40
+    model = semantic.fit(filler.union(spark.createDataFrame([(t,) for t in texts], "text string")), width=4)
+    assert np.linalg.norm(model(texts), axis=1).min() > 0.8
+
+
+def test_counted_texts_embed_as_texts_do(spark):
+    texts = [None, "", "...", "alpha beta " * 40_000 + " ".join(f"w{i}" for i in range(40_000)), *(r[2] for r in planted(4)[:300]), "alpha", "alpha"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, body string").repartition(3)
+    counted = semantic.count(rows, "body")
+    assert counted.columns == ["id", "digest", "buckets", "counts"]
+    for r in counted.collect():
+        found, counts = semantic._entries(texts[r.id])
+        assert r.buckets == found.tolist() and r.counts == counts.tolist()
+    model = semantic.fit_counted(counted, width=6)
+    want = {r.id: r.embedding for r in vector.embed(rows, lambda: model, "body").collect()}
+    assert {r.id: r.embedding for r in semantic.encode(counted, lambda: model).collect()} == want
+    assert want[len(texts) - 1] == want[len(texts) - 2] and model([]).shape == (0, 6)
+
+
+def test_copies_of_a_text_count_once_in_the_basis(spark):
+    """With the idf kept, the products are those of the distinct texts."""
+    texts = [r[2] for r in planted(5)[:40]]
+    once, often = (semantic.count(spark.createDataFrame([(t,) for t in x], "text string").repartition(3)) for x in (texts, texts * 3))
+    # the frequencies of three copies are thrice those of one, which leaves log((1 + n) / (1 + seen)) nearly as it is
+    a, b = (semantic.fit_counted(x, width=6, rounds=6)(texts) for x in (once, often))
+    assert np.allclose(a @ a.T, b @ b.T, atol=0.05)
+
+
 def test_edges(spark, tmp_path):
     none = semantic.fit(spark.createDataFrame([], "text string"), width=4, rounds=1)
     assert not none(["a b", None, ""]).any()
